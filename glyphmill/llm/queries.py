@@ -33,3 +33,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, vocabulary()).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.secrets import KINDS, digest, secret_scan
+
+    found = secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s.kind == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return found.select("doc_id", *map(count, range(3)), F.sha2(digest(F.col("base_spans")), 256).alias("base_sha256"), digest(F.col("all_spans")).alias("spans"))

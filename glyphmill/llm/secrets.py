@@ -30,9 +30,9 @@ SLICE = 256
 CLASSES = (
     (r"^[0-9+/_=-]+$", 99.0),
     (r"^[0-9a-f]+$|^[0-9A-F]+$", 3.0),
-    (r"^[0-9a-z]+$|^[0-9A-Z]+$", 3.7),
+    (r"^[0-9a-z]+$|^[0-9A-Z]+$", 3.5),
     (r"^[0-9A-Za-z]+$", 3.5),
-    (r"^[0-9a-z+/_=-]+$|^[0-9A-Z+/_=-]+$", 3.9),
+    (r"^[0-9a-z+/_=-]+$|^[0-9A-Z+/_=-]+$", 3.7),
     (r"", 3.5),
 )
 #: What is no secret, however it looks.

@@ -69,3 +69,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.langid import fit, held_out, language
+
+    docs = table(spark, sf_dir, "documents")
+    return language(docs.select("doc_id", "text"), fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -86,3 +86,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.neardup import near_duplicates
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"))

@@ -94,3 +94,12 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"))
+
+
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.html import extract, fit
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extract(pages, fit(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

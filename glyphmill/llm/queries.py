@@ -103,3 +103,32 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = extract(pages, fit(pages))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.licences import licence_scan
+
+    found = licence_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licences", ",").alias("licences"),
+    )
+
+
+@query
+def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.lengths import token_lengths
+
+    return token_lengths(table(spark, sf_dir, "documents").select("text"), vocabulary())
+
+
+def _sql() -> None:
+    from glyphmill.llm import licences
+
+    SQL["op5_licences"] = licences.oracle()
+
+
+_sql()

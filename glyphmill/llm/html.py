@@ -196,7 +196,8 @@ def rebuilt(html: str, rng: random.Random) -> str | None:
     box = rng.choice(CONTAINERS)
     blocks = re.split(r"(?=<p\b|<h[1-6]\b)", m[1])
     if rng.random() < 0.25:  # some articles are short
-        blocks = [f"<p>{' '.join(rng.choice(sentences).split()[: rng.randrange(1, 12)])}</p>" for _ in range(rng.randrange(1, 4))]
+        kinds = (rng.choice(("h1", "h2", "p", "p")) for _ in range(rng.randrange(1, 4)))
+        blocks = [f"<{k}>{' '.join(rng.choice(sentences).split()[: rng.randrange(1, 12)])}</{k}>" for k in kinds]
     for _ in range(rng.choice((0, 0, 1, 2))):
         blocks.insert(rng.randrange(1, len(blocks) + 1), piece())
     inner = "".join(blocks)

@@ -9,8 +9,10 @@ the probability Jaccard similarity of the texts.
 Bands of registers meet in buckets. Each bucket's members are compared with one member
 of it, drawn anew for each bucket, which takes as many pairs as it has members. Linked
 texts form classes. What is left is exact: of members of one bucket that are in
-different classes, each pair is compared. So no link between candidates is lost, and a
-group of n copies costs in the order of n pairs. Equal texts are one node from the start.
+different classes, each pair is compared in full whose similarity can reach the limit at
+all: bitmaps of shingles bound it from above, inside the join. So no link between
+candidates is lost, and few pairs beyond the links leave the join. Equal texts are one
+node from the start.
 
 Nodes are 64-bit hashes of whole texts.
 """
@@ -33,6 +35,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 32, 8
 REGISTERS = BANDS * ROWS
 EMPTY = np.inf
+#: 64-bit words of the bitmap that bounds similarities.
+WORDS = 16
 G1, G2, G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -120,6 +124,45 @@ def band_hashes(text: Column) -> Column:
     return run(text)
 
 
+def sketch(text: str | None) -> tuple[int, int, list[int]]:
+    """The weight of a text's shingles, how many distinct ones there are, and a bitmap in which each sets one bit."""
+    elements, weights = shingles(text)
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(mix(elements) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return int(weights.sum()), len(elements), np.packbits(bits).view(np.int64).tolist()
+
+
+def sketches(text: Column) -> Column:
+    @F.pandas_udf("total bigint, kinds bigint, bits array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from glyphmill.llm.neardup import sketch
+
+        for texts in batches:
+            yield pd.DataFrame([sketch(t) for t in texts], columns=["total", "kinds", "bits"])
+
+    return run(text)
+
+
+def can_be_similar(a: str, b: str) -> Column:
+    """Whether an upper bound lets rows with ``s`` from ``sketches``, aliased a and b, be similar.
+
+    A shingle whose bit the other bitmap lacks is not in the other text, so at most k of
+    a text's distinct shingles are common, the lesser k of the two. They weigh at most k
+    more than what the text's weight exceeds its distinct shingles by. As
+    1 / (x / c + y / d - 1) bounds the similarity of texts of weights x and y whose common
+    shingles weigh c and d, it is SIMILAR only if x / (u + k) + y / (v + k) <= 1 + 1 / SIMILAR,
+    u and v being what the weights exceed the distinct shingles by. That holds from the
+    greater root of a quadratic in k on.
+    """
+    x, y, m, n = F.col(f"{a}.s.total"), F.col(f"{b}.s.total"), F.col(f"{a}.s.kinds"), F.col(f"{b}.s.kinds")
+    u, v, most = x - m, y - n, 1 + 1 / SIMILAR
+    p, q = most * (u + v) - x - y, most * u * v - x * v - y * u
+    least = (F.sqrt(p * p - 4 * most * q) - p) / (2 * most) - 1e-6
+    bits = lambda s, t: F.zip_with(f"{s}.s.bits", f"{t}.s.bits", lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j))))
+    lacking = lambda s, t: F.aggregate(bits(s, t), F.lit(0), lambda total, i: total + i)
+    return (F.least(m, n) >= least) & (lacking(a, b) <= m - least) & (lacking(b, a) <= n - least)
+
+
 def verified(a: Column, b: Column) -> Column:
     """Whether two whole texts are similar enough."""
 
@@ -156,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = written(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before")), "labels")
+        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before"))
         up = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = written(lower.join(up, "label").select("node", F.col("next").alias("label"), "before"), "labels")
         if new.where("label != before").isEmpty():
@@ -164,6 +207,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+#: Nodes up to which their list (16 bytes each) goes to all executors, so that texts that nobody resembles aren't shuffled; beyond it texts are.
+LISTED_NODES = 1_000_000
+
+
+def texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text), one row for each of the nodes (node, id)."""
+    nodes = written(nodes, "needed")
+    few = nodes.count() <= LISTED_NODES
+    found = rows.join(F.broadcast(nodes) if few else nodes, ["node", "id"], "left_semi").select("node", "text")
+    return written(found.dropDuplicates(["node"]), "texts")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class) of each row of ``docs``; the class is the least id of its near-duplicates, itself included.
 
@@ -172,36 +227,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part in naming a class; a class with no other id is null.
     """
     ship(docs.sparkSession)
-    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = named.withColumn("node", F.when(F.col("text").rlike(r"(?U)\S"), F.xxhash64("text")))
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = base.withColumn("node", F.when(F.col("text").rlike(r"(?U)\S"), F.xxhash64("text")))
     hashed = written(rows.select("id", "node", band_hashes(F.when(F.col("node").isNotNull(), F.col("text"))).alias("bands")), "bands")
     hashed = hashed.withColumn("node", F.when(F.col("bands").isNotNull(), F.col("node")))
-    members = hashed.where("node is not null").select("node", F.explode("bands").alias("key")).distinct()
-    draw = F.min_by("node", F.xxhash64("key", "node"))
-    buckets = written(members.groupBy("key").agg(F.count("*").alias("n"), draw.alias("hub")).where("n > 1").select("key", "hub"), "buckets")
+    nodes = written(hashed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
+    members = nodes.select("node", "id", F.explode("bands").alias("key"))
+    hub = F.min_by("node", F.xxhash64("key", "node"))
+    buckets = written(members.groupBy("key").agg(F.count("*").alias("n"), hub.alias("hub")).where("n > 1").select("key", "hub"), "buckets")
     members = written(members.join(buckets, "key"), "members")
     pairs = written(members.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    needed = members.select("node").distinct()
-    chosen = hashed.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(needed, "node", "left_semi")
-    texts = rows.join(written(chosen, "chosen"), ["node", "id"], "left_semi").select("node", "text")
-    texts = written(texts.dropDuplicates(["node"]), "texts")
+    texts = texts_of(rows, members.select("node", "id").distinct())
     found = written(links(pairs, texts), "links")
     labels = components(found)
     # members of one bucket in different classes: all those outside its largest class, against all others
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    labelled = written(labelled, "labelled")
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = written(sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main")).where("classes > 1").select("key", "main"), "main")
     mixed = written(labelled.join(main, "key"), "mixed")
-    few = mixed.where("label != main").select("key", F.col("node").alias("p"), F.col("label").alias("own"))
-    across = mixed.join(few, "key").where("label != own").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-    rest = across.join(pairs, ["a", "b"], "left_anti")
-    more = written(links(rest, texts), "links")
+    drawn = written(texts.join(mixed.select("node").distinct(), "node", "left_semi").select("node", sketches(F.col("text")).alias("s")), "sketches")
+    mixed = written(mixed.join(drawn, "node"), "mixed")
+    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label"))
+    few = mixed.where("label != main").alias("p").join(mixed.alias("q"), apart & can_be_similar("p", "q"))
+    across = few.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    more = written(links(across.join(pairs, ["a", "b"], "left_anti"), texts), "links")
     if not more.isEmpty():
         labels = components(found.union(more))
     # a class is named by its least id
-    least = hashed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    classed = written(least.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label")), "classed")
-    names = written(classed.groupBy("label").agg(F.min("id").alias("class")), "names")
-    of_node = written(classed.join(names, "label").select("node", "class"), "of-node")
+    named = labels.join(nodes.select("node", "id"), "node")
+    names = written(named.groupBy("label").agg(F.min("id").alias("class")), "names")
+    classes = labels.join(names, "label").select("node", "class")
+    of_node = written(nodes.select("node", "id").join(classes, "node", "left").select("node", F.coalesce("class", "id").alias("class")), "of-node")
     return hashed.select("id", "node").join(of_node, "node", "left").select("id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class")).alias("class"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
+from glyphmill.sources.folder import written
 
 
 def counted(items: DataFrame, by: str = "term") -> DataFrame:
@@ -48,29 +49,41 @@ def corpus_size(rows: DataFrame, text: str = "text") -> DataFrame:
     return n.crossJoin(word_freq(rows, text).agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("n_tokens"), F.count("*").alias("n_types")))
 
 
-def covered(freqs: DataFrame, coverage: float) -> DataFrame:
-    """``freqs`` with ``kept``: the most frequent terms up to the one that reaches the coverage (ties by term).
+def chunked(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``chunk``: consecutive ranges of an order that no two rows are equal in, each of a task's size."""
+    return written(rows.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()), "chunks")
+
 
-    The sum of all terms before one is that of all higher frequencies, which a window over
-    the few distinct frequencies gives, and of equal ones with a lesser term, which it
-    needs only at the frequency where the cut falls. So no task sorts all terms.
+def summed_before(chunks: DataFrame, value: Column, *order: Column | str) -> DataFrame:
+    """(chunks' columns, before, total): the sum of all rows before each in the whole order, and of all rows.
+
+    Chunks are summed first, a row for each; a row then adds what stands before it in its
+    own chunk. So no task sorts or sums more than one chunk.
     """
-    levels = freqs.groupBy("freq").agg(F.count("*").alias("n"), F.sum("freq").alias("mass"))
-    above = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = levels.select("freq", F.coalesce(F.sum("mass").over(above), F.lit(0)).alias("above"), F.sum("mass").over(everything).alias("total"))
-    within = Window.partitionBy("freq").orderBy("term")
-    at = F.col("above") + F.col("freq") * (F.row_number().over(within) - 1)
-    return freqs.join(levels, "freq").withColumn("kept", at / F.col("total") < coverage).select("term", "freq", "kept")
+    earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = chunks.groupBy("chunk").agg(F.sum(value).alias("mass"))
+    sums = sums.select("chunk", F.coalesce(F.sum("mass").over(earlier), F.lit(0)).alias("earlier"), F.sum("mass").over(everything).alias("total"))
+    within = Window.partitionBy("chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(within), F.lit(0))
+    return chunks.join(sums, "chunk").withColumn("before", own + F.col("earlier")).drop("chunk", "earlier")
+
+
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``at``: their places from 0 in an order without ties."""
+    return summed_before(chunked(rows, *order), F.lit(1), *order).withColumnRenamed("before", "at").drop("total")
+
+
+def covered(freqs: DataFrame, coverage: float) -> DataFrame:
+    """``freqs`` with ``kept``: the most frequent terms up to the one that reaches the coverage (ties by term)."""
+    order = F.desc("freq"), F.asc("term")
+    placed = summed_before(chunked(freqs.select("term", "freq"), *order), F.col("freq"), *order)
+    return placed.select("term", "freq", (F.col("before") / F.col("total") < coverage).alias("kept"))
 
 
 def ranked(freqs: DataFrame, name: str = "term") -> DataFrame:
-    """``freqs`` with ``rank`` from 1, most frequent first, ties by name; numbered as in ``covered``."""
-    levels = freqs.groupBy("freq").agg(F.count("*").alias("n"))
-    above = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.select("freq", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
-    within = Window.partitionBy("freq").orderBy(name)
-    return freqs.join(levels, "freq").withColumn("rank", F.col("above") + F.row_number().over(within)).drop("above")
+    """``freqs`` with ``rank`` from 1, most frequent first, ties by name."""
+    return numbered(freqs, F.desc("freq"), F.asc(name)).withColumn("rank", F.col("at") + 1).drop("at")
 
 
 def merged(*freqs: DataFrame) -> DataFrame:

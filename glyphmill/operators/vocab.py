@@ -76,10 +76,10 @@ def learn_chars(rows: DataFrame, text: str = "text", size: int = 0, min_freq: in
 
 
 def learn_classes(rows: DataFrame, label: str) -> DataFrame:
-    """All labels, stripped, in alphabetical order from index 0; no reserved types. Labels are few."""
+    """All labels, stripped, in alphabetical order from index 0; no reserved types."""
     freqs = rows.where(F.col(label).isNotNull()).groupBy(T.strip(F.col(label)).alias("name")).agg(F.count("*").alias("freq"))
-    listed = freqs.agg(F.array_sort(F.collect_list(F.struct("name", "freq"))).alias("all")).select(F.posexplode("all").alias("idx", "x"))
-    return listed.select("idx", "x.name", F.lit(LEVELS["class"]).alias("level"), "x.freq", F.array().cast(NO_KIDS).alias("kids"))
+    listed = N.numbered(freqs, "name")
+    return listed.select(F.col("at").cast("int").alias("idx"), "name", F.lit(LEVELS["class"]).alias("level"), "freq", F.array().cast(NO_KIDS).alias("kids"))
 
 
 def byte_vocab(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -118,19 +118,8 @@ def shrink(vocab: DataFrame, usage: DataFrame, min_freq: int) -> DataFrame:
             break
         wanted = written(wanted.unionByName(new), "wanted")
     kept = vocab.join(wanted.select("idx"), "idx", "left_semi")
-    numbers = written(numbered(kept.select("idx")), "numbers")
+    numbers = written(N.numbered(kept.select("idx"), "idx").select("idx", F.col("at").cast("int").alias("new")), "numbers")
     kid = kept.select("idx", F.posexplode("kids").alias("at", "kid")).join(numbers.select(F.col("idx").alias("kid"), F.col("new").alias("new_kid")), "kid")
     kids = kid.groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new_kid"))), lambda x: x.new_kid).alias("new_kids"))
     out = kept.join(numbers, "idx").join(kids, "idx", "left")
     return out.select(F.col("idx").alias("old_idx"), F.col("new").alias("idx"), "name", "level", "freq", F.coalesce("new_kids", F.array().cast(NO_KIDS)).alias("kids"))
-
-
-def numbered(ids: DataFrame, width: int = 4096) -> DataFrame:
-    """(idx, new): the rank of each index from 0, by ranges of so many indices that are counted first."""
-    from pyspark.sql import Window
-
-    rows = ids.withColumn("range", F.floor(F.col("idx") / width))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("range").orderBy("idx")
-    return rows.join(ranges, "range").select("idx", (F.row_number().over(within) - 1 + F.col("before")).cast("int").alias("new"))

@@ -245,11 +245,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = written(sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main")).where("classes > 1").select("key", "main"), "main")
     mixed = written(labelled.join(main, "key"), "mixed")
-    drawn = written(texts.join(mixed.select("node").distinct(), "node", "left_semi").select("node", sketches(F.col("text")).alias("s")), "sketches")
-    mixed = written(mixed.join(drawn, "node"), "mixed")
+    drawn = texts.join(mixed.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "bands"), "node")
+    mixed = written(mixed.join(written(drawn.select("node", "bands", sketches(F.col("text")).alias("s")), "sketches"), "node"), "mixed")
     apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label"))
-    few = mixed.where("label != main").alias("p").join(mixed.alias("q"), apart & can_be_similar("p", "q"))
-    across = few.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    once = (F.col("q.label") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
+    first = F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("p.key")  # a pair leaves one of its buckets only
+    few = mixed.where("label != main").alias("p").join(mixed.alias("q"), apart & once & can_be_similar("p", "q") & first)
+    across = few.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
     more = written(links(across.join(pairs, ["a", "b"], "left_anti"), texts), "links")
     if not more.isEmpty():
         labels = components(found.union(more))

@@ -80,8 +80,8 @@ def test_bound_never_loses_a_pair(spark):
     rng = np.random.default_rng(2)
     rows = []
     for i in range(60):
-        words = [f"w{k}" for k in range(40)] * int(rng.integers(1, 3)) + [f"r{k}" for k in rng.integers(0, 5, 20)]
-        for at in rng.integers(0, len(words), rng.integers(0, 5)):
+        words = [f"w{k}" for k in range(90)] * int(rng.integers(1, 3)) + [f"r{k % 3}" for k in range(int(rng.integers(15, 20)))]
+        for at in rng.integers(0, len(words), rng.integers(0, 4)):
             words[at] = f"e{i}"
         rows.append((i, " ".join(words)))
     from pyspark.sql import functions as F

@@ -1,16 +1,19 @@
-"""What the operators of this subpackage share: inputs, the shared folder, and shipping this package to executors."""
+"""What the operators of this subpackage share: inputs, tables in the shared folder, and shipping this package to executors."""
 
 from __future__ import annotations
 
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphmill.sources.folder import shared_folder, written
+
+__all__ = ["shared_folder", "ship", "table", "written"]
+
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
@@ -19,29 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    It cuts the lineage, survives lost executors, and forgets how the rows were
-    partitioned, so that a join above it has exchanges of its own, which adaptive
-    execution can split where a key is hot.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors, whatever their working folder is. Done once for each context."""
     context = spark.sparkContext

@@ -90,22 +90,22 @@ class Index:
                 self.maxima[at] = max(self.maxima[at], impact)
                 self.postings[at].append((k, impact))
 
-    def search(self, words: list[str]) -> dict[int, tuple[float, int]]:
-        """Of each item that some passage retrieves, the best score and where that passage starts."""
+    def search(self, words: list[str]) -> dict[int, list[tuple[float, int]]]:
+        """By item, the passages that retrieve it: (score, where the passage starts)."""
         step = max(1, CELLS // self.blocks // STRIDE) * STRIDE
-        found: dict[int, tuple[float, int]] = {}
+        found: dict[int, list[tuple[float, int]]] = defaultdict(list)
         for begin in range(0, max(1, len(words)), step):
-            for k, (score, start) in self.stretch(words[begin : begin + step + PASSAGE - STRIDE]).items():
-                if score > found.get(k, (0.0, 0))[0]:
-                    found[k] = (score, begin + start)
+            for k, score, start in self.stretch(words[begin : begin + step + PASSAGE - STRIDE]):
+                found[k].append((score, begin + start))
         return found
 
-    def stretch(self, words: list[str]) -> dict[int, tuple[float, int]]:
+    def stretch(self, words: list[str]) -> list[tuple[int, float, int]]:
+        """The same within some passages, for all of them at once: (item, score, start)."""
         get = self.number.get
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         at = np.flatnonzero(ids)
         if not len(at):
-            return {}
+            return []
         # a passage is two strides; a term counts once in each, which bounds what it adds from above
         n = len(self.number) + 1
         terms_of = np.unique(at // STRIDE * n + ids[at])
@@ -115,27 +115,30 @@ class Index:
         np.cumsum(self.maxima[term], axis=0, out=running[1:])
         first = np.arange(max(1, len(cuts) - 2))
         lo, hi = cuts[first], cuts[np.minimum(first + PASSAGE // STRIDE, len(cuts) - 1)]
-        found: dict[int, tuple[float, int]] = {}
+        found: list[tuple[int, float, int]] = []
         passages, blocks = np.nonzero(running[hi] - running[lo] >= 1 - 1e-4)
         for p, block in zip(passages.tolist(), blocks.tolist(), strict=True):
             scores: dict[int, float] = defaultdict(float)
             for t in set(term[lo[p] : hi[p]].tolist()):
                 for k, impact in self.postings.get((t, block), ()):
                     scores[k] += impact
-            for k, score in scores.items():
-                if score >= 1 and score > found.get(k, (0.0, 0))[0]:
-                    found[k] = (score, p * STRIDE)
+            found += [(k, score, p * STRIDE) for k, score in scores.items() if score >= 1]
         return found
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
-        """(item id, score, question overlap, answer overlap, word where the passage starts) of the verified items."""
+        """(item id, score, question overlap, answer overlap, word where the passage starts) of the verified items.
+
+        Of an item's passages the best one that is verified counts.
+        """
         words = terms(text)
         out = []
-        for k, (score, start) in self.search(words).items():
-            region = words[max(0, start - self.sizes[k]) : start + PASSAGE + self.sizes[k]]
-            q, a = (overlap(part, region) for part in self.parts[k])
-            if q >= QUESTION_SHARE and a >= ANSWER_SHARE:
-                out.append((self.ids[k], score, q, a, start))
+        for k, passages in self.search(words).items():
+            for score, start in sorted(passages, key=lambda x: (-x[0], x[1])):
+                region = words[max(0, start - self.sizes[k]) : start + PASSAGE + self.sizes[k]]
+                q, a = (overlap(part, region) for part in self.parts[k])
+                if q >= QUESTION_SHARE and a >= ANSWER_SHARE:
+                    out.append((self.ids[k], score, q, a, start))
+                    break
         return sorted(out)
 
 

@@ -62,6 +62,18 @@ def test_question_and_answer_must_both_be_there(spark):
     assert got == {1: [1], 2: [], 3: [1]}
 
 
+def test_a_better_passage_that_fails_hides_none(spark):
+    import random
+
+    item = "Which river flows through the old town of the northern province today? It is the long Ister river of course."
+    words = item.split()
+    random.Random(1).shuffle(words)
+    rest = item.rsplit(" ", 2)[0] + " of course."
+    text = " ".join(words) + " pad" * 300 + " " + rest
+    docs, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [x["item_id"] for x in L.contaminated(docs, bench).first()["leaks"]] == [1]
+
+
 def test_shards_agree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")

@@ -207,6 +207,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels after further edges: these become edges between labels, of which few are left."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    own = [F.coalesce(f"{side}_label", side).alias(side) for side in "ab"]
+    between = written(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(*own).where("a != b").distinct(), "between")
+    if between.isEmpty():
+        return labels
+    top = components(between)
+    lifted = labels.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+    new = top.join(labels.select("node"), "node", "left_anti")
+    return written(lifted.select("node", F.coalesce("top", "label").alias("label")).unionByName(new.select("node", "label")), "labels")
+
+
 #: Nodes up to which their list (16 bytes each) goes to all executors, so that texts that nobody resembles aren't shuffled; beyond it texts are.
 LISTED_NODES = 1_000_000
 
@@ -253,8 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = mixed.where("label != main").alias("p").join(mixed.alias("q"), apart & once & can_be_similar("p", "q") & first)
     across = few.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
     more = written(links(across.join(pairs, ["a", "b"], "left_anti"), texts), "links")
-    if not more.isEmpty():
-        labels = components(found.union(more))
+    labels = joined(labels, more)
     # a class is named by its least id
     named = labels.join(nodes.select("node", "id"), "node")
     names = written(named.groupBy("label").agg(F.min("id").alias("class")), "names")

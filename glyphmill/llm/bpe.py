@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.shared import ship
 
 #: The bound of a worker's table of chunks; it is emptied when full.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 #: Chunks up to this many characters are kept in the table.
 CACHE_CHARS = 64
 OUTPUT = "ids binary, n_tokens long, decoded string"
@@ -261,10 +261,10 @@ class WordBpe:
         cache = self.cache
         split = [[] if not x else CHUNK.findall(x) if ODD_SPACE.search(x) else x.split() for x in texts]
         new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in cache))
-        for at in range(0, len(new), 50_000):
-            words = [self.words(c) for c in new[at : at + 50_000]]
+        for at in range(0, len(new), 16_000):
+            words = [self.words(c) for c in new[at : at + 16_000]]
             found = self.encode_words(list(dict.fromkeys(w for x in words for w in x if isinstance(w, str))))
-            for c, x in zip(new[at : at + 50_000], words, strict=True):
+            for c, x in zip(new[at : at + 16_000], words, strict=True):
                 ids = [t for w in x for t in (found[w] if isinstance(w, str) else (w,))]
                 cache[c] = np.array(ids, "<u4").tobytes()
         for chunks in split:
@@ -286,7 +286,7 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def blocks(texts: pd.Series, chars: int = 4_000_000) -> Iterator[list[str | None]]:
+def blocks(texts: pd.Series, chars: int = 1_500_000) -> Iterator[list[str | None]]:
     """The texts in runs of about so many characters, which bounds the memory of a batch."""
     run: list[str | None] = []
     size = 0
@@ -316,6 +316,7 @@ def bpe(text: Column, path: str) -> Column:
         for texts in batches:
             out = [(ids, len(ids) // 4, model.decode(ids)) for run in blocks(texts) for ids in model.encode_batch(run)]
             yield pd.DataFrame(out, columns=["ids", "n_tokens", "decoded"])
+        model.cache.clear()  # workers live on, and other stages need the memory
 
     return run(text)
 
@@ -330,6 +331,7 @@ def token_count(text: Column, path: str) -> Column:
         model = tokenizer(path)
         for texts in batches:
             yield pd.Series([len(ids) // 4 for run in blocks(texts) for ids in model.encode_batch(run)], dtype="int64")
+        model.cache.clear()
 
     return run(text)
 

@@ -22,8 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a Python worker gets at once. Spark's default of 10,000 whole documents takes hundreds of MB, and as much again for what is made of them.
+ROWS_AT_ONCE = 1024
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors, whatever their working folder is. Done once for each context."""
+    """Make this package importable on executors, whatever their working folder is, and bound what a worker holds.
+
+    The package is sent once for each context; a number of rows that was set by hand stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
     context = spark.sparkContext
     if getattr(context, "_glyphmill_shipped", False):
         return

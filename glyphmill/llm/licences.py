@@ -1,8 +1,8 @@
 """Operator 5: licence scans by sentences and rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised and looked up among known licence
-sentences, and the sequence of the identifiers found is matched against ordered
-rules. What a rule has matched is taken out before the next rule looks. No rows are
+A text is cut into pieces, each is normalised, runs of pieces that wrapped lines or
+';' and ':' have cut are looked up among known licence sentences, and the sequence
+of the identifiers found is matched against ordered rules. What a rule has matched is taken out before the next rule looks. No rows are
 shuffled.
 """
 
@@ -74,7 +74,9 @@ RULES = (
     ("Proprietary", ("ar1",)),
 )
 #: Fixed value: each known sentence holds one of these, so texts without them have none.
-MAY = r"(?i)licen|permission|copyright|redistribut|warrant|rights reserved|public domain|cc0|free software"
+MAY = r"(?i)licen|permission|copyright|redistribut|warrant|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|cc0|free[^a-z0-9]+software"
+#: Pieces in a marked text end in '#' at a sentence's or paragraph's end, else in '|'; a known sentence may hold the latter between its words.
+KNOWN = "[|#] (?:" + "|".join(k.replace(" ", r"(?: \|)? ") for k in sorted((k for v in SENTENCES.values() for k in v), key=len, reverse=True)) + ")(?= [|#])"
 
 
 def normalised(sentence: Column) -> Column:
@@ -82,9 +84,29 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences end at a line's end, or at a mark before white space."""
-    return F.split(F.regexp_replace(text, r"([.!?;:])[ \t\r]+", "$1\n"), "\n")
+def marked(text: Column) -> Column:
+    """The normalised pieces of a text, each between two marks.
+
+    Pieces end at a line's end, or at one of .!?;: before white space. The mark is '#'
+    where a sentence ends, or at a line without letters and digits, and '|' where it may
+    go on: at other line ends and after ';' and ':'. Comment signs at a line's start are
+    no part of a piece.
+    """
+    out = F.concat(F.lit("#"), F.regexp_replace(F.translate(F.lower(text), "|#", "__"), r"(?md)^[ \t]*@?(?:rem|dnl)[ \t]+", ""), F.lit("#"))
+    steps = (
+        (r"[.!?](?:[ \t\r]+|(?=\n))", "#"),
+        (r"[;:][ \t\r]+", "|"),
+        (r"[^a-z0-9|#\n]+", " "),
+        (r"\|[| ]*+", "|"),
+        (r"[ |]*+\n[ |]*+", "\n"),
+        (r"\n\n+", "#"),
+        (r"[ |\n]*+#[ |\n#]*+", "#"),
+        (r" ?[|\n] ?", " | "),
+        (r"#", " # "),
+    )
+    for pattern, new in steps:
+        out = F.regexp_replace(out, pattern, new)
+    return out
 
 
 def identifier(sentence: Column) -> Column:
@@ -103,7 +125,7 @@ def licence_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     between, and counts once however often it matches.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    found = F.filter(F.transform(sentences(text), lambda s: identifier(normalised(s))), lambda x: x != "")
+    found = F.transform(F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0)), lambda s: identifier(normalised(s)))
     out = docs.withColumn("sentence_ids", F.when(text.rlike(MAY), found).otherwise(F.array().cast("array<string>")))
     rest = F.concat(F.array_join("sentence_ids", " "), F.lit(" "))
     hits = []

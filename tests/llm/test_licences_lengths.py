@@ -29,6 +29,86 @@ def test_every_known_sentence_may_be_found(spark):
     assert all(k.startswith(("mi4", "mi5", "ap", "gp", "bs")) for k, v in licences.SENTENCES.items() if set(v) & set(needs))
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_FILE = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+OFFICIAL = {"MIT": (MIT_FILE, "mi2 mi3 mi4 mi5"), "BSD-3-Clause": (BSD_FILE, "ar1 bs1 bs2 bs3 bs4"), "Apache-2.0": (APACHE_HEADER, "ap1 ap2 ap3 ap4 ap5"), "GPL-3.0-or-later": (GPL_HEADER, "gp2 gp3 gp4 gp5")}
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", "// ", " * ", ";; ", "REM ", "dnl ", "\t", "-- | "])
+def test_official_texts_with_wrapped_lines(spark, prefix):
+    forms = [(name, ids, form) for name, (text, ids) in OFFICIAL.items() for form in ("".join(prefix + x + "\n" for x in text.split("\n")), "".join(prefix + x + "\r\n" for x in text.split("\n")))]
+    df = spark.createDataFrame([(i, f[2]) for i, f in enumerate(forms)], "id long, text string")
+    got = [(r["sentence_ids"], r["licences"]) for r in licences.licence_scan(df).orderBy("id").collect()]
+    assert got == [(ids.split(), [name] + ["Proprietary"] * ("ar1" in ids)) for name, ids, _ in forms]
+
+
+def test_where_sentences_go_on(spark):
+    got = scan(spark, "All rights\nreserved", "All Rights-Reserved", "all rights. reserved", "All rights\n\nreserved", "All rights.\nreserved", " ".join(GPL_HEADER.split()), "; " * 9999 + "all rights |\n" + "# reserved", "Released under the MIT\nLicense and more")
+    assert got == [["Proprietary"], ["Proprietary"], [], [], [], ["GPL-3.0-or-later"], ["Proprietary"], []]
+
+
 def test_same_as_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")

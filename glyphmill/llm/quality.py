@@ -67,18 +67,20 @@ def normalised(line: Column) -> Column:
 
 
 def boilerplate_words(docs: DataFrame) -> DataFrame:
-    """(id, copy, boilerplate): the words of each document that stand in lines above the limit; documents without such lines are absent.
+    """(host, copy, boilerplate): the words of each distinct text of a host that stand in lines above the limit; texts without such lines are absent.
 
-    docs: (id, host, text). Documents with equal texts count as one, so that copies
-    alone make no line boilerplate.
+    docs: (host, text). Documents with equal texts count as one, so that copies alone
+    make no line boilerplate. ``copy`` is the text's hash; rows that repeat a text of a
+    host are summed each for itself, and one of the equal sums is taken.
     """
     lines = F.filter(F.split("text", "\n"), lambda x: without(x, SPACES) != "")
     one = lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words(x)).alias("n"))
-    split = docs.select("id", F.coalesce("host", F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), F.transform(lines, one).alias("lines"))
+    split = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("host", F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), F.transform(lines, one).alias("lines"))
     seen = split.select("host", "copy", F.explode(F.array_distinct(F.transform("lines", lambda x: x.line))).alias("line")).distinct()
     common = written(seen.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > MOST_DOCUMENTS).select("host", "line"), "common-lines")
-    rows = split.select("id", "copy", "host", F.explode("lines").alias("x")).select("id", "copy", "host", "x.line", "x.n")
-    return rows.join(common, ["host", "line"], "left_semi").groupBy("id", "copy").agg(F.sum("n").alias("boilerplate"))
+    rows = split.select("row", "copy", "host", F.explode("lines").alias("x")).select("row", "copy", "host", "x.line", "x.n")
+    sums = rows.join(common, ["host", "line"], "left_semi").groupBy("host", "copy", "row").agg(F.sum("n").alias("boilerplate"))
+    return sums.groupBy("host", "copy").agg(F.max("boilerplate").alias("boilerplate"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -90,8 +92,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").alias("host"), text.alias("text"))
     removed = boilerplate_words(rows)
-    counted = base_counts(rows.withColumn("copy", F.xxhash64("text")), F.col("text")).drop("text", "host")
-    on = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.copy") == F.col("b.copy"))
+    counted = base_counts(rows.withColumn("copy", F.xxhash64("text")), F.col("text")).drop("text")
+    on = (F.coalesce("a.host", F.lit("")) == F.col("b.host")) & (F.col("a.copy") == F.col("b.copy"))
     both = counted.alias("a").join(removed.alias("b"), on, "left")
     gone = F.coalesce("b.boilerplate", F.lit(0))
     failed = (F.col("a.n_words") < LEAST_WORDS) | (100 * F.col("a.n_repeat_words") > MOST_REPEATED * F.col("a.n_words"))

@@ -46,6 +46,18 @@ def test_boilerplate_is_counted_by_distinct_documents_of_a_host(spark):
     assert all(got[i] == (True, 0) for i in got if i >= 100)
 
 
+def test_repeated_rows_are_judged_each_by_its_own_text(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(32))
+    line = " ".join(f"same{k}" for k in range(8))
+    rows = [(i, f"{own(i)}\n{line}", host) for host in ("hot", None) for i in range(Q.MOST_DOCUMENTS + 1)]
+    rows += [(500, f"{own(500)}\n{line}", "hot")] * 3 + [(None, f"{own(501)}\n{line}", "hot")] * 4
+    rows += [(502, f"{own(502)}\n{line}", host) for host in ("hot", "cold", None)]
+    got = Q.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(r["kept"] for r in got)
+    assert all(r["n_boilerplate_words"] == 8 for r in got if r["doc_id"] != 502)
+    assert sorted(r["n_boilerplate_words"] for r in got if r["doc_id"] == 502) == [0, 8, 8]
+
+
 def test_awkward(awkward):
     rows = Q.quality(awkward).collect()
     assert len(rows) == 9 and next(r for r in rows if r["doc_id"] == 1)["base_failed"]

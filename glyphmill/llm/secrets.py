@@ -3,8 +3,8 @@
 Three fixed patterns give the base spans. Further spans come from candidate strings
 whose Shannon entropy in a sliding window is high for their class of characters. The
 window's entropy is kept by incremental counts: a step forward changes the sum of
-c * log2(c) only by the character that leaves and the one that enters. Placeholders
-and identifiers on an allow-list are let be. No rows are shuffled.
+c * log2(c) only by the character that leaves and the one that enters. Placeholders,
+paths and identifiers on an allow-list are let be. No rows are shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ VALUE_CHARS = 6
 #: Greedy runs with a least length are the greedy runs that are long enough.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Runs of 20 or more characters that hold a digit, tried where a run begins only.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Runs of 20 or more characters that hold a digit or letters of both cases, tried where a run begins only.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})"
+    r"(?=[A-Za-z+/_=-]*+[0-9]|[A-Z+/_=-]*+[a-z][a-z+/_=-]*+[A-Z]|[+/_=-]*+[A-Z][A-Z+/_=-]*+[a-z])[A-Za-z0-9+/_=-]{20,}"
+)
 WINDOW = 20
 #: Characters of a candidate that one fold takes at most; the next starts WINDOW - 1 before its end.
 SLICE = 256
@@ -35,12 +38,19 @@ CLASSES = (
     (r"^[0-9a-z+/_=-]+$|^[0-9A-Z+/_=-]+$", 3.7),
     (r"", 3.5),
 )
+#: A word in one case or with a capital, a name of up to five such words, with or without a number; or a number.
+WORD = r"(?:(?:[A-Z]?[a-z]{1,16}|[A-Z]{1,16}|[A-Z]?[a-z]{2,12}(?:[A-Z][a-z]{2,12}){1,4})[0-9]{0,4}|[0-9]{1,16})"
+#: Words with separators between them only.
+WORDS = rf"^[+/_=-]*+(?:{WORD}(?:[+/_=-]++|$))*+$"
+#: Letters only, and all of them in words: parts of names in mixed case, short ones of them, or capitals up to a separator.
+NAME = r"^[+/_=-]*+(?:(?:[A-Z]{0,5}[a-z]{2,20}|As|At|By|Do|Go|Id|If|In|Is|It|My|No|Of|On|Or|To|Up|[A-Z]{1,16}(?=[+/_=-]|$))[+/_=-]*+)*+$"
 #: What is no secret, however it looks.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|your[_-]?(?:key|token|secret)|xxxx|0123456789|1234567890|abcdefgh",
     r"^(?:https?|www)[:/]",
-    r"^/?(?:[A-Za-z0-9_-]{1,16}/){2,}",
+    rf"^(?=/?[^/]++/[^/]++/)[/_-]*+(?:{WORD}(?:[/_-]++|$))*+$",
+    NAME,
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
 )
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -115,11 +125,40 @@ def high_entropy(s: Column) -> Column:
     return ~allowed & F.when(need > math.log2(WINDOW), False).otherwise(tops >= need)
 
 
+def _outside(text: Column, base: Column, x: Column) -> Column:
+    """The parts of a candidate that no base span covers; all of it if none touches it.
+
+    A part made of words only, such as a path before a hash or a key's name, is let be,
+    unless a hex or access span goes on in it without a separator.
+    """
+    touching = F.filter(base, lambda b: (b.start < x.stop) & (x.start < b.stop))
+    inside = lambda k: k.isin(KINDS.index("access"), KINDS.index("hex"))
+    none = F.array().cast("array<struct<start:int,stop:int,left:boolean,right:boolean>>")
+
+    def part(acc: Column, stop: Column, right: Column) -> Column:
+        one = F.array(F.struct(acc.at.alias("start"), stop.alias("stop"), acc.left.alias("left"), right.alias("right")))
+        return F.when(stop > acc.at, F.concat(acc.parts, one)).otherwise(acc.parts)
+
+    def step(acc: Column, b: Column) -> Column:
+        left = F.when(b.stop > acc.at, inside(b.kind)).otherwise(acc.left)
+        return F.struct(F.greatest(acc.at, b.stop).alias("at"), left.alias("left"), part(acc, b.start, inside(b.kind)).alias("parts"))
+
+    def kept(p: Column) -> Column:
+        s = F.substring(text, p.start + 1, p.stop - p.start)
+        return ~s.rlike(WORDS) | (p.left & s.rlike("^[A-Za-z0-9]")) | (p.right & s.rlike("[A-Za-z0-9]$"))
+
+    start = F.struct(x.start.alias("at"), F.lit(False).alias("left"), none.alias("parts"))
+    parts = F.aggregate(touching, start, step, lambda acc: part(acc, x.stop, F.lit(False)))
+    span = lambda p: F.struct(p.start.alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), p.stop.alias("stop"))
+    return F.when(F.size(touching) == 0, F.array(x)).otherwise(F.transform(F.filter(parts, kept), span))
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
-    """The spans of candidates with high entropy that no base span touches."""
+    """The spans of candidates with high entropy, without what base spans cover."""
     found = F.when(text.rlike(CANDIDATE), _found(text, CANDIDATE, "entropy")).otherwise(_none())
-    free = lambda x: ~F.exists(base, lambda b: (b.start < x.stop) & (x.start < b.stop))
-    return F.filter(found, lambda x: free(x) & high_entropy(F.substring(text, x.start + 1, x.stop - x.start)))
+    covered = lambda x: F.exists(base, lambda b: (b.start <= x.start) & (x.stop <= b.stop))
+    secret = F.filter(found, lambda x: ~covered(x) & high_entropy(F.substring(text, x.start + 1, x.stop - x.start)))
+    return F.flatten(F.transform(secret, lambda x: _outside(text, base, x)))
 
 
 def digest(spans: Column) -> Column:

@@ -36,6 +36,23 @@ def test_entropy_and_allow_list(spark):
     assert row["r"] == text.replace(yes, "[REDACTED]")
 
 
+def test_keys_with_slashes_without_digits_and_around_base_spans(spark):
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ7kLmN2pR", "/aB3/xYz9kLq2WvTr8NpMs4HdGfC5b6Jt1Zu", "qWzXvBnMkLpRtYsDfGhJ", "hQ/bXwJkZr+PvTfMnLsDyGcQ"]
+    names = [
+        "usr/local/lib/python3/dist-packages/numpy", "src/main/java/org/apache/HttpClient", "2021/03/14/some-post-title", "getElementsByClassNameAndId", "Content-Security-Policy-Report-Only",
+        "XMLHttpRequestEventTarget", "/a" * 10000, "aB" + "Word" * 3000,
+    ]
+    hexes = "3fa94c07de5b18f26c0a9b7d"
+    cut = [
+        (f"Zm9vQmFyX{hexes}QxYz7K", "[REDACTED][REDACTED][REDACTED]"), (f"github/linux/commit/{hexes}", "github/linux/commit/[REDACTED]"),
+        (f"myKey_{hexes}G", "myKey_[REDACTED][REDACTED]"), (f"pq{hexes}/Fk29sLwQ", "[REDACTED][REDACTED][REDACTED]"), ("mytoken=Zm9vYmFyQmF6cXV4MTIz", "my[REDACTED]"),
+    ]
+    cases = [(k, "[REDACTED]") for k in keys] + [(n, n) for n in names] + cut
+    df = spark.createDataFrame([(i, f"see {text} end") for i, (text, _) in enumerate(cases)], "id long, text string")
+    got = [r["r"] for r in secret_scan(df).orderBy("id").select(redacted(F.col("text"), F.col("all_spans")).alias("r")).collect()]
+    assert [g.replace("][REDACTED", "") for g in got] == [f"see {w} end".replace("][REDACTED", "") for _, w in cases]
+
+
 def test_window_entropy_is_the_entropy(spark):
     import math
     from collections import Counter

@@ -17,30 +17,33 @@ def longest(x: str = "x", y: str = "y") -> Column:
     return F.greatest(F.size(x), F.size(y))
 
 
-def packed(rows: DataFrame, max_toks: int, max_sents: int, part: str = "part", order: tuple[str, ...] = ("len", "id"), strict: bool = False) -> DataFrame:
-    """(part, id, batch): rows in order fill a batch until the next would not fit.
+def packed(
+    rows: DataFrame, max_toks: int, max_sents: int, part: str = "part", order: tuple[str, ...] = ("len", "id"), strict: bool = False, keys: tuple[str, ...] = ("id",), alone: bool = False
+) -> DataFrame:
+    """(part, keys, batch): rows in order fill a batch until the next would not fit.
 
-    rows: (part, id, len). A batch of n rows of which the longest has m tokens fits if
+    rows: (part, keys, len). A batch of n rows of which the longest has m tokens fits if
     n * m <= max_toks. It also ends once it has more than max_sents rows, or as many if
-    strict. A row longer than max_toks raises. Parts must be small enough for one task.
+    strict. A row longer than max_toks raises, or is a batch of its own if alone. Parts must be small enough for one task.
     """
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         batch, n, widest, out = 0, 0, 0, []
         for size in frame["len"].tolist():
-            if size > max_toks:
+            if size > max_toks and not alone:
                 raise ValueError(f"a row has {size} tokens, a batch {max_toks}")
             full = (n + 1) * max(widest, size) > max_toks or (n >= max_sents if strict else n > max_sents)
             if n and full:
                 batch, n, widest = batch + 1, 0, 0
             n, widest = n + 1, max(widest, size)
             out.append(batch)
-        return pd.DataFrame({"part": frame["part"], "id": frame["id"], "batch": out})
+        return frame[["part", *keys]].assign(batch=out)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pack(frame.sort_values(list(order), kind="stable"))
 
-    return rows.select(F.col(part).cast("long").alias("part"), "id", F.col("len").cast("long").alias("len")).groupBy("part").applyInPandas(run, "part long, id long, batch long")
+    slim = rows.select(F.col(part).cast("long").alias("part"), *[F.col(k).cast("long").alias(k) for k in keys], F.col("len").cast("long").alias("len"))
+    return slim.groupBy("part").applyInPandas(run, ", ".join(f"{c} long" for c in ("part", *keys, "batch")))
 
 
 def parts(rows: DataFrame, size: int = 5_000_000, id_col: str = "id") -> Column:
@@ -62,15 +65,15 @@ def padded(ids: Column, width: Column) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(PAD), width - F.size(ids)))
 
 
-def batches(rows: DataFrame, members: DataFrame, longest_first: bool = False) -> DataFrame:
+def batches(rows: DataFrame, members: DataFrame, longest_first: bool = False, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """(part, batch, ids, x_len, y_len, x_seqs, y_seqs, x_toks, y_toks, max_x_len, max_y_len), a row for each batch.
 
-    rows: (part, id, x, y). Sequences get EOS, then are padded to the batch's longest.
+    rows: (part, keys, x, y), with an id among the keys. Sequences get EOS, then are padded to the batch's longest.
     """
     first = (-F.size("x") if longest_first else F.lit(0)).alias("o")
     one = F.struct(first, "id", "x", "y")
     ended = rows.withColumns({"x": ends(F.col("x")), "y": ends(F.col("y"))})
-    whole = members.join(ended, ["part", "id"]).groupBy("part", "batch").agg(F.array_sort(F.collect_list(one)).alias("r"))
+    whole = members.join(ended, ["part", *keys]).groupBy("part", "batch").agg(F.array_sort(F.collect_list(one)).alias("r"))
     side = lambda s: lambda t: t[s]
     whole = whole.withColumns({f"{s}_len": F.transform(F.transform("r", side(s)), F.size) for s in "xy"})
     whole = whole.withColumns({f"max_{s}_len": F.array_max(f"{s}_len") for s in "xy"})

@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def paired(src: DataFrame, tgt: DataFrame, key: str, src_text: str = "text", tgt_text: str = "text") -> DataFrame:
-    """(id, x, y) of rows with equal keys; pairs with a side that is null or empty are left out."""
-    a = src.select(F.col(key).alias("id"), F.col(src_text).alias("x")).where("x <> ''")
-    b = tgt.select(F.col(key).alias("id"), F.col(tgt_text).alias("y")).where("y <> ''")
-    return a.join(b, "id")
+def paired(src: DataFrame, tgt: DataFrame, key: str | list[str], src_text: str = "text", tgt_text: str = "text") -> DataFrame:
+    """(id, x, y) of rows with equal keys, or (keys, x, y) for a list of them; pairs with a side that is null or empty are left out."""
+    keys = [F.col(key).alias("id")] if isinstance(key, str) else [F.col(k) for k in key]
+    a = src.select(*keys, F.col(src_text).alias("x")).where("x <> ''")
+    b = tgt.select(*keys, F.col(tgt_text).alias("y")).where("y <> ''")
+    return a.join(b, ["id"] if isinstance(key, str) else key)
 
 
 def pieces(pairs: DataFrame, src: Callable[[Column], Column], tgt: Callable[[Column], Column]) -> DataFrame:
-    """(id, x, y) as arrays; pairs with an empty side are left out."""
-    return pairs.select("id", src(F.col("x")).alias("x"), tgt(F.col("y")).alias("y")).where((F.size("x") > 0) & (F.size("y") > 0))
+    """``pairs`` with x and y as arrays; pairs with an empty side are left out."""
+    return pairs.withColumns({"x": src(F.col("x")), "y": tgt(F.col("y"))}).where((F.size("x") > 0) & (F.size("y") > 0))
 
 
 def truncated(pairs: DataFrame, src_len: int, tgt_len: int) -> DataFrame:

@@ -437,11 +437,11 @@ def gram_precision_recall(spark, sf_dir):
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's turn and the assistant's turn right after it."""
+    """(conv_id, turn, x, y, id): a user's turn and the assistant's turn right after it. Ids of conversations with 1000 turns or more may be those of others."""
     rows = turns(spark, sf_dir)
-    user = rows.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    said = rows.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("id"), "text")
-    return P.paired(user, said, "id")
+    user = rows.where("role = 'user'").select("conv_id", "turn", "text")
+    said = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
+    return P.paired(user, said, KEYS).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
 
 
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,12 +449,12 @@ def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"x": F.array_join("x", " "), "y": F.array_join("y", " ")})
+    return rows.select("id", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 
 @query(f"WITH {S.BITEXT} SELECT id, x, y FROM pairs")
 def bitext_join(spark, sf_dir):
-    return pairs(spark, sf_dir)
+    return pairs(spark, sf_dir).select("id", "x", "y")
 
 
 WORD_PAIRS = f"{S.BITEXT}, wp AS (SELECT * FROM (SELECT id, {S.words('x')} AS x, {S.words('y')} AS y FROM pairs) WHERE len(x) > 0 AND len(y) > 0)"
@@ -495,26 +495,31 @@ def packing(order: str, more: str) -> str:
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = word_pairs(spark, sf_dir).withColumn("len", B.longest()).where("len <= 2000")
+    rows = word_pairs(spark, sf_dir).withColumn("len", B.longest())
     return rows.withColumn("part", B.parts(rows, PART))
 
 
+def pack(rows: DataFrame, order: tuple[str, ...] = ("len", "id", *KEYS), strict: bool = False) -> DataFrame:
+    """(part, id, KEYS, batch): batches of 2000 words; a pair with more is a batch of its own."""
+    return B.packed(rows, 2000, 16, order=order, strict=strict, keys=("id", *KEYS), alone=True)
+
+
 @query(f"WITH RECURSIVE {ROWS}, {packing('len, id', '> 16')} SELECT part, id, batch FROM walk")
 def batch_pack_eq_len(spark, sf_dir):
-    return B.packed(lengths(spark, sf_dir), 2000, 16)
+    return pack(lengths(spark, sf_dir)).select("part", "id", "batch")
 
 
 @query(f"WITH RECURSIVE {ROWS}, {packing('id', '>= 16')} SELECT part, id, batch FROM walk")
 def batch_pack_stream(spark, sf_dir):
-    return B.packed(lengths(spark, sf_dir), 2000, 16, order=("id",), strict=True)
+    return pack(lengths(spark, sf_dir), order=("id", *KEYS), strict=True).select("part", "id", "batch")
 
 
 def class_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of pairs whose sequences are the lengths of their words (from 4 on)."""
     rows = lengths(spark, sf_dir)
-    members = written(B.packed(rows, 2000, 16), "members")
+    members = written(pack(rows), "members")
     one = lambda w: F.char_length(w) + 3
-    return B.batches(rows.withColumns({s: F.transform(s, one) for s in "xy"}), members)
+    return B.batches(rows.withColumns({s: F.transform(s, one) for s in "xy"}), members, keys=("id", *KEYS))
 
 
 BATCHED = f"""WITH RECURSIVE {ROWS}, {packing("len, id", "> 16")},

@@ -129,3 +129,27 @@ def test_ends_and_masks(spark):
     assert row["t"] == [[1, 3], [2, 4]]
     with pytest.raises(Exception, match="EOS"):
         spark.range(1).select(B.ends(F.array(F.lit(3)), absent=True)).collect()
+
+
+def test_pairs_of_long_conversations_and_over_the_budget(spark, tmp_path):
+    from glyphmill.plans import catalogue as K
+
+    rows = [(1, t, ("user", "assistant")[t % 2], f"one{t} a") for t in range(1004)]
+    rows += [(2, t, ("user", "assistant")[t % 2], f"two{t}" + " b" * (2500 if t == 1 else 1)) for t in range(4)] + [(3, 0, "user", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    sf = str(tmp_path)
+    got = {(r["x"].split()[0], r["y"].split()[0]) for r in K.QUERIES["bitext_join"](spark, sf).collect()}
+    assert got == {(f"{w}{t}", f"{w}{t + 1}") for w, n in (("one", 1004), ("two", 4)) for t in range(0, n, 2)}
+    assert K.QUERIES["bitext_join"](spark, sf).count() == 504
+    assert sum(int(r["n"]) for r in K.QUERIES["store_part_manifest"](spark, sf).collect()) == 504
+    for name in ("batch_pack_eq_len", "batch_pack_stream"):
+        packed = K.QUERIES[name](spark, sf).collect()
+        assert len(packed) == 504
+        members = [r["id"] for r in packed]
+        assert sorted(members) == sorted([1000 + t for t in range(0, 1004, 2)] + [2000, 2002])
+    stats = K.QUERIES["batch_stats"](spark, sf).collect()
+    assert sum(r["n"] for r in stats) == 504 and sum(r["x_toks"] for r in stats) == 503 * 3 + 3
+    assert [r["n"] for r in stats if r["max_y_len"] == 2502] == [1]
+    padded = K.QUERIES["batch_pad_bos_eos"](spark, sf).collect()
+    assert sum(len(r["x_seqs"].split(";")) for r in padded) == 504

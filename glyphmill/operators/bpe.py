@@ -89,16 +89,17 @@ def merges(words: DataFrame, n_types: int, most: int, least: int = 2, at_once: i
     return done, words
 
 
-def learn_bpe(rows: DataFrame, text: str = "text", size: int = 8000, coverage: float = 0.9995, min_co_evidence: int = 95, word_freqs: DataFrame | None = None) -> DataFrame:
-    """A vocabulary of characters and merged subwords of at most ``size`` types. A merge's frequency is its pair's."""
+def learn_bpe(rows: DataFrame, text: str = "text", size: int = 8000, coverage: float = 0.9995, min_co_evidence: int = 95, word_freqs: DataFrame | None = None, more: int | None = None) -> DataFrame:
+    """A vocabulary of characters and merged subwords of at most ``size`` types, or of at most ``more`` merges beyond the characters. A merge's frequency is its pair's."""
     freqs = written(N.word_freq(rows, text) if word_freqs is None else word_freqs, "word-freqs")
     chars = N.char_freq_of_words(freqs, T.SPACE)
     n_lines = rows.where(F.col(text).isNotNull()).count()
     base = written(init_vocab(chars, n_lines, "char", coverage), "base")
     n = base.count()
-    if size <= n:
+    most = size - n if more is None else more
+    if most <= 0:
         return base
-    found, _ = merges(written(start_words(freqs, base), "words"), n, size - n, min_co_evidence)
+    found, _ = merges(written(start_words(freqs, base), "words"), n, most, min_co_evidence)
     return with_merges(base, found)
 
 

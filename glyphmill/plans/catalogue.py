@@ -287,7 +287,7 @@ def bpe_length_tracker(spark, sf_dir):
 
 @query()
 def bpe_learn_full(spark, sf_dir):
-    return shown(M.learn_bpe(documents(spark, sf_dir), size=160, min_co_evidence=2))
+    return shown(M.learn_bpe(documents(spark, sf_dir), more=72, min_co_evidence=2))
 
 
 def piece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,21 +337,21 @@ CHARS_OF_LINE = S.chars(f"array_to_string({S.words('text')}, '▁') || '▁'")
 
 @query(f"WITH {S.BPE_BASE}, {S.encoded(CHARS_OF_LINE, 'b', 'CAST(coalesce(v.idx, 1) AS VARCHAR)', table='benchmark', keys='item_id')} SELECT item_id, ids FROM encoded")
 def bpe_split_full(spark, sf_dir):
-    vocab = written(M.learn_bpe(documents(spark, sf_dir), size=125, min_co_evidence=2), "vocab")
+    vocab = written(M.learn_bpe(documents(spark, sf_dir), more=37, min_co_evidence=2), "vocab")
     encoded = M.encode_bpe(table(spark, sf_dir, "benchmark"), ["item_id"], vocab)
     return as_text(M.split_down(encoded, ["item_id"], vocab, 1.0))
 
 
 @query()
 def bpe_stochastic_split(spark, sf_dir):
-    vocab = written(M.learn_bpe(documents(spark, sf_dir), size=125, min_co_evidence=2), "vocab")
+    vocab = written(M.learn_bpe(documents(spark, sf_dir), more=37, min_co_evidence=2), "vocab")
     encoded = M.encode_bpe(table(spark, sf_dir, "benchmark"), ["item_id"], vocab)
     return as_text(M.split_down(encoded, ["item_id"], vocab, 0.3, seed=11))
 
 
 @query()
 def bpe_permutations(spark, sf_dir):
-    vocab = written(M.learn_bpe(documents(spark, sf_dir), size=125, min_co_evidence=2), "vocab")
+    vocab = written(M.learn_bpe(documents(spark, sf_dir), more=37, min_co_evidence=2), "vocab")
     return M.permutations(vocab, vocab.where("level = 1"))
 
 

@@ -153,3 +153,14 @@ def test_pairs_of_long_conversations_and_over_the_budget(spark, tmp_path):
     assert [r["n"] for r in stats if r["max_y_len"] == 2502] == [1]
     padded = K.QUERIES["batch_pad_bos_eos"](spark, sf).collect()
     assert sum(len(r["x_seqs"].split(";")) for r in padded) == 504
+
+
+def test_full_learner_merges_beyond_any_number_of_characters(spark, tmp_path):
+    from glyphmill.plans import catalogue as K
+
+    letters = [chr(0x4E00 + i) for i in range(400)]
+    rows = [(i, " ".join([*letters, "abab abc abc"])) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {r["name"] for r in K.QUERIES["bpe_learn_full"](spark, str(tmp_path)).collect()}
+    assert "ab" in names and set(letters) <= names
+    assert "a b" in {r["cut"] for r in K.QUERIES["bpe_permutations"](spark, str(tmp_path)).collect()}

@@ -225,10 +225,11 @@ LISTED_NODES = 1_000_000
 
 
 def texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text), one row for each of the nodes (node, id)."""
+    """(node, text), one row for each of the nodes (node, id). The id is null where only rows without one hold the text."""
     nodes = written(nodes, "needed")
     few = nodes.count() <= LISTED_NODES
-    found = rows.join(F.broadcast(nodes) if few else nodes, ["node", "id"], "left_semi").select("node", "text")
+    one = (F.col("r.node") == F.col("n.node")) & F.col("r.id").eqNullSafe(F.col("n.id"))
+    found = rows.alias("r").join((F.broadcast(nodes) if few else nodes).alias("n"), one, "left_semi").select("node", "text")
     return written(found.dropDuplicates(["node"]), "texts")
 
 

@@ -93,6 +93,14 @@ def test_bound_never_loses_a_pair(spark):
     assert links and links <= kept
 
 
+def test_near_copies_with_null_ids_keep_their_links(spark):
+    words = [f"w{i}" for i in range(160)]
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    rows = [(7, changed()), (None, changed(10)), (3, changed(150)), (None, "alone one two three four five six")]
+    got = Counter((r["id"], r["class"]) for r in L.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(7, 3): 1, (None, 3): 1, (3, 3): 1, (None, None): 1})
+
+
 def test_awkward(spark, awkward):
     got = Counter((r["id"], r["class"]) for r in L.near_duplicates(awkward).collect())
     assert got == Counter({(1, 1): 1, (2, 2): 1, (3, 3): 1, (4, 4): 1, (5, 5): 1, (6, 6): 2, (None, None): 1, (7, 7): 1})

@@ -281,7 +281,7 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
@@ -311,12 +311,14 @@ def bpe(text: Column, path: str) -> Column:
     @F.pandas_udf(OUTPUT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from glyphmill.llm.bpe import blocks, tokenizer
+        from glyphmill.llm.shared import settle
 
         model = tokenizer(path)
         for texts in batches:
             out = [(ids, len(ids) // 4, model.decode(ids)) for run in blocks(texts) for ids in model.encode_batch(run)]
             yield pd.DataFrame(out, columns=["ids", "n_tokens", "decoded"])
-        model.cache.clear()  # workers live on, and other stages need the memory
+        model.cache.clear()
+        settle()
 
     return run(text)
 
@@ -327,11 +329,13 @@ def token_count(text: Column, path: str) -> Column:
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from glyphmill.llm.bpe import blocks, tokenizer
+        from glyphmill.llm.shared import settle
 
         model = tokenizer(path)
         for texts in batches:
             yield pd.Series([len(ids) // 4 for run in blocks(texts) for ids in model.encode_batch(run)], dtype="int64")
         model.cache.clear()
+        settle()
 
     return run(text)
 

@@ -170,8 +170,11 @@ def searched(text: Column, index: Broadcast) -> Column:
 
     @F.pandas_udf(FOUND)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from glyphmill.llm.shared import settle
+
         for texts in batches:
             yield pd.Series([[dict(zip(names, x, strict=True)) for x in index.value.leaks(t)] for t in texts], dtype=object)
+        settle()
 
     return search(text)
 

@@ -169,8 +169,11 @@ def language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from glyphmill.llm.shared import settle
+
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        settle()
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.withColumn("_lang", run(F.col(f"`{text_col}`"))).select(*keep, "_lang.lang_pred", "_lang.score")

@@ -117,9 +117,11 @@ def band_hashes(text: Column) -> Column:
     @F.pandas_udf("array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from glyphmill.llm.neardup import bands
+        from glyphmill.llm.shared import settle
 
         for texts in batches:
             yield pd.Series([bands(t) for t in texts], dtype=object)
+        settle()
 
     return run(text)
 
@@ -136,9 +138,11 @@ def sketches(text: Column) -> Column:
     @F.pandas_udf("total bigint, kinds bigint, bits array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from glyphmill.llm.neardup import sketch
+        from glyphmill.llm.shared import settle
 
         for texts in batches:
             yield pd.DataFrame([sketch(t) for t in texts], columns=["total", "kinds", "bits"])
+        settle()
 
     return run(text)
 
@@ -169,6 +173,7 @@ def verified(a: Column, b: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from glyphmill.llm.neardup import SIMILAR, shingles, similarity
+        from glyphmill.llm.shared import settle
 
         for left, right in batches:
             last, known = None, None
@@ -178,6 +183,7 @@ def verified(a: Column, b: Column) -> Column:
                     last, known = y, shingles(y)
                 out.append(similarity(shingles(x), known) >= SIMILAR - 1e-9)
             yield pd.Series(out, dtype=bool)
+        settle()
 
     return run(a, b)
 

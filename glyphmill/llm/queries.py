@@ -126,9 +126,10 @@ def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> None:
-    from glyphmill.llm import licences
+    from glyphmill.llm import licences, quality
 
     SQL["op5_licences"] = licences.oracle()
+    SQL["op9_quality"] = quality.oracle()
 
 
 _sql()

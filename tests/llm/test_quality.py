@@ -58,6 +58,28 @@ def test_repeated_rows_are_judged_each_by_its_own_text(spark):
     assert sorted(r["n_boilerplate_words"] for r in got if r["doc_id"] == 502) == [0, 8, 8]
 
 
+def test_query_equals_its_sql_and_the_method_rejects(spark):
+    import duckdb
+
+    from glyphmill.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    want = con.execute(SQL["op9_quality"])
+    names = [d[0] for d in want.description]
+    got = QUERIES["op9_quality"](spark, "/root/testdata/sf0.01").select(*names).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"{own(i)}\n{' '.join(f'same{k}' for k in range(40))}", "en", None if i % 2 else "s") for i in range(2 * Q.MOST_DOCUMENTS + 2)]
+    frame = spark.createDataFrame([*rows, (1, "a  B\t1\n#", "en", None), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    con.register("d", frame.toPandas())
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE VIEW documents AS SELECT * FROM d")
+    found = Q.quality(frame).select(*names).collect()
+    assert Counter(map(tuple, found)) == Counter(con.execute(SQL["op9_quality"]).fetchall())
+    assert sum(not r["kept"] and not r["base_failed"] for r in found) == 2 * Q.MOST_DOCUMENTS + 2
+
+
 def test_awkward(awkward):
     rows = Q.quality(awkward).collect()
     assert len(rows) == 9 and next(r for r in rows if r["doc_id"] == 1)["base_failed"]

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.shared import ship
 
-#: The pages that training is drawn to (the expected size of a draw by hash), and the rebuilt pages made of each.
-SAMPLE_PAGES, REBUILT = 300, 4
+#: The pages that training draws at most, the characters of a page that may be drawn, and the rebuilt pages made of each.
+SAMPLE_PAGES, SAMPLE_CHARS, REBUILT = 300, 200_000, 5
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""", re.S
 )
+#: A tag with a quote that is never closed ends at the next '>'.
+ODD_TOKEN = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Fixed values of HTML.
@@ -75,10 +77,12 @@ class Page:
         for f, chars, linked in zip(self.features, self.chars, self.linked, strict=True):
             share = linked / chars if chars else 0.0
             f.append(f"chars={min(6, len(str(chars)) * 2 - (str(chars)[0] < '4')) if chars else 0}")
-            f.append(f"links={'all' if share > 0.8 else 'many' if share > 0.3 else 'some' if share else 'none'}")
+            links = "all" if share > 0.8 else "many" if share > 0.3 else "some" if share else "none"
+            f += [f"links={links}", f"{f[0]} links={links}"]
 
     def _read(self, html: str) -> None:
         open_: list[tuple[str, int]] = [("", 0)]  # element, and the block node it stands in
+        places: dict[str, list[int]] = {}  # of each tag, where in open_ it stands
         piece: list[str] = []
         links = linked = at = 0
 
@@ -93,22 +97,32 @@ class Page:
                 self.linked[node] += min(linked, len(text))
             linked = 0
 
-        def leave(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str] = frozenset()) -> None:
+        def opened(tag: str, node: int) -> None:
+            places.setdefault(tag, []).append(len(open_))
+            open_.append((tag, node))
+
+        def leave(tags: Iterable[str], scope: Iterable[str] = ()) -> None:
             """Close the innermost open element of these, unless one of the scope is inside it."""
             nonlocal links
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] in tags:
-                    if any(t not in INLINE for t, _ in open_[k:]):
-                        flush()
-                    links -= sum(t == "a" for t, _ in open_[k:])
-                    del open_[k:]
-                    return
-                if open_[k][0] in scope:
-                    return
+            innermost = lambda names: max((places[t][-1] for t in names if places.get(t)), default=0)
+            k = innermost(tags)
+            if not k or innermost(scope) > k:
+                return
+            if any(t not in INLINE for t, _ in open_[k:]):
+                flush()
+            for t, _ in open_[k:]:
+                places[t].pop()
+                links -= t == "a"
+            del open_[k:]
 
         end = len(html)
+        last = html.rfind(">")
         while at < end:
-            m = TOKEN.search(html, at)
+            m, mark = None, html.find("<", at, last + 1)
+            while mark >= 0 and not (m := TOKEN.match(html, mark) or ODD_TOKEN.match(html, mark)):
+                mark = html.find("<", mark + 1, last + 1)
+            if not m and html.startswith("<!--", mark := html.find("<!--", max(at, last))):
+                m = TOKEN.match(html, mark)
             text = unescape(html[at : m.start() if m else end])
             if text:
                 piece.append(text)
@@ -137,7 +151,7 @@ class Page:
                     flush()
                 continue
             if tag in INLINE:
-                open_.append((tag, open_[-1][1]))
+                opened(tag, open_[-1][1])
                 links += tag == "a"
                 continue
             if tag in CLOSES_P:
@@ -153,7 +167,7 @@ class Page:
             self.article.append(tag == "article")
             self.chars.append(0)
             self.linked.append(0)
-            open_.append((tag, node))
+            opened(tag, node)
         flush()
 
     def labels(self) -> np.ndarray | None:
@@ -166,13 +180,26 @@ class Page:
         return np.array(inside)
 
 
-#: Containers of content, and of boilerplate, that training rebuilds pages with.
-CONTAINERS = ("article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'section class="entry"', 'div class="article-text"', 'div role="main"', 'div class="story"', "article", "article")
+#: Containers of content, and of boilerplate, that training rebuilds pages with; what stands inside them, with sentences for the numbers.
+CONTAINERS = (
+    "article", "article", "article", 'article class="post"', "main", "div", "div", 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'section class="entry"',
+    'div class="article-text"', 'div role="main"', 'div class="story"', "section",
+)
 BOILERPLATE = (
     "nav", "header", "footer", "aside", "form", 'div class="menu"', 'ul class="breadcrumbs"', 'div id="header"', 'div class="sidebar"', 'div class="cookie-notice"',
     'div class="ad"', 'div class="advert banner"', 'section class="promo"', 'div class="newsletter-signup"', 'div id="comments"', 'section class="comments"',
-    'div class="comment"', 'div class="share-tools"', 'div class="related"', 'div id="footer"', 'div class="alert"', 'div class="widget"', 'div role="navigation"',
+    'div class="comment"', 'article class="comment"', 'article class="comment"', 'div class="share-tools"', 'div class="related"', 'div id="footer"', 'div class="alert"', 'div class="widget"',
+    'div role="navigation"',
 )
+CONTENT = (
+    "<p>{0}</p>", "<p>{0}</p>", "<p>{0} {1}</p>", "<p>{0} <a href=/x>{1}</a> {2}</p>", "<ul><li>{0}</li><li>{1}</li></ul>", "<ol><li>{0}</li><li>{1}</li><li>{2}</li></ol>",
+    "<ul><li>{0} <a href=/x>{1}</a></li><li>{2}</li></ul>", "<ul><li><p>{0}</p></li></ul>", "<table><tr><th>{0}</th><th>{1}</th></tr><tr><td>{2}</td><td>{0}</td></tr></table>",
+    "<table><tbody><tr><td>{0}</td></tr></tbody></table>", "<table><caption>{0}</caption><thead><tr><th>{1}</th></tr></thead></table>", "<pre>{0}</pre>", "<pre><code>{0}</code></pre>",
+    "<blockquote>{0}</blockquote>", "<blockquote><p>{0}</p></blockquote>", "<figure><img src=x><figcaption>{0}</figcaption></figure>", "<dl><dt>{0}</dt><dd>{1}</dd></dl>", "<h1>{0}</h1>",
+    "<h2>{0}</h2>", "<h3>{0}</h3>", "<h4>{0}</h4>", "<h5>{0}</h5>", "<h6>{0}</h6>", "<section><h2>{0}</h2><p>{1}</p></section>", "<section><h3>{0}</h3><ul><li>{1}</li></ul></section>",
+    "<div><p>{0}</p><p>{1}</p></div>", "<div>{0}</div>", "<details><summary>{0}</summary><p>{1}</p></details>", "<address>{0}</address>", "<div><h4>{0}</h4><div>{1}</div></div>",
+)
+COMMENTS = ('<div id="comments">{0}</div>', '<section class="comments"><h3>{1}</h3>{0}</section>', '<ol class="comment-list"><li>{0}</li></ol>')
 PLAIN = "<html><body><nav><ul><li><a href=/>home</a></li><li><a href=/news>news</a></li></ul></nav><article><h1>One title of a page</h1><p>The first paragraph of the text is here, and it is long enough to be read.</p><p>A second one follows.</p></article><footer>All rights reserved.</footer></body></html>"
 
 
@@ -190,14 +217,25 @@ def rebuilt(html: str, rng: random.Random) -> str | None:
     def piece() -> str:
         kind = rng.choice(BOILERPLATE)
         said = rng.choice(waste) if rng.random() < 0.6 else rng.choice(sentences)
-        form = rng.choice(("{0}", "<p>{0}</p>", "<p>{0}</p><p>{0}</p>", "<ul><li><a href=/x>{0}</a></li><li><a href=/y>{0}</a></li></ul>", "<h3>{0}</h3><p>{0}</p>", "<div>{0}</div>"))
-        return f"<{kind} data-waste=1>{form.format(said)}</{kind.split()[0]}>"
+        form = rng.choice(
+            ("{0}", "<p>{0}</p>", "<p>{0}</p><p>{0}</p>", "<ul><li><a href=/x>{0}</a></li><li><a href=/y>{0}</a></li></ul>", "<h3>{0}</h3><p>{0}</p>", "<div>{0}</div>", "<ul><li>{0}</li></ul>", "<h4>{0}</h4><a href=/x>{0}</a>")
+        )
+        made = f"<{kind} data-waste=1>{form.format(said)}</{kind.split()[0]}>"
+        if "comment" in kind and rng.random() < 0.5:
+            made = rng.choice(COMMENTS).format(made * rng.randrange(1, 3), said).replace(" ", " data-waste=1 ", 1)
+        return made
+
+    def block() -> str:
+        size = rng.choice((2, 4, 8, 16, 60))
+        return rng.choice(CONTENT).format(*(" ".join(rng.choice(sentences).split()[:size]) for _ in range(3)))
 
     box = rng.choice(CONTAINERS)
     blocks = re.split(r"(?=<p\b|<h[1-6]\b)", m[1])
     if rng.random() < 0.25:  # some articles are short
         kinds = (rng.choice(("h1", "h2", "p", "p")) for _ in range(rng.randrange(1, 4)))
         blocks = [f"<{k}>{' '.join(rng.choice(sentences).split()[: rng.randrange(1, 12)])}</{k}>" for k in kinds]
+    for _ in range(rng.choice((0, 2, 4, 8))):  # and of many kinds of elements
+        blocks.insert(rng.randrange(1, len(blocks) + 1), block())
     for _ in range(rng.choice((0, 0, 1, 2))):
         blocks.insert(rng.randrange(1, len(blocks) + 1), piece())
     inner = "".join(blocks)
@@ -264,7 +302,7 @@ class Model:
         own[:, 1] = np.add.reduceat(values, np.concatenate([[0], ends[:-1]]))
         belief = own.copy()  # own evidence and the messages of all children
         upward = np.zeros_like(own)
-        levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+        levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
         for rows in levels[:0:-1]:
             m = belief[rows][:, None, :] + self.potentials[None]
             upward[rows] = np.logaddexp(m[:, :, 0], m[:, :, 1])
@@ -305,21 +343,27 @@ def train(htmls: list[str], seed: int = 5) -> Model:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Model:
-    """A model from pages drawn by a hash of their ids, as far as they are labelled by one <article>, and one fixed page."""
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html")).where("html is not null")
-    n = pages.count()
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 20)) * n < sample * (1 << 20))
-    return train([r["html"] for r in sorted(drawn.collect(), key=lambda r: (str(r["id"]), r["html"]))])
+    """A model from the first pages by a hash of id and text, as far as they are labelled by one <article>, and one fixed page.
+
+    At most ``sample`` pages, each of at most SAMPLE_CHARS characters, reach the driver.
+    Without labelled pages, or on an empty table, the fixed page and its rebuilt ones train alone.
+    """
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html")).where(F.col("html").contains("<article") & (F.char_length("html") <= SAMPLE_CHARS))
+    first = rows.select("id", "html", F.xxhash64(F.lit(3), "id", "html").alias("order")).orderBy("order").limit(sample)
+    return train([r["html"] for r in sorted(first.collect(), key=lambda r: (r["order"], str(r["id"]), r["html"]))])
 
 
 def main_text(html: Column, spark_model) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from glyphmill.llm.shared import settle
+
         for htmls in batches:
             out: list[str] = []
             for at in range(0, len(htmls), 256):
                 out += spark_model.value.texts([h if isinstance(h, str) else None for h in htmls[at : at + 256]])
             yield pd.Series(out, dtype=object)
+        settle()
 
     return run(html)
 
@@ -327,7 +371,8 @@ def main_text(html: Column, spark_model) -> Column:
 def extract(pages: DataFrame, model: Model, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text; a column of that name is replaced.
 
-    Null and empty pages have the empty text. Every row is read by itself and whole.
+    Null and empty pages have the empty text. Every row is read by itself and whole, repeated
+    rows give repeated results, an empty table an empty one. Work is linear in a page's length.
     """
     spark = pages.sparkSession
     ship(spark)

@@ -41,7 +41,7 @@ def test_pages_that_training_did_not_see(model, pages):
         told, labels = model.marginals([page]) > 0.5, page.labels()
         with_text = {v for v, _ in page.runs}
         right, n = right + sum(told[v] == labels[v] for v in with_text), n + len(with_text)
-    assert right / n > 0.95
+    assert right / n > 0.97
 
 
 def test_messages_give_exact_marginals(model):
@@ -67,6 +67,30 @@ def test_tags_and_references(model):
     assert len(model.texts(odd)) == len(odd) and model.texts([]) == []
 
 
+SAID = ["The council met on Monday to talk about the new bridge", "It will be built by the end of next year", "Costs have risen since the first plan"]
+
+
+@pytest.mark.parametrize("box", ["article", "main", "div", 'div class="content"', 'section class="entry"'])
+def test_no_kind_of_element_is_lost_and_comments_are(model, box):
+    plain = lambda x: " ".join(re.sub(r"<[^>]*>", " ", x).split())
+    every = [c.format(*SAID) for c in L.CONTENT]
+    for kind in [*every, "".join(every)]:
+        inner = f"<h1>A bridge for the town</h1><p>{SAID[0]}.</p><p>{SAID[1]}.</p>{kind}<p>{SAID[2]}.</p>"
+        comment = "<article class=comment><p>I like this bridge a lot</p></article>"
+        page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><{box}>{inner}</{box.split()[0]}>"
+        for after in (comment, f"<div id=comments>{comment}</div>"):
+            assert model.texts([f"{page}{after}<footer><p>All rights reserved 2024</p></footer></body></html>"]) == [plain(inner)], kind
+
+
+def test_time_is_linear(model):
+    import time
+
+    for page in ("<div>" * 20_000, "<a " * 200_000, '<a "' * 100_000 + ">", "<p>" * 20_000, "<table><tr><td><p>" + "<div>" * 20_000, "<!--" * 100_000, "< " * 200_000 + ">"):
+        began = time.perf_counter()
+        model.texts([page])
+        assert time.perf_counter() - began < 20, page[:20]
+
+
 def test_awkward(spark, awkward):
     frame = awkward.withColumnRenamed("doc_id", "page_id").withColumn("html", awkward["text"])
     fitted = L.fit(frame)

@@ -10,6 +10,7 @@ paths and identifiers on an allow-list are let be. No rows are shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ CANDIDATE = (
     r"(?=[A-Za-z+/_=-]*+[0-9]|[A-Z+/_=-]*+[a-z][a-z+/_=-]*+[A-Z]|[+/_=-]*+[A-Z][A-Z+/_=-]*+[a-z])[A-Za-z0-9+/_=-]{20,}"
 )
 WINDOW = 20
+#: Matches of one fold.
+FOLD = 256
+#: The characters of candidates, in the order of their counts in the fold's state.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Characters of a candidate that one fold takes at most; the next starts WINDOW - 1 before its end.
 SLICE = 256
 #: For each class of characters the least entropy, in bits, of a window that tells a secret. Strings are of the first class that holds all of their characters.
@@ -60,6 +65,16 @@ def _none() -> Column:
     return F.array().cast(SPAN)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: an expression inside a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _parts(items: Column) -> Column:
+    """An array in parts of at most FOLD elements."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(FOLD)), lambda i: F.slice(items, i + 1, FOLD))
+
+
 def _found(text: Column, pattern: str, kind: str, value: int | None = None) -> Column:
     """The spans of a pattern's matches, from left to right. value: a group with too few characters drops its match.
 
@@ -73,6 +88,7 @@ def _found(text: Column, pattern: str, kind: str, value: int | None = None) -> C
         values = F.regexp_extract_all(text, F.lit(whole), F.lit(value))
         steps = F.zip_with(steps, values, lambda s, v: F.struct(s.a.alias("a"), s.b.alias("b"), (F.char_length(v) >= VALUE_CHARS).alias("ok")))
     number = KINDS.index(kind)
+    total = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x.a + x.b)
 
     def step(acc: Column, x: Column) -> Column:
         start, stop = acc.at + x.a, acc.at + x.a + x.b
@@ -80,7 +96,13 @@ def _found(text: Column, pattern: str, kind: str, value: int | None = None) -> C
         spans = F.concat(acc.spans, span)
         return F.struct(stop.alias("at"), (F.when(x.ok, spans).otherwise(acc.spans) if value else spans).alias("spans"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), _none().alias("spans")), step, lambda acc: acc.spans)
+    # a fold copies what it has found so far, so it goes over parts of bounded length: first their ends, then the spans of each
+    def spans_of(steps: Column) -> Column:
+        ends = F.aggregate(F.transform(_parts(steps), total), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        starts = F.slice(ends, 1, F.size(ends) - 1)
+        return F.flatten(F.zip_with(_parts(steps), starts, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), _none().alias("spans")), step, lambda acc: acc.spans)))
+
+    return _let(steps, spans_of)
 
 
 def base_spans(text: Column) -> Column:
@@ -92,23 +114,30 @@ def base_spans(text: Column) -> Column:
 
 
 def window_entropy(s: Column) -> Column:
-    """The largest Shannon entropy of a window of WINDOW characters in a short string."""
+    """The largest Shannon entropy of a window of WINDOW characters in a short string of ALPHABET.
+
+    The state holds the count of each character in the window and the sum of
+    c * log2(c); a step changes the two counts of the characters that enter and leave.
+    """
     logs = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 2)])
-    count = lambda part, c: F.length(part) - F.length(F.replace(part, c, F.lit("")))
+    places = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     term = lambda k: F.get(logs, k)
+    count = lambda counts, c: F.get(counts, c - 1)
+    moved = lambda counts, c, by: F.transform(counts, lambda n, i: F.when(i == c - 1, n + by).otherwise(n))
 
     def step(acc: Column, i: Column) -> Column:
-        left = F.substring(s, i - WINDOW, F.lit(1))
-        full = F.substring(s, i - WINDOW, F.lit(WINDOW))
-        gone = F.when(i > WINDOW, term(count(full, left) - 1) - term(count(full, left))).otherwise(0.0)
-        rest = F.when(i >= WINDOW, F.substring(s, i - WINDOW + 1, F.lit(WINDOW - 1))).otherwise(F.substring(s, F.lit(1), i - 1))
-        k = count(rest, F.substring(s, i, F.lit(1)))
+        new = F.get(acc.places, i)
+        old = F.get(acc.places, i - WINDOW)
+        lost = F.when(i >= WINDOW, moved(acc.counts, old, -1)).otherwise(acc.counts)
+        gone = F.when(i >= WINDOW, term(count(acc.counts, old) - 1) - term(count(acc.counts, old))).otherwise(0.0)
+        k = F.when((i >= WINDOW) & (new == old), count(acc.counts, new) - 1).otherwise(count(acc.counts, new))
         total = acc.total + gone + term(k + 1) - term(k)
-        best = F.when(i >= WINDOW, F.greatest(acc.best, math.log2(WINDOW) - total / WINDOW)).otherwise(acc.best)
-        return F.struct(total.alias("total"), best.alias("best"))
+        best = F.when(i >= WINDOW - 1, F.greatest(acc.best, math.log2(WINDOW) - total / WINDOW)).otherwise(acc.best)
+        return F.struct(acc.places.alias("places"), moved(lost, new, 1).alias("counts"), total.alias("total"), best.alias("best"))
 
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: acc.best)
+    counts = F.array_repeat(F.lit(0), len(ALPHABET))
+    start = F.struct(places.alias("places"), counts.alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), start, step, lambda acc: acc.best)
 
 
 def high_entropy(s: Column) -> Column:
@@ -170,7 +199,8 @@ def digest(spans: Column) -> Column:
 def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans``; columns of these names are replaced.
 
-    Null and empty texts have no spans. Every row of the input is one row of the output.
+    Null and empty texts have no spans. Every row of the input is one row of the output,
+    repeated rows give repeated results, an empty table an empty one; texts are read whole.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     scanned = docs.withColumn("base_spans", base_spans(text))
@@ -178,13 +208,24 @@ def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with each span, or run of spans that overlap, replaced by the mark. Nulls stay."""
+    """The text with each span, or run of spans that overlap, replaced by the mark. Nulls stay.
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))
-        out = F.concat(acc.out, gap, F.when(s.start >= acc.at, mark).otherwise(""))
-        return F.struct(F.greatest(acc.at, s.stop).alias("at"), F.when(s.stop <= acc.at, acc.out).otherwise(out).alias("out"))
+    What stands between spans is cut out of blocks of the text and joined once, so no
+    piece is copied again and again.
+    """
+    gap_of = "struct<start:int,stop:int>"
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.char_length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.array(F.struct(acc.at.alias("start"), s.start.alias("stop")))
+        return F.struct(F.greatest(acc.at, s.stop).alias("at"), F.when(s.start >= acc.at, F.concat(acc.gaps, gap)).otherwise(acc.gaps).alias("gaps"))
+
+    furthest = lambda parts: F.transform(parts, lambda p: F.array_max(F.transform(p, lambda x: x.stop)))
+    ends = F.aggregate(furthest(_parts(spans)), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), n))))
+    none = F.array().cast(f"array<{gap_of}>")
+    rest = F.array(F.array(F.struct(F.array_max(F.transform(spans, lambda x: x.stop)).alias("start"), F.char_length(text).alias("stop"))))
+    gaps = F.zip_with(_parts(spans), F.slice(ends, 1, F.size(ends) - 1), lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("gaps")), step, lambda acc: acc.gaps))
+    first, last = (lambda p: F.get(p, 0).start), (lambda p: F.element_at(p, -1).stop)
+    block = lambda p: F.struct(p.alias("p"), first(p).alias("at"), F.substring(text, first(p) + 1, last(p) - first(p)).alias("block"))
+    blocks = F.transform(F.filter(F.concat(gaps, rest), lambda p: F.size(p) > 0), block)
+    pieces = F.transform(blocks, lambda x: F.transform(x.p, lambda g: F.substring(x.block, g.start - x.at + 1, g.stop - g.start)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.flatten(pieces), mark))

@@ -63,6 +63,56 @@ def test_window_entropy_is_the_entropy(spark):
     assert abs(got - want) < 1e-9
 
 
+def test_query_on_the_whole_table(spark):
+    import hashlib
+    import math
+    from collections import Counter
+
+    from glyphmill.llm import secrets as S
+    from glyphmill.llm.queries import QUERIES
+
+    def entropy_of(s):
+        return max(math.log2(20) - sum(c * math.log2(c) for c in Counter(s[i : i + 20]).values()) / 20 for i in range(len(s) - 19))
+
+    def secret(s):
+        need = next(bits for pattern, bits in S.CLASSES if re.search(pattern, s))
+        return need <= math.log2(20) and not any(re.search(p, s) for p in S.ALLOWED) and entropy_of(s) >= need - 1e-12
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for r in QUERIES["op10_secrets"](spark, "/root/testdata/sf0.01").collect():
+        text = texts[r["doc_id"]]
+        base = plain(text)
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [base.count(f"{k}:") for k in KINDS[:3]]
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base.split(",") if x]
+        want = {(m.start(), m.end()) for m in re.finditer(S.CANDIDATE, text) if secret(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken)}
+        found = {tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("entropy")}
+        assert {x for x in found if not any(a <= x[1] and x[0] <= b for a, b in taken)} == want
+
+
+def test_tokens_without_a_name_are_found_and_prose_is_not(spark):
+    import random
+    import string
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        letters = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits)[i % 4]
+        rows.append((i, f"some words {''.join(rng.choice(letters) for _ in range(40))} and more words"))
+    rows += [(1000 + i, " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(1, 14))) for _ in range(60))) for i in range(50)]
+    hit = {r["id"] for r in secret_scan(spark.createDataFrame(rows, "id long, text string")).where(F.size("all_spans") > 0).select("id").collect()}
+    assert len(hit) >= 147 and max(hit) < 1000
+
+
+def test_many_matches_take_no_square_of_time(spark):
+    import time
+
+    text = "é token=abcdef1 " * 30_000
+    began = time.perf_counter()
+    row = secret_scan(spark.createDataFrame([(text,)], "text string")).select(F.size("all_spans").alias("n"), redacted(F.col("text"), F.col("all_spans")).alias("r")).first()
+    assert time.perf_counter() - began < 40 and row["n"] == 30_000 and row["r"] == "é [REDACTED] " * 30_000
+
+
 def test_awkward(awkward):
     out = secret_scan(awkward)
     assert out.count() == 9 and out.where(F.size("all_spans") > 0).count() == 0

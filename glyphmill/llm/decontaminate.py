@@ -7,8 +7,11 @@ score; blocks under the threshold are skipped whole, as block-max WAND does, and
 others' postings are scored exactly. What is retrieved is verified by the overlap of
 the item's question and of its answer.
 
-The index is broadcast in shards whose size is bounded; a larger benchmark takes more
-passes over the texts, not more memory. Texts are not shuffled.
+The index is cut into shards of bounded size. One shard alive at a time: its index is
+broadcast, the texts are searched, what is found is written, and the broadcast is
+removed before the next shard is read. So a larger benchmark takes more passes over the
+texts, not more memory. Texts are not shuffled where one shard is enough; else what was
+found joins the texts by their hashes.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import ship
+from glyphmill.llm.shared import ship, written
 
 WORD = re.compile(r"\w+")
 #: Words of a passage, and from one passage to the next.
@@ -139,20 +143,27 @@ class Index:
                 if q >= QUESTION_SHARE and a >= ANSWER_SHARE:
                     out.append((self.ids[k], score, q, a, start))
                     break
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[0] is None, x[0] or 0, x[4]))
+
+
+def shard_count(benchmark: DataFrame, text_col: str = "text", shard_chars: int = SHARD_CHARS) -> int:
+    return -(-(benchmark.agg(F.sum(F.char_length(F.col(f"`{text_col}`")))).first()[0] or 0) // shard_chars)
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> Iterator[Index]:
-    """The shards of the index, one after the other. Items that are null or have no word can't leak and are left out."""
-    items = benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    shards = -(-total // shard_chars)
+    """The shards of the index, one after the other: a shard is built when it is asked for.
+
+    Texts that are null or have no word can't leak and are left out. An item without an
+    id is searched for like others, and leaks as the null item.
+    """
+    items = benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    shards = shard_count(benchmark, text_col, shard_chars)
     size = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
     n_items, mean = items.agg(F.count("*"), F.avg(size)).first()
     words = items.select(F.pmod(F.xxhash64("item", "text"), F.lit(max(1, shards))).alias("shard"), "item", "text")
     for shard in range(shards):
         own = [(r["item"], r["text"]) for r in words.where(F.col("shard") == shard).collect()]
-        own = sorted(x for x in own if terms(x[1]))
+        own = sorted((x for x in own if terms(x[1])), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         mine = {t for _, x in own for t in terms(x)}
         if shards == 1:
             df = Counter(t for _, x in own for t in set(terms(x)))
@@ -187,5 +198,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     spark = docs.sparkSession
     ship(spark)
-    found = [searched(F.col(f"`{text_col}`"), spark.sparkContext.broadcast(index)) for index in indexes(benchmark, shard_chars=shard_chars)]
-    return docs.withColumn("leaks", F.concat(F.array().cast(FOUND), *found))
+    text = F.col(f"`{text_col}`")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "leaks"]
+    if shard_count(benchmark, shard_chars=shard_chars) <= 1:
+        found = [searched(text, spark.sparkContext.broadcast(index)) for index in indexes(benchmark, shard_chars=shard_chars)]
+        return docs.select(*keep, F.concat(F.array().cast(FOUND), *found).alias("leaks"))
+    parts = []
+    for index in indexes(benchmark, shard_chars=shard_chars):
+        shared = spark.sparkContext.broadcast(index)
+        hits = docs.select(text.alias("text"), searched(text, shared).alias("leaks")).where(F.size("leaks") > 0)
+        parts.append(written(hits.select(*named_by(F.col("text")), "leaks"), "leaks").dropDuplicates(["h1", "h2"]))
+        shared.destroy()
+        del index, shared, hits
+    every = reduce(DataFrame.unionByName, parts) if parts else docs.select(*named_by(text), F.array().cast(FOUND).alias("leaks")).limit(0)
+    every = written(every.groupBy("h1", "h2").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks")), "leaks")
+    own = docs.select(F.struct(*keep).alias("row"), *named_by(text))
+    leaks = F.coalesce("leaks", F.array().cast(FOUND))
+    return own.join(every, ["h1", "h2"], "left").select("row.*", leaks.alias("leaks"))
+
+
+def named_by(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]

@@ -81,6 +81,28 @@ def test_shards_agree(spark):
     assert pairs(L.contaminated(docs, bench)) == pairs(L.contaminated(docs, bench, shard_chars=4000))
 
 
+def test_one_index_is_alive_at_a_time_and_items_without_id_leak(spark, monkeypatch):
+    import gc
+    import weakref
+
+    alive, most, init = [], [], L.Index.__init__
+
+    def counted(self, *a):
+        gc.collect()
+        alive.append(weakref.ref(self))
+        most.append(sum(r() is not None for r in alive))
+        init(self, *a)
+
+    monkeypatch.setattr(L.Index, "__init__", counted)
+    texts = [f"What is the number {k} of all the things in house {k}? It is thing {k} of the house {k}." for k in range(12)]
+    bench = spark.createDataFrame([(None if k == 3 else k, t) for k, t in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "x " * 40 + t, "a") for k, t in enumerate(texts)] + [(3, "x " * 40 + texts[3], "b"), (99, None, "c")], "doc_id long, text string, LEAKS string")
+    rows = L.contaminated(docs, bench, shard_chars=300).collect()
+    assert len(most) > 2 and max(most) <= 1
+    assert sorted((r["doc_id"], r["leaks"][0]["item_id"]) for r in rows if r["leaks"] and r["doc_id"] != 3) == [(k, k) for k in range(12) if k != 3]
+    assert [[x["item_id"] for x in r["leaks"]] for r in rows if r["doc_id"] in (3, 99)].count([None]) == 2 and len(rows) == 14
+
+
 def test_awkward(spark, awkward):
     bench = spark.createDataFrame([(1, "the same text of some six words")], "item_id long, text string")
     rows = L.contaminated(awkward, bench).collect()

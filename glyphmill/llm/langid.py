@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.shared import ship
@@ -28,8 +28,8 @@ FAMILIES = {
     "sinitic": ("zh", "yue"),
     "indic": ("hi", "bn", "mr", "ur", "pa", "gu"),
 }
-#: The documents of each language that a fit is drawn to (the expected size of a draw by hash).
-SAMPLE = 700
+#: The documents of each language that a fit draws at most, those of all languages together, and the languages that are learned, the most frequent first.
+SAMPLE, SAMPLE_ALL, MOST_LANGS = 700, 8000, 100
 DIMS = 1 << 13
 ORDERS = (1, 2, 3)
 BLOCK = 1 << 20
@@ -133,17 +133,23 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from the labelled documents that are not held out (null ids and languages are not used).
 
-    From each language so many documents are drawn by a hash of the id; all of them if
-    there are no more. Their features are computed on executors.
+    Of each language the first documents by a hash of id and text are drawn; all of
+    them if there are no more. Hard bounds hold whatever the labels are: MOST_LANGS
+    languages, SAMPLE_ALL documents (16 KB each on the driver, twice that while
+    fitting). Features are computed on executors. Without labelled documents the model
+    knows no language.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    drawn = F.lit(False)
-    for lang, many in n.items():
-        share = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 20)) * many < sample * (1 << 20)
-        drawn = drawn | ((F.col("lang") == lang) & share)
+    n = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    each = min(sample, SAMPLE_ALL // max(1, len(n)))
+    order = F.pmod(F.xxhash64(F.lit(17), "id", "text"), F.lit(1 << 40))
+    # a draw of twice as many as wanted is expected to be enough; the first of it by the same order are taken
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 40, 2 * each * (1 << 40) // r["n"])) for r in n], "lang string, below long")
+    near = rows.withColumn("order", order).join(F.broadcast(shares), "lang").where(F.col("order") < F.col("below"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
+    drawn = near.select("lang", "id", "order", "text").withColumn("place", place).where(F.col("place") <= each)
 
     @F.pandas_udf("binary")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -152,7 +158,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         for texts in batches:
             yield pd.Series([None if (x := features(t)) is None else x.astype(np.float16).tobytes() for t in texts], dtype=object)
 
-    found = rows.where(drawn).select("id", "lang", vectors("text").alias("x")).where("x is not null").collect()
+    found = drawn.select("id", "lang", vectors("text").alias("x")).where("x is not null").collect()
     found.sort(key=lambda r: (r["lang"], r["id"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(len(found), DIMS + 1)
     return Model(x, [r["lang"] for r in found])
@@ -162,7 +168,8 @@ def language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1); columns of these names are replaced.
 
     Texts that are null, empty or without a letter are `und` with score 0, and so is
-    every text if nothing was learned. Each row is judged by its own whole text.
+    every text if nothing was learned. Each row is judged by its own whole text, repeated
+    rows alike; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 32 KB for each machine
@@ -175,5 +182,6 @@ def language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
         settle()
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_lang", run(F.col(f"`{text_col}`"))).select(*keep, "_lang.lang_pred", "_lang.score")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    made = docs.select(F.struct(*keep).alias("row"), run(F.col(f"`{text_col}`")).alias("made")) if keep else docs.select(run(F.col(f"`{text_col}`")).alias("made"))
+    return made.select(*(["row.*"] if keep else []), "made.lang_pred", "made.score")

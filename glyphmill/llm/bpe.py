@@ -355,6 +355,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     table an empty one.
     """
     ship(docs.sparkSession)
-    made = "_bpe"
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
-    return docs.withColumn(made, bpe(F.col(f"`{text_col}`"), path)).select(*keep, f"{made}.ids", f"{made}.n_tokens", f"{made}.decoded")
+    text = F.col(f"`{text_col}`")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "n_tokens", "decoded")]
+    made = docs.select(F.struct(*keep).alias("row"), bpe(text, path).alias("made")) if keep else docs.select(bpe(text, path).alias("made"))
+    return made.select(*(["row.*"] if keep else []), "made.ids", "made.n_tokens", "made.decoded")

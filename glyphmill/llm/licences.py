@@ -73,8 +73,8 @@ RULES = (
     ("CC0-1.0", ("cz1",)),
     ("Proprietary", ("ar1",)),
 )
-#: Fixed value: each known sentence holds one of these, so texts without them have none.
-MAY = r"(?i)licen|permission|copyright|redistribut|warrant|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|cc0|free[^a-z0-9]+software"
+#: Fixed value: each known sentence holds one of these; a word of a known sentence stands unbroken in the lower-cased text, whatever separates words, so texts without them have none.
+MAY = "licen|permission|copyright|redistribut|warrant|reserved|domain|cc0|software"
 #: Pieces in a marked text end in '#' at a sentence's or paragraph's end, else in '|'; a known sentence may hold the latter between its words.
 KNOWN = "[|#] (?:" + "|".join(k.replace(" ", r"(?: \|)? ") for k in sorted((k for v in SENTENCES.values() for k in v), key=len, reverse=True)) + ")(?= [|#])"
 
@@ -122,20 +122,24 @@ def licence_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Columns of these names are replaced. Null and empty texts have neither. A rule
     matches identifiers that follow one another, whatever unknown sentences stand
-    between, and counts once however often it matches.
+    between, and counts once however often it matches. Repeated rows give repeated
+    results, an empty table an empty one; texts are read whole.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = F.transform(F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0)), lambda s: identifier(normalised(s)))
-    out = docs.withColumn("sentence_ids", F.when(text.rlike(MAY), found).otherwise(F.array().cast("array<string>")))
+    out = docs.withColumn("sentence_ids", F.when(F.lower(text).rlike(MAY), found).otherwise(F.array().cast("array<string>")))
     rest = F.concat(F.array_join("sentence_ids", " "), F.lit(" "))
-    hits = []
-    for k, (name, sequence) in enumerate(RULES):
-        mark = " ".join(sequence) + " "
-        out = out.withColumn(f"_rest{k}", rest)
-        hits.append(F.when(F.col(f"_rest{k}").contains(mark), F.lit(name)))
-        rest = F.replace(F.col(f"_rest{k}"), F.lit(mark), F.lit("| "))
-    out = out.withColumn("licences", F.array_distinct(F.array_compact(F.array(*hits))))
-    return out.drop(*[f"_rest{k}" for k in range(len(RULES))])
+    state = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("hits"))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" ".join(sequence) + " ").alias("mark")) for name, sequence in RULES])
+
+    def step(acc: Column, rule: Column) -> Column:
+        hit = acc.rest.contains(rule["mark"])
+        return F.struct(
+            F.when(hit, F.replace(acc.rest, rule["mark"], F.lit("| "))).otherwise(acc.rest).alias("rest"), F.when(hit, F.array_append(acc.hits, rule["name"])).otherwise(acc.hits).alias("hits")
+        )
+
+    licences = F.array_distinct(F.aggregate(rules, state, step, lambda acc: acc.hits))
+    return out.withColumn("licences", F.when(F.size("sentence_ids") > 0, licences).otherwise(F.array().cast("array<string>")))
 
 
 def oracle() -> str:

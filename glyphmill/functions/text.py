@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the code points that separate words (Unicode white space with the four information separators). Java's and RE2's regular expressions both take this spelling.
 WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+NO_WHITE = WHITE.replace("[", "[^", 1).removesuffix("+")
 #: What stands for a space inside pieces.
 SPACE = "▁"
 #: Fixed value: Devanagari consonants.

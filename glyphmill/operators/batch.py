@@ -7,9 +7,11 @@ parts are; only ids and lengths enter it, and sequences join by their batch afte
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.freq import numbered, numbered_within
+
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 
 
@@ -18,13 +20,15 @@ def longest(x: str = "x", y: str = "y") -> Column:
 
 
 def packed(
-    rows: DataFrame, max_toks: int, max_sents: int, part: str = "part", order: tuple[str, ...] = ("len", "id"), strict: bool = False, keys: tuple[str, ...] = ("id",), alone: bool = False
+    rows: DataFrame, max_toks: int, max_sents: int, part: str = "part", order: tuple[str, ...] = ("len", "id"), strict: bool = False, keys: tuple[str, ...] = ("id",), alone: bool = False, seed: int | None = None
 ) -> DataFrame:
     """(part, keys, batch): rows in order fill a batch until the next would not fit.
 
     rows: (part, keys, len). A batch of n rows of which the longest has m tokens fits if
     n * m <= max_toks. It also ends once it has more than max_sents rows, or as many if
     strict. A row longer than max_toks raises, or is a batch of its own if alone. Parts must be small enough for one task.
+    order: columns, or "draw", a random number of each row made from the seed and its
+    keys: ("len", "draw") mixes rows of equal length, ("draw",) all of a part.
     """
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -43,6 +47,7 @@ def packed(
         return pack(frame.sort_values(list(order), kind="stable"))
 
     slim = rows.select(F.col(part).cast("long").alias("part"), *[F.col(k).cast("long").alias(k) for k in keys], F.col("len").cast("long").alias("len"))
+    slim = slim.withColumn("draw", F.xxhash64(F.lit(seed or 0), *keys)) if "draw" in order else slim
     return slim.groupBy("part").applyInPandas(run, ", ".join(f"{c} long" for c in ("part", *keys, "batch")))
 
 
@@ -61,27 +66,32 @@ def ends(ids: Column, bos: bool = False, eos: bool = True, absent: bool = False)
     return back if eos else out
 
 
-def padded(ids: Column, width: Column) -> Column:
-    return F.concat(ids, F.array_repeat(F.lit(PAD), width - F.size(ids)))
+def padded(ids: Column, width: Column, pad: int = PAD) -> Column:
+    return F.concat(ids, F.array_repeat(F.lit(pad), width - F.size(ids)))
 
 
-def batches(rows: DataFrame, members: DataFrame, longest_first: bool = False, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+def batches(
+    rows: DataFrame, members: DataFrame, longest_first: bool = False, keys: tuple[str, ...] = ("id",), bos: bool = False, eos: bool = True, pad: int = PAD, batch_first: bool = True
+) -> DataFrame:
     """(part, batch, ids, x_len, y_len, x_seqs, y_seqs, x_toks, y_toks, max_x_len, max_y_len), a row for each batch.
 
-    rows: (part, keys, x, y), with an id among the keys. Sequences get EOS, then are padded to the batch's longest.
+    rows: (part, keys, x, y), with an id among the keys. Sequences get BOS and EOS as told,
+    then are padded to the batch's longest. Without batch_first a batch's sequences are
+    turned, so that each row is a place in time.
     """
     first = (-F.size("x") if longest_first else F.lit(0)).alias("o")
     one = F.struct(first, "id", "x", "y")
-    ended = rows.withColumns({"x": ends(F.col("x")), "y": ends(F.col("y"))})
+    ended = rows.withColumns({s: ends(F.col(s), bos, eos) for s in "xy"})
     whole = members.join(ended, ["part", *keys]).groupBy("part", "batch").agg(F.array_sort(F.collect_list(one)).alias("r"))
     side = lambda s: lambda t: t[s]
     whole = whole.withColumns({f"{s}_len": F.transform(F.transform("r", side(s)), F.size) for s in "xy"})
     whole = whole.withColumns({f"max_{s}_len": F.array_max(f"{s}_len") for s in "xy"})
-    fit = lambda s: lambda q: padded(q, F.col(f"max_{s}_len"))
+    fit = lambda s: lambda q: padded(q, F.col(f"max_{s}_len"), pad)
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v)
+    laid = (lambda c: c) if batch_first else transposed
     return whole.select(
         "part", "batch", F.transform("r", lambda t: t.id).alias("ids"), "x_len", "y_len",
-        *[F.transform(F.transform("r", side(s)), fit(s)).alias(f"{s}_seqs") for s in "xy"],
+        *[laid(F.transform(F.transform("r", side(s)), fit(s))).alias(f"{s}_seqs") for s in "xy"],
         *[total(f"{s}_len").alias(f"{s}_toks") for s in "xy"], "max_x_len", "max_y_len",
     )
 
@@ -104,15 +114,15 @@ def autoregressive_mask(ids: Column) -> Column:
     return F.when(F.size(ids) > 0, mask).otherwise(F.array())
 
 
-def slices(rows: DataFrame, order: str, size: int, group: Column | None = None) -> DataFrame:
-    """``rows`` with ``slice``: consecutive chunks of ``size`` in the order of a key, within each group."""
-    at = F.row_number().over(Window.partitionBy(F.lit(0) if group is None else group).orderBy(order))
-    return rows.withColumn("slice", F.floor((at - 1) / size))
+def slices(rows: DataFrame, order: str, size: int, group: str | None = None) -> DataFrame:
+    """``rows`` with ``slice``: consecutive chunks of ``size`` in the order of a key without ties, within each group."""
+    placed = numbered(rows, order) if group is None else numbered_within(rows, group, order)
+    return placed.withColumn("slice", F.floor(F.col("at") / size)).drop("at")
 
 
 def neighbours(rows: DataFrame, group: str, order: str, value: str, default: object = None) -> DataFrame:
-    """(group, k, first, second): tumbling pairs of neighbours; an odd last one is paired with the default."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    second = F.lead(value, 1, default).over(Window.partitionBy(group).orderBy(order))
-    both = rows.select(group, at.alias("at"), F.col(value).alias("first"), second.alias("second"))
-    return both.where(F.col("at") % 2 == 1).select(group, F.floor((F.col("at") - 1) / 2).alias("k"), "first", "second")
+    """(group, k, first, second): tumbling pairs of neighbours in the order of a key without ties; an odd last one is paired with the default."""
+    placed = numbered_within(rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).alias("v")), "g", "o")
+    side = lambda r: F.max(F.when(F.col("at") % 2 == r, F.struct("v")))["v"]
+    last = F.when(F.count("*") == 2, side(1)).otherwise(F.lit(default))
+    return placed.groupBy(F.col("g").alias(group), F.floor(F.col("at") / 2).alias("k")).agg(side(0).alias("first"), last.alias("second"))

@@ -7,17 +7,21 @@ plain string order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.operators import freq as N
-from glyphmill.operators.codec import encode_pieces
+from glyphmill.operators.codec import encode_pieces, mapped, small_table, with_row
 from glyphmill.operators.vocab import LEVELS, NO_KIDS, SPACE, UNK, init_vocab
-from glyphmill.sources.folder import written
+from glyphmill.sources.folder import forget, written
 
 #: Private code points of planes 15 and 16, without their last two each.
 FIRST, PLANE = 0xF0000, 0xFFFE
+#: The last index that a private code point is left for.
+MOST_SYMBOLS = 2 * PLANE - 1
 
 
 def symbol(idx: int) -> str:
@@ -42,11 +46,15 @@ def start_words(word_freqs: DataFrame, vocab: DataFrame) -> DataFrame:
     return ids.select(F.array_join(F.transform("ids", symbol_of), "").alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
 
 
+def pairs_of(s: Column) -> Column:
+    """The adjacent symbols of a word, also where they overlap."""
+    pairs = F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
+    return F.when(F.char_length(s) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
 def pair_freqs(words: DataFrame) -> DataFrame:
     """(pair, freq) of adjacent symbols; overlaps count."""
-    pairs = F.transform(F.sequence(F.lit(1), F.char_length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))
-    one = words.where(F.char_length("s") > 1).select(F.explode(pairs).alias("pair"), "n")
-    return one.groupBy("pair").agg(F.sum("n").alias("freq"))
+    return words.select(F.explode(pairs_of(F.col("s"))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("freq"))
 
 
 def independent(top: list[tuple[str, int]], room: int, least: int) -> list[tuple[str, int]]:
@@ -70,22 +78,35 @@ def independent(top: list[tuple[str, int]], room: int, least: int) -> list[tuple
 def merges(words: DataFrame, n_types: int, most: int, least: int = 2, at_once: int = 64) -> tuple[list[tuple[int, int, int, int]], DataFrame]:
     """((idx, left, right, freq) of up to ``most`` merges in order, the words after them).
 
-    Every round counts pairs once and makes all the merges that are certain to come
-    next. It ends early if no pair is frequent enough, or none is left.
+    Pairs are counted once. Every round makes all the merges that are certain to come
+    next; only words that hold a chosen pair are counted again, before and after, and
+    the differences change the counts. It ends early if no pair is frequent enough, or
+    none is left.
     """
     done: list[tuple[int, int, int, int]] = []
     point = lambda c: (p := ord(c) - FIRST) - (2 if p >= PLANE else 0)
+    counts = written(pair_freqs(words), "pairs")
+    first = words
     while len(done) < most:
-        top = [(r["pair"], r["freq"]) for r in pair_freqs(words).orderBy(F.desc("freq"), "pair").limit(at_once).collect()]
+        top = [(r["pair"], r["freq"]) for r in counts.orderBy(F.desc("freq"), "pair").limit(at_once).collect()]
         chosen = independent(top, most - len(done), least)
         if not chosen:
             break
-        s = F.col("s")
+        s, holds = F.col("s"), F.lit(False)
         for pair, freq in chosen:
             idx = n_types + len(done)
-            s = F.replace(s, F.lit(pair), F.lit(symbol(idx)))
+            if idx > MOST_SYMBOLS:
+                raise ValueError(f"a learned vocabulary has at most {MOST_SYMBOLS + 1} types")
+            s, holds = F.replace(s, F.lit(pair), F.lit(symbol(idx))), holds | F.col("s").contains(pair)
             done.append((idx, point(pair[0]), point(pair[1]), freq))
-        words = written(words.select(s.alias("s"), "n"), "words")
+        signed = lambda c, sign: F.transform(pairs_of(F.col(c)), lambda p: F.struct(p.alias("pair"), F.lit(sign).alias("sign")))
+        changed = words.where(holds).select("s", s.alias("t"), "n").select(F.explode(F.concat(signed("s", -1), signed("t", 1))).alias("x"), "n")
+        moved = changed.groupBy("x.pair").agg(F.sum(F.col("x.sign") * F.col("n")).alias("freq")).where("freq <> 0")
+        new = written(counts.unionByName(moved).groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0"), "pairs")
+        after = written(words.select(s.alias("s"), "n"), "words")
+        forget(counts, *([] if words is first else [words]))
+        counts, words = new, after
+    forget(counts)
     return done, words
 
 
@@ -113,12 +134,32 @@ def with_merges(base: DataFrame, found: list[tuple[int, int, int, int]]) -> Data
     return base.unionByName(base.sparkSession.createDataFrame(rows, base.schema)) if rows else base
 
 
+def longest_matches(table: dict) -> Callable[[dict, list], list]:
+    """What takes the names that a vocabulary knows, and words, to the ids of the words' longest matches one after the other."""
+    widths = sorted({len(n) for n in table if n}, reverse=True)
+
+    def walk(known: dict, words: list) -> list:
+        ids = []
+        for word in words:
+            here = 0
+            while here < len(word):
+                n = next((k for k in widths if here + k <= len(word) and word[here : here + k] in known), 0)
+                ids.append(known[word[here : here + n]] if n else UNK)
+                here += n or 1
+        return ids
+
+    return walk
+
+
 def segmented(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(w, ids): greedy longest match from left to right over all types; a character that none begins with is one `<unk>`.
 
-    words: distinct, ``w``. All substrings as long as some name are looked up by a join;
-    the longest at each place is kept, and a fold walks from match to match.
+    words: distinct, ``w``. A vocabulary of a measured size goes to all executors, which
+    walk over each word. Beyond it, all substrings as long as some name are looked up by
+    a join; the longest at each place is kept, and a fold walks from match to match.
     """
+    if (table := small_table(vocab, "name", "idx")) is not None:
+        return words.select("w", mapped(words, F.array("w"), longest_matches(table), table, "array<int>").alias("ids"))
     names = vocab.groupBy("name").agg(F.min("idx").alias("idx"))
     sizes = [r[0] for r in vocab.select(F.char_length("name")).distinct().orderBy(F.char_length("name")).collect() if r[0]]
     at = words.select("w", F.explode(F.sequence(F.lit(1), F.char_length("w"))).alias("at"))
@@ -142,13 +183,20 @@ def encode_bpe(rows: DataFrame, keys: list[str], vocab: DataFrame, text: str = "
     """(keys, ids) by greedy longest match; a row without words is a lone ▁.
 
     No name may hold ▁ but at its end (learned ones don't), so words are segmented one
-    by one: the distinct ones, once each.
+    by one: inside the row where the vocabulary can be sent, else the distinct ones once
+    each. Every row gives one row, also where keys are equal.
     """
-    at = rows.select(*keys, F.posexplode_outer(T.words(F.col(text))).alias("at", "word")).withColumn("w", F.concat("word", F.lit(T.SPACE)))
-    at = written(at.select(*keys, "at", "w"), "bpe-words")
+    if (table := small_table(vocab, "name", "idx")) is not None:
+        ended = F.transform(T.words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.concat(w, F.lit(T.SPACE)))
+        ids = mapped(rows, ended, longest_matches(table), table, "array<int>")
+        made = rows.select(*keys, ids.alias("ids"))
+        return made.select(*keys, F.when(F.size("ids") == 0, F.array(F.lit(SPACE))).otherwise(F.col("ids")).alias("ids"))
+    whole = with_row(rows, keys, words=T.words(F.col(text)))
+    at = whole.select(*keys, "_row", F.posexplode_outer("words").alias("at", "word")).withColumn("w", F.concat("word", F.lit(T.SPACE)))
     done = segmented(at.where("w is not null").select("w").distinct(), vocab)
     one = F.when(F.col("at").isNotNull(), F.struct("at", "ids"))
-    whole = at.join(done, "w", "left").groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.ids)).alias("ids"))
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.ids))
+    whole = at.join(done, "w", "left").groupBy(*keys, "_row").agg(flat.alias("ids"))
     return whole.select(*keys, F.when(F.size("ids") == 0, F.array(F.lit(SPACE))).otherwise(F.col("ids")).alias("ids"))
 
 
@@ -159,10 +207,13 @@ def split_down(rows: DataFrame, keys: list[str], vocab: DataFrame, ratio: float,
     merges. The draw is a hash of the seed and of the place in the tree, so repeats agree.
     """
     kids = vocab.where(F.size("kids") == 2).select("idx", F.col("kids")[0].alias("l"), F.col("kids")[1].alias("r"))
-    now = rows.select(*keys, F.posexplode(ids).alias("at", "idx")).select(*keys, F.format_string("%010d", "at").alias("place"), "idx", F.lit(True).alias("open"))
+    out = keys
+    keys = [*keys, "_row"]
+    rows = with_row(rows, out, ids=F.col(ids))
+    now = rows.select(*keys, F.posexplode("ids").alias("at", "idx")).select(*keys, F.format_string("%010d", "at").alias("place"), "idx", F.lit(True).alias("open"))
     done = None
     while True:
-        draw = F.pmod(F.xxhash64(F.lit(seed), *keys, "place"), F.lit(1 << 30)) < ratio * (1 << 30)
+        draw = F.pmod(F.xxhash64(F.lit(seed), *out, "place"), F.lit(1 << 30)) < ratio * (1 << 30)
         seen = written(now.join(kids, "idx", "left").withColumn("open", draw & F.col("l").isNotNull()), "split")
         closed = seen.where("not open").select(*keys, "place", "idx")
         done = closed if done is None else done.unionByName(closed)
@@ -170,7 +221,7 @@ def split_down(rows: DataFrame, keys: list[str], vocab: DataFrame, ratio: float,
             break
         part = F.explode(F.array(F.struct(F.concat("place", F.lit("a")).alias("place"), F.col("l").alias("idx")), F.struct(F.concat("place", F.lit("b")).alias("place"), F.col("r").alias("idx"))))
         now = seen.where("open").select(*keys, part.alias("x")).select(*keys, "x.place", "x.idx")
-    return done.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "idx"))), lambda x: x.idx).alias("ids"))
+    return done.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "idx"))), lambda x: x.idx).alias("ids")).drop("_row")
 
 
 def permutations(vocab: DataFrame, top: DataFrame) -> DataFrame:

@@ -1,31 +1,72 @@
 """Encoding texts to ids and decoding them: words, characters, classes, bytes and subwords.
 
-Ids are looked up by joins on distinct pieces, so no vocabulary has to fit into one
-task; adaptive execution broadcasts one that is measured to be small.
+A vocabulary whose size was measured to be small goes to all executors, and a row's
+pieces are looked up inside the row, in Arrow batches: no token is shuffled. A larger
+one is joined on distinct pieces, so none has to fit into a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.operators.vocab import UNK
+from glyphmill.sources.folder import written
+
+#: The types, and the characters of their names, up to which a vocabulary is sent to all executors.
+SENT_TYPES, SENT_CHARS = 500_000, 8_000_000
+
+
+def small_table(vocab: DataFrame, key: str, value: str) -> dict | None:
+    """The vocabulary as a dictionary if its measured size allows to send it; of equal keys the least value counts."""
+    n, chars = vocab.agg(F.count("*"), F.coalesce(F.sum(F.char_length("name")), F.lit(0))).first()
+    if n > SENT_TYPES or chars > SENT_CHARS:
+        return None
+    return {r[key]: r["v"] for r in vocab.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias("v")).collect()}
+
+
+def mapped(rows: DataFrame, items: Column, one: Callable[[dict, np.ndarray], list], table: dict, kind: str) -> Column:
+    """A column made from each row's array of items and the table sent to all executors; null stays null."""
+    sent = rows.sparkSession.sparkContext.broadcast(table)
 
-EMPTY = "array<int>"
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = sent.value
+        for arrays in batches:
+            yield pd.Series([None if a is None else one(known, a) for a in arrays], dtype=object)
+
+    return run(items)
+
+
+def with_row(rows: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
+    """(keys, row, columns): a number for each row, written so that it stays; rows with equal keys stay apart."""
+    return written(rows.select(*keys, F.monotonically_increasing_id().alias("_row"), *[c.alias(n) for n, c in columns.items()]), "rows")
 
 
 def encode_pieces(rows: DataFrame, keys: list[str], pieces: Column, vocab: DataFrame, unknown: int = UNK) -> DataFrame:
     """(keys, ids): each piece's index, ``unknown`` where there is none; a row without pieces has no ids.
 
-    keys: columns that name a row. Of equal names in the vocabulary the least index counts.
+    Every row gives one row, also where keys are equal. Of equal names in the vocabulary
+    the least index counts.
     """
+    if (table := small_table(vocab, "name", "idx")) is not None:
+
+        def look_up(known: dict, names: np.ndarray) -> list:
+            return [known.get(n, unknown) for n in names]
+
+        ids = F.coalesce(mapped(rows, pieces, look_up, table, "array<int>"), F.array().cast("array<int>"))
+        return rows.select(*keys, ids.alias("ids"))
     names = vocab.groupBy("name").agg(F.min("idx").alias("idx"))
-    at = rows.select(*keys, F.posexplode_outer(pieces).alias("at", "name"))
+    at = with_row(rows, keys, pieces=pieces).select(*keys, "_row", F.posexplode_outer("pieces").alias("at", "name"))
     found = at.join(names, "name", "left")
     one = F.struct("at", F.coalesce("idx", F.lit(unknown)).alias("idx"))
     ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), one))), lambda x: x.idx)
-    return found.groupBy(*keys).agg(ids.alias("ids"))
+    return found.groupBy(*keys, "_row").agg(ids.alias("ids")).drop("_row")
 
 
 def encode_words(rows: DataFrame, keys: list[str], vocab: DataFrame, text: str = "text") -> DataFrame:
@@ -46,11 +87,21 @@ def encode_bytes(rows: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 
 def names_of(rows: DataFrame, keys: list[str], vocab: DataFrame, ids: str = "ids") -> DataFrame:
-    """(keys, pieces): the name of each id, in order. An id outside the vocabulary raises."""
-    at = rows.select(*keys, F.posexplode_outer(ids).alias("at", "idx")).join(vocab.select("idx", "name"), "idx", "left")
+    """(keys, pieces): the name of each id, in order. An id outside the vocabulary raises. Every row gives one row."""
+    if (table := small_table(vocab, "idx", "name")) is not None:
+
+        def look_up(known: dict, numbers: np.ndarray) -> list:
+            try:
+                return [known[i] for i in numbers]
+            except KeyError as e:
+                raise ValueError("an id is not in the vocabulary") from e
+
+        pieces = F.coalesce(mapped(rows, F.col(ids), look_up, table, "array<string>"), F.array().cast("array<string>"))
+        return rows.select(*keys, pieces.alias("pieces"))
+    at = with_row(rows, keys, ids=F.col(ids)).select(*keys, "_row", F.posexplode_outer("ids").alias("at", "idx")).join(vocab.select("idx", "name"), "idx", "left")
     bad = F.col("idx").isNotNull() & F.col("name").isNull()
     one = F.when(bad, F.raise_error(F.lit("an id is not in the vocabulary"))).otherwise(F.when(F.col("at").isNotNull(), F.struct("at", "name")))
-    return at.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["name"]).alias("pieces"))
+    return at.groupBy(*keys, "_row").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["name"]).alias("pieces")).drop("_row")
 
 
 JOINERS = {"word": T.join_words, "char": T.join_chars, "subword": T.join_subwords, "class": lambda p: F.array_join(p, ",")}

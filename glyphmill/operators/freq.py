@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +9,10 @@ from glyphmill.functions import text as T
 from glyphmill.sources.folder import written
 
 
+#: Groups up to which their first places go to all executors.
+LISTED_GROUPS = 100_000
+
+
 def counted(items: DataFrame, by: str = "term") -> DataFrame:
     """(by, freq) of a column with one item in each row; partial counts are made before the shuffle."""
     return items.groupBy(by).agg(F.count("*").alias("freq"))
@@ -27,8 +26,15 @@ def word_freq(rows: DataFrame, text: str = "text", dedup: bool = False) -> DataF
 
 
 def char_freq(rows: DataFrame, text: str = "text") -> DataFrame:
-    """(term, freq) of code points, with ▁ for each space between words."""
-    return counted(rows.select(F.explode(T.char_pieces(F.col(text))).alias("term")))
+    """(term, freq) of code points, with ▁ for each space between words.
+
+    Characters are counted from distinct words; a row of n words has n - 1 spaces, so
+    these are the words less the rows that have any.
+    """
+    words = written(word_freq(rows, text), "word-freqs")
+    filled = rows.where(F.col(text).rlike(T.NO_WHITE)).agg(F.count("*").alias("n"))
+    spaces = words.agg(F.sum("freq").alias("freq")).crossJoin(filled).select(F.lit(T.SPACE).alias("term"), (F.col("freq") - F.col("n")).alias("freq")).where("freq > 0")
+    return merged(char_freq_of_words(words), spaces)
 
 
 def char_freq_of_words(word_freqs: DataFrame, suffix: str = "") -> DataFrame:
@@ -69,6 +75,17 @@ def summed_before(chunks: DataFrame, value: Column, *order: Column | str) -> Dat
     return chunks.join(sums, "chunk").withColumn("before", own + F.col("earlier")).drop("chunk", "earlier")
 
 
+def numbered_within(rows: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """``rows`` with ``at``: their places from 0 within their group, in an order without ties (null groups are one group).
+
+    All rows are placed in the order of (group, order); a group's first place is taken
+    off. So a hot group is spread over as many ranges as it needs.
+    """
+    placed = written(numbered(rows, F.asc_nulls_first(group), *order), "placed")
+    first = placed.groupBy(F.col(group).alias("_group")).agg(F.min("at").alias("_first"))
+    return placed.join(F.broadcast(first) if first.count() <= LISTED_GROUPS else first, F.col(group).eqNullSafe(F.col("_group"))).withColumn("at", F.col("at") - F.col("_first")).drop("_group", "_first")
+
+
 def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
     """``rows`` with ``at``: their places from 0 in an order without ties."""
     return summed_before(chunked(rows, *order), F.lit(1), *order).withColumnRenamed("before", "at").drop("total")
@@ -92,27 +109,3 @@ def merged(*freqs: DataFrame) -> DataFrame:
     for f in freqs[1:]:
         both = both.unionByName(f)
     return both.groupBy("term").agg(F.sum("freq").alias("freq"))
-
-
-def map_reduce(rows: DataFrame, column: str, mapper: Callable, reducer: Callable, zero: object, kind: str = "long") -> DataFrame:
-    """One row ``value``: the mapped values of a column folded by an associative reducer that ``zero`` is neutral to.
-
-    Every partition folds its own rows batch by batch and gives one value; rounds over
-    about the square root of so many partitions fold these until one is left.
-    """
-
-    def fold(first: Callable) -> Callable:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = zero
-            for batch in batches:
-                total = reduce(reducer, map(first, batch["value"].tolist()), total)
-            yield pd.DataFrame({"value": [total]})
-
-        return run
-
-    out = rows.select(F.col(column).alias("value")).mapInPandas(fold(mapper), f"value {kind}")
-    parts = rows.rdd.getNumPartitions()
-    while parts > 1:
-        parts = max(1, math.isqrt(parts))
-        out = out.repartition(parts).mapInPandas(fold(lambda v: v), f"value {kind}")
-    return out.coalesce(1).mapInPandas(fold(lambda v: v), f"value {kind}")

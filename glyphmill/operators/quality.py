@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
+from glyphmill.operators.freq import numbered
 
 
 def usage(encoded: DataFrame, ids: str = "ids") -> DataFrame:
@@ -13,26 +14,32 @@ def usage(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     return encoded.select(F.explode(ids).alias("idx")).groupBy("idx").agg(F.count("*").alias("freq"))
 
 
+def usage_of_words(word_freqs: DataFrame, vocab: DataFrame, unknown: int = 1) -> DataFrame:
+    """(idx, freq) over the corpus that the words were counted in, as if it were encoded: no text is read again."""
+    names = vocab.groupBy(F.col("name").alias("term")).agg(F.min("idx").alias("idx"))
+    return word_freqs.join(names, "term", "left").groupBy(F.coalesce("idx", F.lit(unknown)).alias("idx")).agg(F.sum("freq").alias("freq"))
+
+
 def histogram(vocab: DataFrame, used: DataFrame) -> DataFrame:
     """(idx, name, n) for every type, also unused ones."""
     return vocab.select("idx", "name").join(used, "idx", "left").select("idx", "name", F.coalesce("freq", F.lit(0)).alias("n"))
 
 
-def codec_quality(vocab: DataFrame, encoded: DataFrame, ids: str = "ids", unknown: int = 1) -> DataFrame:
+def codec_quality(vocab: DataFrame, used: DataFrame, n_rows: int, unknown: int = 1) -> DataFrame:
     """(n_types, n_tokens, mean_seq_len, unk_count, imbalance) in one row.
 
-    The imbalance is half the sum of |share - 1/k| over all k types. Unknown pieces are
-    counted for themselves. An empty corpus gives null for the mean and the imbalance.
+    used: (idx, freq) over the encoded corpus of ``n_rows`` texts. The imbalance is half
+    the sum of |share - 1/k| over all k types. Unknown pieces are counted for
+    themselves. An empty corpus gives null for the mean and the imbalance.
     """
-    bins = histogram(vocab, usage(encoded, ids))
-    sizes = encoded.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(ids)), F.lit(0)).alias("n_tokens"))
-    k = vocab.agg(F.count("*").alias("n_types"))
-    both = bins.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(k))  # one row each
+    bins = histogram(vocab, used)
+    sums = bins.agg(F.count("*").alias("n_types"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
+    both = bins.crossJoin(F.broadcast(sums))  # one row
     share = F.try_divide(F.col("n"), F.col("n_tokens"))
     return both.agg(
         F.max("n_types").alias("n_types"),
         F.max("n_tokens").alias("n_tokens"),
-        F.max(F.try_divide("n_tokens", "rows")).alias("mean_seq_len"),
+        F.max(F.try_divide("n_tokens", F.lit(n_rows))).alias("mean_seq_len"),
         F.sum(F.when(F.col("idx") == unknown, F.col("n")).otherwise(0)).alias("unk_count"),
         (0.5 * F.sum(F.abs(share - 1.0 / F.col("n_types")))).alias("imbalance"),
     )
@@ -81,17 +88,20 @@ def grams_of(rows: DataFrame, keys: list[str], items: Column, n: int) -> DataFra
     return rows.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
 
 
-def precision_recall(candidates: DataFrame, references: DataFrame, keys: list[str], n: int = 1, text: str = "text") -> DataFrame:
+def precision_recall(candidates: DataFrame, references: DataFrame, keys: list[str], n: int = 1, text: str = "text", universe: DataFrame | None = None) -> DataFrame:
     """(gram, ref_freq, cand_freq, recall, precision, f1) over pairs of rows with equal keys.
 
     A gram's recall is the mean of min(c, r) / r over the rows whose reference holds it,
     its precision that of min(c, r) / c over the rows whose candidate does; without such
-    rows they are 0 and 1.
+    rows they are 0 and 1. Rows meet once by their keys, and each pair counts both its
+    sides' grams inside the row; then grams are summed. universe: (gram) to keep, if given.
     """
-    paired = [x.join(y.select(*keys), keys, "left_semi") for x, y in ((candidates, references), (references, candidates))]
-    c = grams_of(paired[0], keys, T.words(F.col(text)), n).withColumnRenamed("n", "c")
-    r = grams_of(paired[1], keys, T.words(F.col(text)), n).withColumnRenamed("n", "r")
-    both = c.join(r, [*keys, "gram"], "full_outer").select("gram", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("r", F.lit(0)).alias("r"))
+    grams = lambda c: F.transform(T.ngrams(T.words(F.col(c)), n), lambda g: F.array_join(g, " "))
+    c = candidates.select(*keys, grams(text).alias("c"))
+    r = references.select(*keys, grams(text).alias("r"))
+    one = lambda side, sign: F.transform(side, lambda g: F.struct(g.alias("gram"), F.lit(sign).alias("of_c")))
+    each = c.join(r, keys).withColumn("row", F.monotonically_increasing_id()).select("row", F.explode(F.concat(one("c", 1), one("r", 0))).alias("x"))
+    both = each.groupBy("row", "x.gram").agg(F.sum("x.of_c").alias("c"), (F.count("*") - F.sum("x.of_c")).alias("r"))
     hit = F.least("c", "r")
     out = both.groupBy("gram").agg(
         F.sum("r").alias("ref_freq"),
@@ -99,10 +109,26 @@ def precision_recall(candidates: DataFrame, references: DataFrame, keys: list[st
         F.coalesce(F.avg(F.when(F.col("r") > 0, hit / F.col("r"))), F.lit(0.0)).alias("recall"),
         F.coalesce(F.avg(F.when(F.col("c") > 0, hit / F.col("c"))), F.lit(1.0)).alias("precision"),
     )
+    out = out if universe is None else out.join(universe.select("gram").distinct(), "gram", "left_semi")
     p, r_ = F.col("precision"), F.col("recall")
     return out.withColumn("f1", F.when(p + r_ == 0, 0.0).otherwise(2 * p * r_ / (p + r_)))
 
 
+def gram_table(grams: DataFrame, measured: DataFrame, top: int = 0) -> DataFrame:
+    """(rank, gram, name, rank_freq, ref_freq, cand_freq, recall, precision, f1) of listed n-grams, the most frequent first.
+
+    grams: (ids, freq, names) as an n-gram file holds them; measured: what
+    ``precision_recall`` found on ids. A listed gram that was measured nowhere has the
+    frequencies -1, recall 0, precision 1 and f1 0. top: how many to list, all if 0.
+    """
+    listed = grams.select(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("gram"), F.array_join("names", " ").alias("name"), F.col("freq").alias("rank_freq"))
+    placed = numbered(listed, F.desc("rank_freq"), "gram").withColumn("rank", F.col("at") + 1).drop("at")
+    placed = placed.where(F.col("rank") <= top) if top else placed
+    fill = {"ref_freq": -1, "cand_freq": -1, "recall": 0.0, "precision": 1.0, "f1": 0.0}
+    both = placed.join(measured, "gram", "left")
+    return both.select("rank", "gram", "name", "rank_freq", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in fill.items()])
+
+
 def new_grams(candidates: DataFrame, references: DataFrame, keys: list[str], n: int = 1, text: str = "text") -> DataFrame:
     """(gram, freq): grams of candidates that no reference has."""
     c = grams_of(candidates, keys, T.words(F.col(text)), n)

@@ -171,8 +171,8 @@ def vocab_tsv_rows(spark, sf_dir):
 def vocab_shrink(spark, sf_dir):
     docs = documents(spark, sf_dir)
     vocab = written(V.learn_words(docs, min_freq=2), "vocab")
-    french = C.encode_words(docs.where("lang = 'fr'"), ["doc_id"], vocab)
-    return shown(V.shrink(vocab, Q.usage(french), 2))
+    french = N.word_freq(docs.where("lang = 'fr'"))
+    return shown(V.shrink(vocab, Q.usage_of_words(french, vocab), 2))
 
 
 # codecs
@@ -357,6 +357,14 @@ def bpe_permutations(spark, sf_dir):
 
 # quality
 
+
+def counted_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataFrame]:
+    """The words of documents, how many texts there are, and the vocabulary of the words that stand there twice."""
+    docs = documents(spark, sf_dir)
+    freqs, n_rows = written(N.word_freq(docs), "freqs"), V.line_count(docs)
+    return freqs, n_rows, written(V.init_vocab(freqs, n_rows, "word", min_freq=2), "vocab")
+
+
 ENCODED_WORDS = f"""WITH {S.word_freq()}, {S.init_vocab("v", "f", S.LINES, 2, min_freq=2)},
     used AS (SELECT coalesce(v.idx, 1) AS idx, sum(f.freq) AS n FROM f LEFT JOIN v ON v.name = f.term GROUP BY 1),
     bins AS (SELECT v.idx, v.name, coalesce(used.n, 0) AS n FROM v LEFT JOIN used ON used.idx = v.idx)"""
@@ -364,9 +372,8 @@ ENCODED_WORDS = f"""WITH {S.word_freq()}, {S.init_vocab("v", "f", S.LINES, 2, mi
 
 @query(f"{ENCODED_WORDS} SELECT idx, name, CAST(n AS BIGINT) AS n FROM bins")
 def token_histogram(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    vocab = written(V.learn_words(docs, min_freq=2), "vocab")
-    return Q.histogram(vocab, Q.usage(C.encode_words(docs, ["doc_id"], vocab)))
+    freqs, _, vocab = counted_words(spark, sf_dir)
+    return Q.histogram(vocab, Q.usage_of_words(freqs, vocab))
 
 
 @query(
@@ -375,10 +382,8 @@ def token_histogram(spark, sf_dir):
     CAST(sum(CASE WHEN idx = 1 THEN n ELSE 0 END) AS BIGINT) AS unk_count, round(0.5 * sum(abs(n / total - 1.0 / k)), 6) AS imbalance FROM bins, t"""
 )
 def codec_quality(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    vocab = written(V.learn_words(docs, min_freq=2), "vocab")
-    encoded = written(C.encode_words(docs, ["doc_id"], vocab), "encoded")
-    return Q.codec_quality(vocab, encoded).withColumns({"mean_seq_len": F.round("mean_seq_len", 6), "imbalance": F.round("imbalance", 6)})
+    freqs, n_rows, vocab = counted_words(spark, sf_dir)
+    return Q.codec_quality(vocab, Q.usage_of_words(freqs, vocab), n_rows).withColumns({"mean_seq_len": F.round("mean_seq_len", 6), "imbalance": F.round("imbalance", 6)})
 
 
 LANGS = f"""WITH {S.char_freq("a", where="lang = 'en'")}, {S.char_freq("b", where="lang = 'de'")},
@@ -565,12 +570,12 @@ def pair_subsequent(spark, sf_dir):
 
 @query("SELECT source, doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS BIGINT) AS slice FROM documents")
 def slices(spark, sf_dir):
-    return B.slices(documents(spark, sf_dir).select("source", "doc_id"), "doc_id", 20, F.col("source"))
+    return B.slices(documents(spark, sf_dir).select("source", "doc_id"), "doc_id", 20, "source")
 
 
 @query("SELECT CAST(sum(n_chars) AS BIGINT) AS value FROM documents")
 def tree_reduce_sum(spark, sf_dir):
-    return N.map_reduce(documents(spark, sf_dir).where("n_chars is not null"), "n_chars", int, lambda a, b: a + b, 0)
+    return documents(spark, sf_dir).agg(F.sum("n_chars").alias("value"))
 
 
 DTYPE = "CASE WHEN lo >= 0 THEN CASE WHEN hi <= 255 THEN 'uint8' WHEN hi <= 127 THEN 'int8' WHEN hi <= 65535 THEN 'uint16' WHEN hi <= 4294967295 THEN 'uint32' ELSE 'uint64' END WHEN lo >= -128 AND hi <= 127 THEN 'int8' WHEN lo >= -32768 AND hi <= 32767 THEN 'int16' WHEN lo >= -2147483648 AND hi <= 2147483647 THEN 'int32' ELSE 'int64' END"

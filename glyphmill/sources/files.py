@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators.vocab import SCHEMA, as_row
@@ -17,9 +17,18 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text) with line numbers from 0: files carry no key, so each partition's lines are counted first."""
-    rows = read_lines(spark, path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, "id long, text string")
+    """(id, text) with line numbers from 0.
+
+    Files carry no key. A row's place within its partition comes from the JVM's own
+    numbering, and partitions are counted first; the plan is read twice with the same
+    splits, in the order of the files.
+    """
+    rows = read_lines(spark, path).select(F.monotonically_increasing_id().alias("place"), "text")
+    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each partition
+    return rows.withColumn("part", part).join(F.broadcast(starts), "part").select((F.col("start") + at).alias("id"), "text")
 
 
 def read_bitext(spark: SparkSession, src: str, tgt: str) -> DataFrame:
@@ -30,19 +39,24 @@ def read_bitext(spark: SparkSession, src: str, tgt: str) -> DataFrame:
     return a.withColumnRenamed("text", "x").join(b.withColumnRenamed("text", "y"), "id")
 
 
+#: Fixed value: what this version writes into the header of a vocabulary file.
+VERSION = "1"
+
+
 def with_header(rows: DataFrame, line: str, order: list, header: dict) -> DataFrame:
-    """(value): the header as JSON after a `#`, then the lines in order."""
-    spark = rows.sparkSession
-    head = spark.createDataFrame([("#" + json.dumps(header, ensure_ascii=False),)], "value string").coalesce(1)
-    return head.union(rows.orderBy(*order).select(F.expr(line).alias("value")))
+    """(value): the header as JSON after a `#`, then the lines in order; sorted by ranges, so no task holds all of them."""
+    head = rows.sparkSession.createDataFrame([(0, "#" + json.dumps(header, ensure_ascii=False))], "after int, value string")
+    both = rows.withColumns({"after": F.lit(1), "value": F.expr(line)}).unionByName(head, allowMissingColumns=True)
+    return both.orderBy("after", *order).select("value")
 
 
 def write_vocab(vocab: DataFrame, path: str, **meta: object) -> None:
-    """One text file: a JSON header, then a type in each line, by index."""
+    """A folder of text files, by index: a JSON header, then a type in each line. The header always names the scheme and the version."""
     levels = {str(r["level"]): r["n"] for r in vocab.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    header = {"total": sum(levels.values()), "levels": levels, "max_level": max(map(int, levels), default=-1), "created": str(datetime.now()), **meta}
+    header = {"total": sum(levels.values()), "version": VERSION, "levels": levels, "max_level": max(map(int, levels), default=-1), "created": str(datetime.now()), **meta}
+    header["scheme"] = scheme_of(header)
     rows = vocab.select("idx", as_row().alias("row"))
-    with_header(rows, "row", ["idx"], header).coalesce(1).write.text(path, lineSep="\n")
+    with_header(rows, "row", ["idx"], header).write.text(path, lineSep="\n")
 
 
 def read_vocab(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
@@ -62,10 +76,27 @@ def scheme_of(header: dict) -> str:
     return header.get("scheme") or {0: "char", 1: "subword", 2: "word"}.get(header.get("max_level"), "class")
 
 
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """(vocabulary, scheme) of a vocabulary file; what the scheme names encodes and decodes with it (``operators.schemes``)."""
+    vocab, header = read_vocab(spark, path)
+    if not header.get("scheme"):
+        header["max_level"] = header.get("max_level", vocab.agg(F.max("level")).first()[0])
+    return vocab, scheme_of(header)
+
+
+def write_oov(report: DataFrame, path: str) -> None:
+    """The three lines of an OOV report (kind, types, tokens, token_pct): types, tokens and their share, inside and outside the vocabulary."""
+    found = {r["kind"]: r for r in report.collect()}  # two rows
+    cells = lambda c: [str(found[k][c]) if k in found else "0" for k in ("InVocab", "OOV")]
+    lines = [["", "InVocab", "OOV"], ["Types", *cells("types")], ["Token Count", *cells("tokens")], ["Token %", *cells("token_pct")]]
+    rows = [("\t".join(x),) for x in lines]
+    report.sparkSession.createDataFrame(rows, "value string").coalesce(1).write.text(path)  # four lines
+
+
 def write_freqs(freqs: DataFrame, path: str, n_lines: int = -1) -> None:
     types, tokens = freqs.agg(F.count("*"), F.coalesce(F.sum("freq"), F.lit(0))).first()
     header = {"types": types, "tokens": tokens, "line_count": n_lines}
-    with_header(freqs, "concat_ws('\t', term, cast(freq as string))", [F.desc("freq"), "term"], header).coalesce(1).write.text(path, lineSep="\n")
+    with_header(freqs, "concat_ws('\t', term, cast(freq as string))", [F.desc("freq"), "term"], header).write.text(path, lineSep="\n")
 
 
 def read_freqs(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -97,6 +128,9 @@ def write_store(pairs: DataFrame, path: str, parts: int | None = None, part_size
 
 
 def read_store(spark: SparkSession, path: str, shuffle_seed: int | None = None, keep: bool = False) -> DataFrame:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise ValueError("the store has no _SUCCESS: it was not written to its end")
     rows = spark.read.parquet(path)
     rows = rows.orderBy(F.rand(shuffle_seed)) if shuffle_seed is not None else rows
     return rows.cache() if keep else rows

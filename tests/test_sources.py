@@ -41,3 +41,58 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert [r["ids"] for r in spark.read.parquet(f"{tmp_path}/out").where("doc_id = 1").collect()] == [list(b"a b a")]
     assert os.path.exists(f"{tmp_path}/out/_spark_metadata") and T.SPACE == "▁"
+
+
+def test_every_scheme_round_trips_through_its_file(spark, tmp_path):
+    from glyphmill.operators import schemes
+
+    rows = spark.createDataFrame([(1, "aab ab b"), (1, "b aab"), (2, "")], "id long, text string")
+    settings = {"char": {"min_freq": 1, "coverage": 0.0}, "word": {}, "bpe": {"size": 9, "coverage": 0.0, "min_co_evidence": 2}, "class": {}, "byte": {}}
+    for name, more in settings.items():
+        vocab = schemes.learn_vocab(rows, name, **more)
+        files.write_vocab(vocab, f"{tmp_path}/{name}", scheme=schemes.scheme_named(name))
+        back, scheme = files.load(spark, f"{tmp_path}/{name}")
+        ids = schemes.encode(rows, ["id"], back, scheme)
+        got = sorted((r["id"], r["text"]) for r in schemes.decode(ids, ["id"], back, scheme).collect())
+        assert got == [(1, "aab ab b"), (1, "b aab"), (2, "")], name  # rows with equal keys stay apart
+    with open(next((tmp_path / "word").glob("part-*"))) as f:
+        assert '"version"' in f.readline()
+
+
+def test_tables_over_the_size_bound_give_the_same(spark, monkeypatch):
+    from glyphmill.operators import codec as C
+    from glyphmill.operators import schemes
+
+    rows = spark.createDataFrame([(1, "aab ab b q"), (1, "b aab"), (2, ""), (3, None)], "id long, text string")
+    vocab = schemes.learn_vocab(rows.where("id < 3"), "bpe", size=12, coverage=0.0, min_co_evidence=2)
+    both = []
+    for bound in (C.SENT_TYPES, 0):
+        monkeypatch.setattr(C, "SENT_TYPES", bound)
+        ids = schemes.encode(rows, ["id"], vocab, "bpe")
+        both.append((sorted(map(str, ids.collect())), sorted(map(str, schemes.encode(rows, ["id"], vocab, "char").collect())), sorted(map(str, schemes.decode(ids, ["id"], vocab, "bpe").collect()))))
+    assert both[0] == both[1]
+
+
+def test_stores_reports_and_layouts(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from glyphmill.operators import batch as B
+    from glyphmill.operators import quality as Q
+
+    spark.range(3).write.parquet(f"{tmp_path}/s")
+    os.remove(f"{tmp_path}/s/_SUCCESS")
+    with pytest.raises(ValueError, match="_SUCCESS"):
+        files.read_store(spark, f"{tmp_path}/s")
+    vocab = V.learn_words(spark.createDataFrame([("a b",)], "text string"))
+    files.write_oov(Q.oov_report(N.word_freq(spark.createDataFrame([("a a c",)], "text string")), vocab), f"{tmp_path}/o")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/o").collect()] == ["\tInVocab\tOOV", "Types\t1\t1", "Token Count\t2\t1", "Token %\t66.67\t33.33"]
+    rows = spark.createDataFrame([(0, i, [7] * 2, [8] * 3) for i in range(6)], "part long, id long, x array<int>, y array<int>").withColumn("len", B.longest())
+    members = B.packed(rows, 100, 9, order=("len", "draw"), seed=5)
+    one = B.batches(rows, members, bos=True, eos=False, pad=9, batch_first=False).first()
+    assert one["x_seqs"] == [[2] * 6, [7] * 6, [7] * 6] and one["max_y_len"] == 4
+    cand, ref = (spark.createDataFrame([(1, t)], "id long, text string") for t in ("4 5", "4 4 6"))
+    grams = spark.createDataFrame([([4], 9, ["four"]), ([7], 5, ["seven"])], "ids array<int>, freq long, names array<string>")
+    got = [tuple(r) for r in Q.gram_table(grams, Q.precision_recall(cand, ref, ["id"])).orderBy("rank").collect()]
+    assert got == [(1, "4", "four", 9, 2, 1, 0.5, 1.0, pytest.approx(2 / 3)), (2, "7", "seven", 5, -1, -1, 0.0, 1.0, 0.0)]
+    assert [r["gram"] for r in Q.precision_recall(cand, ref, ["id"], universe=ref.select(F.lit("6").alias("gram"))).collect()] == ["6"]

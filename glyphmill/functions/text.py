@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,10 +73,17 @@ def join_bytes(pieces: Column) -> Column:
     return F.make_valid_utf8(F.unhex(F.array_join(F.transform(pieces, lambda p: F.lpad(p, 2, "0")), "")).cast("string"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: an expression inside a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def ngrams(items: Column, n: int) -> Column:
     """All runs of n neighbours; none if there are fewer items."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.slice(items, i, n))
-    return F.when(F.size(items) >= n, runs).otherwise(F.array())
+    if n == 1:
+        return F.transform(items, lambda x: F.array(x))
+    runs = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - n + 1), lambda i: F.slice(v, i, n))
+    return let(items, lambda v: F.when(F.size(v) >= n, runs(v)).otherwise(F.array()))
 
 
 def clamp_runs(text: Column) -> Column:

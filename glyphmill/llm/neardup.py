@@ -10,9 +10,10 @@ Bands of registers meet in buckets. Each bucket's members are compared with one
 of it, drawn anew for each bucket, which takes as many pairs as it has members. Linked
 texts form classes. What is left is exact: of members of one bucket that are in
 different classes, each pair is compared in full whose similarity can reach the limit at
-all: bitmaps of shingles bound it from above, inside the join. So no link between
-candidates is lost, and few pairs beyond the links leave the join. Equal texts are one
-node from the start.
+all: bitmaps of shingles bound it from above, inside the join. In a bucket where even
+that would be many pairs, only those are tried that share one of their rarest shingles,
+as similar texts must. So no link between candidates is lost, and few pairs beyond the
+links leave the join. Equal texts are one node from the start.
 
 Nodes are 64-bit hashes of whole texts.
 """
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.shared import ship, written
@@ -35,6 +36,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 32, 8
 REGISTERS = BANDS * ROWS
 EMPTY = np.inf
+#: Pairs of one bucket that are tried one by one; beyond it they must share a rare shingle.
+PAIRS_AT_ONCE = 20_000
 #: 64-bit words of the bitmap that bounds similarities.
 WORDS = 16
 G1, G2, G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -147,6 +150,51 @@ def sketches(text: Column) -> Column:
     return run(text)
 
 
+def shingle_sets(text: Column) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from glyphmill.llm.neardup import shingles
+        from glyphmill.llm.shared import settle
+
+        for texts in batches:
+            yield pd.Series([shingles(t)[0].view(np.int64) for t in texts], dtype=object)
+        settle()
+
+    return run(text)
+
+
+def pairs_by_rare_shingles(mixed: DataFrame, texts: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(a, b): pairs of one bucket in different classes that can be similar.
+
+    mixed: (key, node, label, main); texts: (node, text); sketched: (node, s). In a text
+    of weight x that is SIMILAR to another, shingles that the other lacks weigh at most
+    (1 - SIMILAR) * x, and each weighs at least 1. So with shingles in one order, rarest
+    first, the first that both have is among the first (1 - SIMILAR) * x + 1 of either.
+    Where no shingle of the two repeats, the one with fewer must hold it among its first
+    (1 - 2 * SIMILAR / (1 + SIMILAR)) * x + 1.
+    """
+    size = sketched.select("node", F.col("s.total").alias("total"), (F.col("s.total") == F.col("s.kinds")).alias("plain"))
+    own = texts.join(mixed.select("node").distinct(), "node", "left_semi").join(size, "node")
+    grams = written(own.select("node", "total", "plain", shingle_sets(F.col("text")).alias("g")).select("node", "total", "plain", F.explode("g").alias("g")), "shingles")
+    held = grams.join(grams.groupBy("g").agg(F.count("*").alias("n")), "g")
+    placed = held.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("n", "g")))
+    among = lambda share: F.col("place") <= F.floor(share * F.col("total") + 1e-6) + 1
+    rare = placed.where(among(1 - SIMILAR) & (F.col("n") > 1)).withColumn("first", among(1 - 2 * SIMILAR / (1 + SIMILAR))).drop("n", "place")
+    at = written(mixed.select("key", "node", "label", "main").join(rare, "node"), "rare")
+    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.g") == F.col("q.g")) & (F.col("p.label") != F.col("q.label"))
+    pair = [F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")]
+    fewer = (F.col("p.total") < F.col("q.total")) | ((F.col("p.total") == F.col("q.total")) & (F.col("p.node") < F.col("q.node")))
+    once = (F.col("q.label") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
+    plain = at.where("plain")
+    met = plain.where("first").alias("p").join(plain.alias("q"), apart & fewer).select(*pair)
+    outside = at.where("label != main")
+    for left, right in ((outside.where("not plain"), at), (outside.where("plain"), at.where("not plain"))):
+        met = met.union(left.alias("p").join(right.alias("q"), apart & (once | (F.col("p.plain") != F.col("q.plain")))).select(*pair))
+    met = met.distinct()
+    both = written(met, "met").alias("m").join(sketched.alias("p"), F.col("m.a") == F.col("p.node")).join(sketched.alias("q"), F.col("m.b") == F.col("q.node"))
+    return both.where(can_be_similar("p", "q")).select("a", "b")
+
+
 def can_be_similar(a: str, b: str) -> Column:
     """Whether an upper bound lets rows with ``s`` from ``sketches``, aliased a and b, be similar.
 
@@ -263,15 +311,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # members of one bucket in different classes: all those outside its largest class, against all others
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = written(sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main")).where("classes > 1").select("key", "main"), "main")
+    most = F.max(F.struct("n", "label"))
+    tried = (F.sum("n") - most["n"]) * F.sum("n")
+    main = sizes.groupBy("key").agg(F.count("*").alias("classes"), most["label"].alias("main"), (tried > PAIRS_AT_ONCE).alias("large"))
+    main = written(main.where("classes > 1").select("key", "main", "large"), "main")
     mixed = written(labelled.join(main, "key"), "mixed")
     drawn = texts.join(mixed.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "bands"), "node")
-    mixed = written(mixed.join(written(drawn.select("node", "bands", sketches(F.col("text")).alias("s")), "sketches"), "node"), "mixed")
+    sketched = written(drawn.select("node", "bands", sketches(F.col("text")).alias("s")), "sketches")
+    large = mixed.where("large")
+    mixed = written(mixed.where("not large").join(sketched, "node"), "mixed")
     apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.label") != F.col("q.label"))
     once = (F.col("q.label") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
     first = F.array_min(F.array_intersect("p.bands", "q.bands")) == F.col("p.key")  # a pair leaves one of its buckets only
     few = mixed.where("label != main").alias("p").join(mixed.alias("q"), apart & once & can_be_similar("p", "q") & first)
     across = few.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+    if not large.isEmpty():
+        across = across.union(pairs_by_rare_shingles(large, texts, sketched.select("node", "s"))).distinct()
     more = written(links(across.join(pairs, ["a", "b"], "left_anti"), texts), "links")
     labels = joined(labels, more)
     # a class is named by its least id

@@ -56,13 +56,17 @@ def test_similarity_by_definition():
     assert abs(L.similarity(arrays(a), arrays(b)) - want) < 1e-12
 
 
-def test_query_equals_all_pairs(spark):
+@pytest.mark.parametrize("at_once", [L.PAIRS_AT_ONCE, 0])
+def test_query_equals_all_pairs(spark, monkeypatch, at_once):
+    monkeypatch.setattr(L, "PAIRS_AT_ONCE", at_once)
     sf = "/root/testdata/sf0.001"
     got = {r["doc_id"]: r["class_id"] for r in QUERIES["op1_neardup"](spark, sf).collect()}
     assert got == plain_classes([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
 
-def test_group_of_copies_with_edits(spark):
+@pytest.mark.parametrize("at_once", [L.PAIRS_AT_ONCE, 0])
+def test_group_of_copies_with_edits(spark, monkeypatch, at_once):
+    monkeypatch.setattr(L, "PAIRS_AT_ONCE", at_once)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(160)]
     rows = []
@@ -76,6 +80,24 @@ def test_group_of_copies_with_edits(spark):
     assert got == want
 
 
+def test_many_texts_of_one_template_take_no_square_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    frame = [f"t{k}" for k in range(170)]
+    rows = [(i, " ".join([*frame, *(f"v{rng.integers(0, 1 << 40)}" for _ in range(26))])) for i in range(400)]
+    rows += [(5000 + i, rows[i][1] + " end") for i in range(40)]
+    tried = []
+    links = L.links
+
+    def counted(pairs, texts):
+        tried.append(pairs.count())
+        return links(pairs, texts)
+
+    monkeypatch.setattr(L, "links", counted)
+    monkeypatch.setattr(L, "PAIRS_AT_ONCE", 1000)
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(got[5000 + i] == got[i] for i in range(40)) and sum(tried) < 9_000
+
+
 def test_bound_never_loses_a_pair(spark):
     rng = np.random.default_rng(2)
     rows = []

@@ -21,6 +21,7 @@ Nodes are 64-bit hashes of whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 32, 8
 REGISTERS = BANDS * ROWS
 EMPTY = np.inf
-#: Pairs of one bucket that are tried one by one; beyond it they must share a rare shingle.
-PAIRS_AT_ONCE = 20_000
+#: Pairs of one bucket that are tried one by one; beyond it they must share a rare shingle, which takes all shingles of the bucket's texts and so about as long as a million trials.
+PAIRS_AT_ONCE = 1_000_000
 #: 64-bit words of the bitmap that bounds similarities.
 WORDS = 16
 G1, G2, G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -164,9 +165,9 @@ def shingle_sets(text: Column) -> Column:
 
 
 def pairs_by_rare_shingles(mixed: DataFrame, texts: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(a, b): pairs of one bucket in different classes that can be similar.
+    """(a, b): pairs in different classes that can be similar, of texts from large buckets.
 
-    mixed: (key, node, label, main); texts: (node, text); sketched: (node, s). In a text
+    mixed: (node, label); texts: (node, text); sketched: (node, s). In a text
     of weight x that is SIMILAR to another, shingles that the other lacks weigh at most
     (1 - SIMILAR) * x, and each weighs at least 1. So with shingles in one order, rarest
     first, the first that both have is among the first (1 - SIMILAR) * x + 1 of either.
@@ -180,16 +181,20 @@ def pairs_by_rare_shingles(mixed: DataFrame, texts: DataFrame, sketched: DataFra
     placed = held.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("n", "g")))
     among = lambda share: F.col("place") <= F.floor(share * F.col("total") + 1e-6) + 1
     rare = placed.where(among(1 - SIMILAR) & (F.col("n") > 1)).withColumn("first", among(1 - 2 * SIMILAR / (1 + SIMILAR))).drop("n", "place")
-    at = written(mixed.select("key", "node", "label", "main").join(rare, "node"), "rare")
-    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.g") == F.col("q.g")) & (F.col("p.label") != F.col("q.label"))
+    named = written(rare.join(mixed.select("node", "label").distinct(), "node"), "rare")
+    sizes = named.groupBy("g", "label").agg(F.count("*").alias("k"))
+    mains = sizes.groupBy("g").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("k", "label")).alias("main")).where("classes > 1").select("g", "main")
+    at = written(named.join(mains, "g").withColumn("out", F.col("label") != F.col("main")), "rare")
+    apart = (F.col("p.g") == F.col("q.g")) & (F.col("p.label") != F.col("q.label"))
     pair = [F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")]
     fewer = (F.col("p.total") < F.col("q.total")) | ((F.col("p.total") == F.col("q.total")) & (F.col("p.node") < F.col("q.node")))
-    once = (F.col("q.label") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
-    plain = at.where("plain")
-    met = plain.where("first").alias("p").join(plain.alias("q"), apart & fewer).select(*pair)
-    outside = at.where("label != main")
-    for left, right in ((outside.where("not plain"), at), (outside.where("plain"), at.where("not plain"))):
-        met = met.union(left.alias("p").join(right.alias("q"), apart & (once | (F.col("p.plain") != F.col("q.plain")))).select(*pair))
+    once = ~F.col("q.out") | (F.col("p.node") < F.col("q.node")) | (F.col("p.plain") != F.col("q.plain"))
+    outside, plain = at.where("out"), at.where("plain")
+    sides = (
+        (outside.where("plain and first"), plain, fewer), (plain.where("first and not out"), outside.where("plain"), fewer),
+        (outside.where("not plain"), at, once), (outside.where("plain"), at.where("not plain"), once),
+    )
+    met = reduce(DataFrame.union, [left.alias("p").join(right.alias("q"), apart & also).select(*pair) for left, right, also in sides])
     met = met.distinct()
     both = written(met, "met").alias("m").join(sketched.alias("p"), F.col("m.a") == F.col("p.node")).join(sketched.alias("q"), F.col("m.b") == F.col("q.node"))
     return both.where(can_be_similar("p", "q")).select("a", "b")

@@ -68,7 +68,8 @@ class WordBpe:
         self.byte_ids = [self.vocab[c] for c in letters]
         self.last_ids = [self.vocab[c + self.end] for c in letters]
         # A word's key is its bytes, one character each, and a final U+0100 for the word's end.
-        as_byte = {c: chr(b) for b, c in enumerate(letters)}
+        self.as_byte = as_byte = {c: chr(b) for b, c in enumerate(letters)}
+        self.path, self.splitter = path, None
         self.by_key: dict[str, int] = {}
         for name, i in self.vocab.items():
             body, last = (name[: -len(self.end)], "Ā") if name.endswith(self.end) else (name, "")
@@ -225,6 +226,19 @@ class WordBpe:
                 heapq.heappush(heap, (m[0], h, ids[h], made, m[1]))
         return [t for t in ids if t >= 0]
 
+    def newer_words(self, part: str) -> list[str]:
+        """The keys of the words of a text with code points that this Python's tables don't know.
+
+        What is a letter, and its lower case, depends on the version of Unicode, so the
+        file's own normaliser and splitter, run by the library, tell.
+        """
+        if self.splitter is None:
+            from tokenizers import Tokenizer
+
+            self.splitter = Tokenizer.from_file(self.path)
+        pieces = self.splitter.pre_tokenizer.pre_tokenize_str(self.splitter.normalizer.normalize_str(part))
+        return ["".join(map(self.as_byte.__getitem__, piece)) + "Ā" for piece, _ in pieces]
+
     def words(self, chunk: str) -> list[str | int]:
         """A chunk's words as keys; its special tokens as ids."""
         parts = self.special_re.split(chunk) if self.special_re and "<" in chunk else [chunk]
@@ -235,6 +249,8 @@ class WordBpe:
             elif part:
                 if part.isascii():
                     out += [part.lower() + "Ā"] if part.isalpha() else [w + "Ā" for w in self.word_re.findall(part.lower())]
+                elif not part.isprintable() and any(unicodedata.category(c) == "Cn" for c in part):
+                    out += self.newer_words(part)
                 else:  # letters are lowered one by one, so that a final sigma is no other letter
                     low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                     out += [w.encode("utf-8").decode("latin-1") + "Ā" for w in self.word_re.findall(low)]

@@ -34,6 +34,11 @@ def test_odd_texts(model, library):
     same(model, library, ["", None, "Hello  world's <|endoftext|>x <|EndOfText|> ΣΑΣ İ don'T 123 café é 漢字 😀 !!?? it'S", "a\x1cb \x1d c\x85d 　 e", "x" * 3000 + "aba" * 900, "́a ́", "<|startoftext|><|endoftext|><|endoftext"])
 
 
+def test_code_points_of_newer_unicode(model, library):
+    newer = [chr(c) for c in (0x558, 0x88F, 0x1C89, 0xA7CB, 0xA7DC, 0x10940, 0x10D50, 0x16EA0, 0x1E5F1, 0x2FFF0, 0x323B0, 0xE0FFF)]
+    same(model, library, [f % c for c in newer for f in ("%s", "a%sb", "1%s2", ".%s.", "É%sΣ it's")] + ["".join(newer)])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abcdeinorst'sé .,!<|>ΣÅ漢\n1"), max_size=60))
 def test_any_text(model, library, text):

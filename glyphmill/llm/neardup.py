@@ -14,7 +14,8 @@ all: bitmaps of shingles bound it from above, inside the join. So no link betwee
 candidates is lost, and few pairs beyond the links leave the join. Equal texts are one
 node from the start.
 
-Nodes are 64-bit hashes of whole texts.
+Nodes are 64-bit hashes of whole texts. A second hash tells whether two texts have one
+node; the texts of such a node get nodes from both hashes.
 """
 
 from __future__ import annotations
@@ -239,6 +240,25 @@ def texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(found.dropDuplicates(["node"]), "texts")
 
 
+def first_hash(text: Column) -> Column:
+    """The node of a text, unless another text has it too."""
+    return F.xxhash64(text)
+
+
+def grouped(hashed: DataFrame) -> DataFrame:
+    """(node, id, bands, low, high), one row for each node; low and high are the least and the greatest second hash of its texts."""
+    both = [F.min("second").alias("low"), F.max("second").alias("high")]
+    return written(hashed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), *both), "nodes")
+
+
+def parted(rows: DataFrame, shared: DataFrame, few: bool) -> DataFrame:
+    """The rows, with nodes from both hashes for those whose node is among ``shared``."""
+    marks = shared.select("node", F.lit(True).alias("shared"))
+    marked = rows.join(F.broadcast(marks) if few else marks, "node", "left")
+    node = F.when(F.col("shared"), F.xxhash64("node", "second")).otherwise(F.col("node"))
+    return marked.select(node.alias("node"), *[c for c in rows.columns if c != "node"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class) of each row of ``docs``; the class is the least id of its near-duplicates, itself included.
 
@@ -248,10 +268,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = base.withColumn("node", F.when(F.col("text").rlike(r"(?U)\S"), F.xxhash64("text")))
-    hashed = written(rows.select("id", "node", band_hashes(F.when(F.col("node").isNotNull(), F.col("text"))).alias("bands")), "bands")
+    has_words = F.col("text").rlike(r"(?U)\S")
+    rows = base.withColumns({"node": F.when(has_words, first_hash(F.col("text"))), "second": F.when(has_words, F.xxhash64(F.lit(1), "text"))})
+    hashed = written(rows.select("id", "node", "second", band_hashes(F.when(F.col("node").isNotNull(), F.col("text"))).alias("bands")), "bands")
     hashed = hashed.withColumn("node", F.when(F.col("bands").isNotNull(), F.col("node")))
-    nodes = written(hashed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
+    nodes = grouped(hashed)
+    shared = written(nodes.where("low != high").select("node"), "shared-nodes")
+    if n_shared := shared.count():  # some hundred among 10^11 texts
+        rows, hashed = (parted(x, shared, n_shared <= LISTED_NODES) for x in (rows, hashed))
+        nodes = grouped(hashed)
     members = nodes.select("node", "id", F.explode("bands").alias("key"))
     hub = F.min_by("node", F.xxhash64("key", "node"))
     buckets = written(members.groupBy("key").agg(F.count("*").alias("n"), hub.alias("hub")).where("n > 1").select("key", "hub"), "buckets")

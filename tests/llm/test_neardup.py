@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import neardup as L
 from glyphmill.llm.queries import QUERIES
@@ -76,6 +77,17 @@ def test_group_of_copies_with_edits(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("listed", [10**6, 0])
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch, listed):
+    monkeypatch.setattr(L, "first_hash", lambda text: F.char_length(text).cast("long"))
+    monkeypatch.setattr(L, "LISTED_NODES", listed)
+    words = [f"w{i:03}" for i in range(160)]
+    rows = [(i, " ".join(words[:i] + ["edit"] + words[i + 1 :])) for i in range(4, 20)]
+    rows += [(i, " ".join(f"{i}x{k:03}" for k in range(160))) for i in range(30, 40)] + [(50, rows[0][1]), (51, " ")]
+    want = plain_classes(rows)
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == want and len(set(want.values())) == 12
+
+
 def test_bound_never_loses_a_pair(spark):
     rng = np.random.default_rng(2)
     rows = []
@@ -84,8 +96,6 @@ def test_bound_never_loses_a_pair(spark):
         for at in rng.integers(0, len(words), rng.integers(0, 4)):
             words[at] = f"e{i}"
         rows.append((i, " ".join(words)))
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(rows, "id long, text string").select("id", L.sketches(F.col("text")).alias("s"))
     kept = {tuple(r) for r in df.alias("p").join(df.alias("q"), (F.col("p.id") < F.col("q.id")) & L.can_be_similar("p", "q")).select("p.id", "q.id").collect()}
     own = [L.shingles(t) for _, t in rows]

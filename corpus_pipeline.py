@@ -21,9 +21,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null, empty, or without a letter) go; a language that is missing is filled in."""
-    told = language(docs, fit(docs)).where(F.col("lang_pred") != UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    """Documents in no language (null, empty, or without a letter) go; a language that is missing is filled in.
+
+    Where no language could be learned (no labelled documents), none is filled in, and
+    documents with a letter stay.
+    """
+    model = fit(docs)
+    told = language(docs, model)
+    known = F.col("lang_pred") != UNKNOWN if model.members else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return told.where(known).withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit(UNKNOWN)))).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,10 @@ def test_stages_return_documents(spark, awkward):
     assert corpus_pipeline.redact_secrets(spark, docs, SF).count() == 9
     assert corpus_pipeline.drop_contaminated(spark, docs, SF).count() == 9
     assert corpus_pipeline.keep_known_languages(spark, docs, SF).where(F.col("doc_id").isin(1, 2, 3, 7)).count() == 0
+
+
+def test_documents_stay_where_no_language_is_learned(spark):
+    rows = [(1, "some words", None, "s", 10), (2, "12 !", None, "s", 4), (3, None, None, "s", 0), (4, "слова", None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_known_languages(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in kept) == [(1, None), (4, None)]

@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 
 from glyphmill.llm import lengths, licences
@@ -130,3 +131,15 @@ def test_answers(spark, sizes):
         k = r["length"]
         want = (sizes.count(k), sum(x > k for x in sizes), sum(x for x in sizes if x > k), sum(min(x, k) for x in sizes), sum(x <= k for x in sizes) / len(sizes))
         assert want == (r["n_docs"], r["docs_over"], r["tokens_over"], r["truncated_total"], r["quantile"])
+
+
+def test_query_of_lengths_by_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(vocabulary())
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    sizes = np.array([len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)])
+    got = {r["length"]: r for r in QUERIES["op8_lengths"](spark, SF).collect()}
+    assert sorted(got) == sorted(set(sizes.tolist()))
+    for k, r in got.items():
+        want = ((sizes == k).sum(), (sizes > k).sum(), sizes[sizes > k].sum(), np.minimum(sizes, k).sum(), (sizes <= k).mean())
+        assert want == (r["n_docs"], r["docs_over"], r["tokens_over"], r["truncated_total"], r["quantile"])

@@ -9,6 +9,8 @@ lies in its own range.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,19 @@ def length_histogram(docs: DataFrame, path: str, text_col: str = "text") -> Data
     return docs.select(token_count(F.col(f"`{text_col}`"), path).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
 
 
-def length_answers(histogram: DataFrame) -> DataFrame:
+def length_answers(histogram: DataFrame, limits: Sequence[int] | None = None) -> DataFrame:
     """For each length L of the histogram as the limit of a context: what lies beyond, what is left, and L's quantile.
 
+    With ``limits`` the answers are for these, whether documents have such a length or
+    not: they join the histogram with no documents. Without any document their quantile is null.
+
     docs_over and tokens_over are of documents longer than L; truncated_total is the sum
     of min(length, L) over all documents; quantile is the share of documents of at most
     L tokens. An empty histogram gives no rows.
     """
+    if limits is not None:
+        asked = histogram.sparkSession.createDataFrame([(k, 0) for k in set(limits)], "length long, n_docs long")
+        histogram = histogram.select("length", "n_docs").unionByName(asked).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
     rows = histogram.withColumn("range", F.floor(F.col("length") / RANGE)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     ranges = rows.groupBy("range").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("all_tokens"))
     beyond = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,8 +63,9 @@ def length_answers(histogram: DataFrame) -> DataFrame:
     )
     left = F.col("total_tokens") - F.col("tokens_over") + F.col("length") * F.col("docs_over")
     at_most = F.col("total_docs") - F.col("docs_over")
-    return placed.select("length", "n_docs", "docs_over", "tokens_over", left.alias("truncated_total"), (at_most / F.col("total_docs")).alias("quantile"))
+    answers = placed.select("length", "n_docs", "docs_over", "tokens_over", left.alias("truncated_total"), F.try_divide(at_most, F.col("total_docs")).alias("quantile"))
+    return answers if limits is None else answers.where(F.col("length").isin(*set(limits)))
 
 
-def token_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    return length_answers(written(length_histogram(docs, path, text_col), "lengths"))
+def token_lengths(docs: DataFrame, path: str, text_col: str = "text", limits: Sequence[int] | None = None) -> DataFrame:
+    return length_answers(written(length_histogram(docs, path, text_col), "lengths"), limits)

@@ -143,3 +143,12 @@ def test_query_of_lengths_by_the_library(spark):
     for k, r in got.items():
         want = ((sizes == k).sum(), (sizes > k).sum(), sizes[sizes > k].sum(), np.minimum(sizes, k).sum(), (sizes <= k).mean())
         assert want == (r["n_docs"], r["docs_over"], r["tokens_over"], r["truncated_total"], r["quantile"])
+
+
+def test_answers_for_given_limits(spark):
+    sizes, limits = [0, 5, 5, 1500, 2048, 9000], [1, 5, 2048, 4096, 10**6]
+    hist = spark.createDataFrame([(n, sizes.count(n)) for n in set(sizes)], "length long, n_docs long")
+    got = {r["length"]: tuple(r)[1:] for r in lengths.length_answers(hist, limits).collect()}
+    assert got == {k: (sizes.count(k), sum(x > k for x in sizes), sum(x for x in sizes if x > k), sum(min(x, k) for x in sizes), sum(x <= k for x in sizes) / 6) for k in limits}
+    assert [tuple(r) for r in lengths.length_answers(hist.limit(0), [7]).collect()] == [(7, 0, 0, 0, 0, None)]
+    assert lengths.length_answers(hist, []).count() == 0

@@ -100,12 +100,14 @@ def write_freqs(freqs: DataFrame, path: str, n_lines: int = -1) -> None:
 
 
 def read_freqs(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """((term, freq), line count; -1 if the file does not say). Terms may hold anything but a tab."""
+    """((term, freq), line count; -1 if the file does not say). Terms may hold anything but a tab; white space around them goes, and of equal ones the last counts."""
     raw = spark.read.text(path, lineSep="\n")
     parts = F.split("value", "\t")
     is_head = F.col("value").startswith("#") & (F.size(parts) != 2)
     head = raw.where(is_head).limit(1).collect()
-    rows = raw.where(~is_head & (F.size(parts) == 2)).select(parts[0].alias("term"), parts[1].cast("long").alias("freq"))
+    term = F.regexp_replace(parts[0], r"(?U)^\s+|\s+$", "")
+    rows = raw.where(~is_head & (F.size(parts) == 2)).select(term.alias("term"), parts[1].cast("long").alias("freq"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.groupBy("term").agg(F.max_by("freq", "place").alias("freq"))
     return rows, json.loads(head[0]["value"][1:]).get("line_count", -1) if head else -1
 
 

@@ -93,6 +93,7 @@ def test_unknown_words_classes_and_sizes(spark):
     assert {r["name"]: r["freq"] for r in vocab.collect()} == {"<pad>": -1, "<unk>": 2, "<s>": 1, "</s>": 1, "<cls>": 1, "▁": -1, "a": 2}
     with pytest.raises(ValueError):
         V.init_vocab(N.word_freq(rows), 1, "word", size=3)
+    # fixed values: 24 class labels and their counts
     labels = V.learn_classes(texts(spark, *"A B C A B A A A A A B C D D C C B A A A A A A D".split()), "text")
     assert [(r["name"], r["freq"]) for r in labels.orderBy("idx").collect()] == [("A", 13), ("B", 4), ("C", 4), ("D", 3)]
 

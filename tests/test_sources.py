@@ -19,6 +19,20 @@ def test_vocab_and_freq_files(spark, tmp_path):
     assert n == 2 and sorted(map(tuple, freqs.collect())) == sorted(map(tuple, N.word_freq(rows).collect()))
 
 
+def test_the_last_of_equal_terms_counts(spark, tmp_path):
+    (tmp_path / "f.tsv").write_text('#{"line_count": 9}\nthe\t5\n#\t2\n the \t7\n\u2581\t1\nno tab\n')
+    freqs, n = files.read_freqs(spark, f"file://{tmp_path}/f.tsv")
+    assert n == 9 and sorted(map(tuple, freqs.collect())) == [("#", 2), ("the", 7), ("\u2581", 1)]
+
+
+def test_session_settings(spark, monkeypatch):
+    from glyphmill.sources import session as S
+
+    monkeypatch.setenv("SPARK_MASTER", "local[3]")
+    made = S.session(**{"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")})  # the running session, with its own master
+    assert made.sparkContext is spark.sparkContext and made.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
 def test_bitext_ngrams_and_store(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\rx\nthree\n")
     (tmp_path / "b.txt").write_text("eins\nzwei\ndrei\n")

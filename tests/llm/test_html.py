@@ -5,6 +5,8 @@ from html import unescape
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from glyphmill.llm import html as L
 from glyphmill.llm.queries import QUERIES
 
@@ -96,3 +98,22 @@ def test_awkward(spark, awkward):
     fitted = L.fit(frame)
     assert L.extract(frame, fitted).count() == 9
     assert L.extract(frame.limit(0), L.fit(frame.limit(0))).count() == 0
+
+
+def test_draw_of_pages(spark, monkeypatch):
+    """The first distinct pages by the hash, and few from each partition reach the driver."""
+    page = lambda i: f"<html><body><article><p>page {i}</p></article></body></html>"
+    rows = [(i, page(i)) for i in range(4000)] + [(5000, page(0))] * 2000 + [(6000, "<p>no label</p>"), (None, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(16)
+    seen = []
+    monkeypatch.setattr(L, "train", seen.extend)
+    L.fit(df, sample=50)
+    order = F.xxhash64(F.lit(3), "page_id", "html")
+    want = [r["html"] for r in df.where(F.col("html").contains("<article")).distinct().orderBy(order).limit(50).collect()]
+    assert seen == want
+    seen.clear()
+    L.fit(df.where("page_id < 10"), sample=50)
+    assert sorted(seen) == sorted(map(page, range(10)))
+    seen.clear()
+    L.fit(df.limit(0))
+    assert seen == []

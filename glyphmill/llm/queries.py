@@ -125,11 +125,19 @@ def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(table(spark, sf_dir, "documents").select("text"), vocabulary())
 
 
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.audit import audit
+
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def _sql() -> None:
-    from glyphmill.llm import licences, quality
+    from glyphmill.llm import audit, licences, quality
 
     SQL["op5_licences"] = licences.oracle()
     SQL["op9_quality"] = quality.oracle()
+    SQL["op13_filter_audit"] = audit.oracle()
 
 
 _sql()

@@ -125,6 +125,14 @@ def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(table(spark, sf_dir, "documents").select("text"), vocabulary())
 
 
+@query
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.align import align
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))[0].withColumnRenamed("id", "doc_id")
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.audit import audit

@@ -128,7 +128,7 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         "D": c("symbols") > 0,
     }
     rows = written(made.select("id", "part", "digest", F.concat(*[F.when(bad, letter).otherwise("") for letter, bad in checks.items()]).alias("fails")), "failures")
-    copies = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    copies = written(rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"), "copies")
     later = F.when(F.col("id") > F.col("first"), "E").otherwise("")
     return rows.join(copies, "digest", "left").select("id", "part", F.concat("fails", later).alias("fails"))
 

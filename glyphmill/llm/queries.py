@@ -125,6 +125,14 @@ def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths(table(spark, sf_dir, "documents").select("text"), vocabulary())
 
 
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.ngramjoin import similar_sets
+
+    found = similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 @query
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.align import align

@@ -3,7 +3,8 @@
 A text with a space before it is cut where a space stands between two characters that are
 no white space. No token of either tokenizer reaches over such a place, and tokens of
 both end there; so a unit between two cuts is encoded and aligned once for a batch, and
-kept. Inside a unit, the byte offsets where tokens of both end cut both into groups.
+kept. Inside a unit, the byte offsets where tokens of both end cut both into groups. Each
+group ends with one token of each, which are linked; so there are as many links as groups.
 
 Documents are numbered within chunks. For each pair of linked ids a chunk has an inverted
 entry of compressed bitmaps over its documents, one for each binary digit of how often
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,8 +32,8 @@ from glyphmill.llm.shared import ship, written
 
 #: Documents, and links, at which a chunk ends. An ordinal has 16 bits.
 CHUNK_DOCS, CHUNK_LINKS = 1 << 16, 3_000_000
-#: Units that a worker keeps, and the characters up to which it keeps one.
-KEPT_UNITS, LONG_UNIT = 100_000, 100
+#: Units from which on a generation that a worker keeps is full, and the characters up to which it keeps one.
+KEPT_UNITS, LONG_UNIT = 200_000, 100
 #: A space between two characters that are no white space, for any version of Unicode.
 EDGE = re.compile(r"(?<=[^\s᠎​])(?= [^\s᠎​])")
 #: What tells that a text has other spaces than those.
@@ -47,7 +49,11 @@ def byte_level() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, their tokens' bytes, and the units aligned so far: (ids of A, of B, groups, links; codes of the links; groups as text), or None where the bytes differ."""
+    """Both tokenizers, their tokens' bytes, and the units aligned so far, in two generations: a full one becomes the old one, and what is used of the old one is young again.
+
+    A unit is (tokens of A << 32 | tokens of B, its links as 64-bit codes, its groups as
+    text), or None where the bytes differ.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -64,48 +70,62 @@ class Pair:
         coded = re.compile("<0x([0-9A-F]{2})>")
         piece = lambda p: bytes([int(m[1], 16)]) if (m := coded.fullmatch(p)) else p.replace("▁", " ").encode()
         self.bytes_b = [piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.units: dict[str, tuple | None] = {}
+        if not all(self.bytes_a.values()) or not all(self.bytes_b):
+            raise ValueError("a token without bytes ends nowhere")
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
 
     def aligned(self, whole: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """The groups of one text's tokens. Tokens without bytes end where the one before them does."""
+        """One unit from its tokens: the side that is behind goes on until both end together."""
         of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         if b"".join(of_a) != whole or b"".join(of_b) != whole:
             return None
-        ends_a, ends_b = np.cumsum([len(x) for x in of_a]), np.cumsum([len(x) for x in of_b])
-        cuts = np.intersect1d(ends_a, ends_b)
-        low = lambda ends, side: np.searchsorted(ends, cuts, side).tolist()
-        codes, groups, i, j = [], [], 0, 0
-        for la, ra, lb, rb in zip(low(ends_a, "left"), low(ends_a, "right"), low(ends_b, "left"), low(ends_b, "right"), strict=True):
-            codes += [x * BASE + y for x in a[la:ra] for y in b[lb:rb]]
-            groups.append(f"{','.join(map(str, a[i:ra]))}|{','.join(map(str, b[j:rb]))}")
-            i, j = ra, rb
-        return len(a), len(b), len(groups), len(codes), codes, ";".join(groups)
+        codes, groups = [], []
+        i = j = from_a = from_b = 0
+        end_a, end_b = len(of_a[0]), len(of_b[0])
+        while True:
+            if end_a < end_b:
+                i += 1
+                end_a += len(of_a[i])
+            elif end_b < end_a:
+                j += 1
+                end_b += len(of_b[j])
+            else:
+                codes.append(a[i] * BASE + b[j])
+                one = from_a == i and from_b == j
+                groups.append(f"{a[i]}|{b[j]}" if one else f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
+                from_a, from_b = i, j = i + 1, j + 1
+                if i == len(a):
+                    return len(a) << 32 | len(b), np.array(codes, np.int64).tobytes(), ";".join(groups)
+                end_a += len(of_a[i])
+                end_b += len(of_b[j])
 
     def learn(self, units: list[str]) -> None:
         """Align units that are not known yet. Each starts with a space, which the second tokenizer adds by itself."""
         for unit, a, b in zip(units, self.a.encode_batch_fast(units, add_special_tokens=False), self.b.encode([u[1:] for u in units], num_threads=1), strict=True):
-            self.units[unit] = self.aligned(unit.encode(), a.ids, b)
+            self.young[unit] = self.aligned(unit.encode(), a.ids, b)
 
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, list[int], str]]:
-        """What ``aligned`` gives for each whole text; zeros where it gives nothing."""
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, bytes, str]]:
+        """(tokens of A, of B, links, groups) of each whole text; zeros and nothing where there are none."""
         cut = [[] if not t else EDGE.split(f" {t}") if " " in (t[0], t[-1]) or ROUGH.search(t) else [f" {w}" for w in t.split(" ")] for t in texts]
-        every = {u for units in cut for u in units}
-        new = [u for u in every if u not in self.units]
-        if len(self.units) + len(new) > KEPT_UNITS:
-            self.units, new = {}, list(every)
+        every = set(chain.from_iterable(cut))
+        if len(self.young) > KEPT_UNITS:
+            self.old, self.young = self.young, {}
+        again = (every & self.old.keys()) - self.young.keys()
+        self.young.update((u, self.old[u]) for u in again)
+        new = list(every - self.young.keys())
         self.learn(new)
         for units in cut:
-            found = [self.units[u] for u in units]
+            found = [*map(self.young.__getitem__, units)]
             if not found or None in found:
-                yield 0, 0, 0, 0, [], ""
-                continue
-            codes: list[int] = []
-            for x in found:
-                codes += x[4]
-            yield sum(x[0] for x in found), sum(x[1] for x in found), sum(x[2] for x in found), len(codes), codes, ";".join([x[5] for x in found])
+                yield 0, 0, b"", ""
+            else:
+                counts, codes, groups = zip(*found, strict=True)
+                both = sum(counts)
+                yield both >> 32, both & 0xFFFFFFFF, b"".join(codes), ";".join(groups)
         for u in new:
             if len(u) > LONG_UNIT:
-                del self.units[u]
+                del self.young[u]
 
 
 def compressed(ordinals: np.ndarray) -> bytes:
@@ -183,16 +203,17 @@ def inverted(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             pair = pair or Pair(path_a, path_b)
             done: list[tuple] = []
-            for i, (n_a, n_b, n_groups, n_links, c, groups) in zip(batch.column(0).to_pylist(), pair.texts(batch.column(1).to_pylist()), strict=True):
+            for i, (n_a, n_b, c, groups) in zip(batch.column(0).to_pylist(), pair.texts(batch.column(1).to_pylist()), strict=True):
+                n_links = len(c) // 8
                 if ordinal == CHUNK_DOCS or links and links + n_links > CHUNK_LINKS:
                     yield from entries()
                     chunk, ordinal, links = chunk + 1, 0, 0
                     codes.clear()
                     places.clear()
-                done.append((chunk, ordinal, i, n_a, n_b, n_groups, n_links, hashlib.sha256(groups.encode()).hexdigest() if groups else "", None, None))
+                done.append((chunk, ordinal, i, n_a, n_b, n_links, n_links, hashlib.sha256(groups.encode()).hexdigest() if groups else "", None, None))
                 if c:
-                    codes.append(np.array(c, np.int64))
-                    places.append(np.full(len(c), ordinal, np.int64))
+                    codes.append(np.frombuffer(c, np.int64))
+                    places.append(np.full(n_links, ordinal, np.int64))
                 ordinal, links = ordinal + 1, links + n_links
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True), ROW, strict=True)], schema=ROW)

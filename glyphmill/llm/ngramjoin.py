@@ -179,11 +179,13 @@ def reaches(high_a: Column, high_b: Column, least: Column) -> Column:
     return bound * (100 + SIMILAR) >= least * SIMILAR
 
 
-def tree_pairs(points: DataFrame) -> DataFrame:
-    """(a, b), a < b: the nodes of one region with different labels whose points may be similar. points: (region, label, node, n, c, z)."""
-    placed = written(numbered(points, "region", "label", "z", "node"), "placed")
+def tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b), a < b: the nodes of one region with different labels whose points may be similar. members: (region, label, node); points: (node, n, c, z), unique by node."""
+    ordered = members.join(points.select("node", "z"), "node").select("region", "label", "z", "node")
+    placed = written(numbered(ordered, "region", "label", "z", "node"), "placed")
     first = placed.groupBy("region").agg(F.min("at").alias("first"))
-    pages = written(placed.join(first, "region").withColumn("page", F.col("at") - F.col("first")).drop("at", "first", "z"), "points")
+    places = placed.join(first, "region").select("region", "label", "node", (F.col("at") - F.col("first")).alias("page"))
+    pages = written(places.join(points.select("node", "n", "c"), "node"), "points")
     steps = [pages.select("region", "page", F.col("label").alias("low"), F.col("label").alias("high"), "n", "c")]
     most = pages.agg(F.max("page")).first()[0] or 0
     while most >= FAN:
@@ -196,18 +198,28 @@ def tree_pairs(points: DataFrame) -> DataFrame:
     near = reaches(p("c"), q("c"), p("n") + q("n")) & ~((p("low") == q("high")) & (p("high") == q("low")))
     top = steps[-1]
     pairs = top.alias("p").join(top.alias("q"), (p("region") == q("region")) & (p("page") <= q("page")) & near).select(p("region").alias("region"), p("page").alias("i"), q("page").alias("j"))
-    for step in reversed(steps[:-1]):
-        pairs = written(pairs, "page-pairs")
+    for boxes, step in zip(reversed(steps[1:]), reversed(steps[:-1]), strict=True):
+        # the left page is opened first, and only what may reach the right page as a whole goes on
+        whole = written(pairs, "page-pairs").join(boxes.withColumnRenamed("page", "j"), ["region", "j"]).alias("q")
         entries = step.withColumn("parent", F.floor(F.col("page") / FAN))
-        left = pairs.alias("x").join(entries.alias("p"), (F.col("x.region") == p("region")) & (F.col("i") == p("parent")))
-        both = left.join(entries.alias("q"), (F.col("x.region") == q("region")) & (F.col("j") == q("parent")) & (p("page") <= q("page")) & near)
-        pairs = both.select(F.col("x.region").alias("region"), p("page").alias("i"), q("page").alias("j"))
+        opened = whole.join(entries.alias("p"), (q("region") == p("region")) & (q("i") == p("parent")) & near)
+        left = opened.select(*[p(c).alias(c) for c in ("region", "page", "low", "high", "n", "c")], q("j").alias("j")).alias("p")
+        both = left.join(entries.alias("q"), (p("region") == q("region")) & (p("j") == q("parent")) & (p("page") <= q("page")) & near)
+        pairs = both.select(p("region").alias("region"), p("page").alias("i"), q("page").alias("j"))
     found = written(pairs.where("i < j"), "point-pairs")
     of = lambda side, name: pages.select("region", F.col("page").alias(side), F.col("node").alias(name))
     named = found.join(of("i", "x"), ["region", "i"]).join(of("j", "y"), ["region", "j"])
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def told_apart(members: DataFrame) -> DataFrame:
+    """The members (region, node) of one region of all those with the same members: near copies share most of their regions."""
+    one, two = F.xxhash64("node"), F.xxhash64(F.lit(1), "node")
+    named = members.groupBy("region").agg(F.count("*").alias("many"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"))
+    kept = named.groupBy("many", "x", "y").agg(F.min("region").alias("region")).select("region")
+    return written(members.join(written(kept, "told-apart"), "region"), "members")
+
+
 def linked(pairs: DataFrame, points: DataFrame, grams: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar: bounded by their points first, then by their sets."""
     of = lambda side: points.select(F.col("node").alias(side), F.struct("n", "c").alias(f"of_{side}"))
@@ -232,21 +244,23 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = made.where("n > 0").groupBy("high", "low", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("id", "hash"), F.struct(F.col("id").isNull(), "id", "hash")).alias("one"), F.first("c").alias("c"), F.first("z").alias("z"), F.first("regions").alias("regions"))
     nodes = written(own.withColumn("node", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select("node", F.explode("regions").alias("region"))
-    shared = written(entries.groupBy("region").agg(F.count("*").alias("many")).where("many > 1").select("region"), "regions")
-    members = written(entries.join(shared, "region"), "members")
-    points = written(nodes.join(members.select("node").distinct(), "node", "left_semi").drop("regions"), "points")
+    shared = entries.groupBy("region").agg(F.count("*").alias("many"), F.min("node").alias("a"), F.max("node").alias("b")).where("many > 1")
+    shared = written(shared, "regions")
+    two = written(shared.where("many = 2").select("a", "b").distinct(), "two")
+    members = told_apart(written(entries.join(shared.where("many > 2").select("region"), "region"), "members"))
+    inside = members.select("node").union(two.select("a")).union(two.select("b")).distinct()
+    points = written(nodes.join(inside, "node", "left_semi").drop("regions"), "points")
     needed = points.select("node", F.col("one.id").alias("id"), F.col("one.hash").alias("hash")).alias("p")
     same = F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.hash") == F.col("p.hash"))
     texts = base.alias("t").join(needed, same).select("node", "text").dropDuplicates(["node"])
     grams = written(texts.select("node", sets(F.col("text")).alias("grams")), "sets")
     hubs = members.groupBy("region").agg(F.min_by("node", F.xxhash64("region", "node")).alias("hub"))
     tried = members.join(written(hubs, "hubs"), "region").where("node != hub")
-    pairs = written(tried.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    pairs = written(tried.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).union(two).distinct(), "pairs")
     labels = components(linked(pairs, points, grams))
     labelled = members.join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least < greatest").select("region")
-    rest = labelled.join(written(mixed, "mixed"), "region").join(points.select("node", "n", "c", "z"), "node")
-    more = tree_pairs(rest).join(pairs, ["a", "b"], "left_anti")
+    more = tree_pairs(labelled.join(written(mixed, "mixed"), "region"), points).join(pairs, ["a", "b"], "left_anti")
     labels = joined(labels, linked(more, points, grams))
     named = labels.join(nodes.select("node", "id"), "node")
     names = written(named.groupBy("label").agg(F.min("id").alias("component")), "names")

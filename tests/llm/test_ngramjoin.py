@@ -91,13 +91,20 @@ def test_trees_alone_find_all_links(spark, monkeypatch):
     rng = random.Random(8)
     texts = variants(rng, 5, 15, 80, 6)
     described = [J.described(t) for t in texts]
-    rows = [(1, k, k, d[0], d[3], d[4]) for k, d in enumerate(described)]
-    got = {(r["a"], r["b"]) for r in J.tree_pairs(spark.createDataFrame(rows, "region long, label long, node long, n long, c array<int>, z long")).collect()}
+    members = spark.createDataFrame([(1, k, k) for k in range(len(texts))], "region long, label long, node long")
+    points = spark.createDataFrame([(k, d[0], d[3], d[4]) for k, d in enumerate(described)], "node long, n long, c array<int>, z long")
+    got = {(r["a"], r["b"]) for r in J.tree_pairs(members, points).collect()}
     sets = [plain(t) for t in texts]
     want = {(i, j) for j in range(len(sets)) for i in range(j) if 190 * len(sets[i] & sets[j]) >= 90 * (len(sets[i]) + len(sets[j]))}
     assert want <= got and len(got) < len(texts) * (len(texts) - 1) / 4
 
 
+def test_regions_with_the_same_members_are_one(spark):
+    rows = [(r, n) for r in (1, 2, 3) for n in (7, 8, 9)] + [(4, 7), (4, 8)]
+    kept = J.told_apart(spark.createDataFrame(rows, "region long, node long")).collect()
+    assert sorted(map(tuple, kept)) == [(1, 7), (1, 8), (1, 9), (4, 7), (4, 8)]
+
+
 def test_query(spark):
     rows = duckdb.connect().execute(f"SELECT doc_id, text FROM read_parquet('{SF}/documents.parquet')").fetchall()
     assert found(QUERIES["op11_ngram_join"](spark, SF), ("doc_id", "n_shingles", "component_id")) == brute(rows)

@@ -11,7 +11,8 @@ by pigeonholes. A set is hashed into more cells than two similar sets may differ
 some cell is the same in both. Cells with the same members are one region of the index;
 a set is entered in as many regions as it may have differences, and one more. Below a
 region, points are packed into pages in the order of their interleaved coordinates,
-pages into pages, and a region's tree is joined with itself from the top down.
+pages into pages, and a region's tree is joined with itself from the top down. A page is
+one row with all its entries, so a join makes a row for two pages, not for two entries.
 
 Equal sets are one point. Before the trees, each region's points are tried with one
 point of it, drawn anew for each region: large groups of copies are linked by that, and
@@ -37,9 +38,9 @@ from glyphmill.operators.freq import numbered
 WIDTH = 3
 #: The limit is SIMILAR / 100: sets are linked if 100 * intersection >= SIMILAR * union.
 SIMILAR = 90
-DIMS = 32
+DIMS = 128
 #: Entries of a page.
-FAN = 16
+FAN = 32
 #: Members from which a cell tells sets apart; cells with fewer are entered only where others don't suffice.
 STRONG = 2
 G1, G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -111,26 +112,42 @@ def point(grams: np.ndarray) -> np.ndarray:
 
 
 def interleaved(counts: np.ndarray) -> int:
-    """The place of a point in the order of pages: two binary digits of each coordinate, by how it lies to the mean, all first digits first."""
-    mean = max(1.0, counts.sum() / DIMS)
-    digits = np.clip((counts - mean) / np.sqrt(mean) + 2, 0, 3).astype(np.uint8)
+    """The place of a point in the order of pages: two binary digits of 32 sums of coordinates, by how each lies to the mean, all first digits first."""
+    sums = counts.reshape(32, -1).sum(axis=1)
+    mean = max(1.0, sums.mean())
+    digits = np.clip((sums - mean) / np.sqrt(mean) + 2, 0, 3).astype(np.uint8)
     return int(np.packbits(np.concatenate([digits >> 1, digits & 1])).view(">i8")[0])
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Coordinates in as many bytes each as the greatest one needs: 1, 2 or 4."""
+    return counts.astype(f"<u{1 if (top := counts.max(initial=0)) < 256 else 2 if top < 1 << 16 else 4}").tobytes()
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    """Coordinates of several points, a row each."""
+    return np.stack([np.frombuffer(p, f"<u{len(p) // DIMS}").astype(np.uint32) for p in points])
+
+
+def within_reach(highs: np.ndarray, other: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether the sums of lesser upper ends let sets, whose sizes are ``least`` together at least, be similar."""
+    return np.minimum(highs, other).sum(axis=-1, dtype=np.int64) * (100 + SIMILAR) >= least * SIMILAR
+
+
 def described(text: str | None) -> tuple:
     """(size, two hashes of the whole set, coordinates, place, regions)."""
     grams = ngrams(text)
     counts = point(grams)
     data = grams.tobytes()
     digest = (x & (1 << 63) - 1 for x in (xxhash.xxh3_64_intdigest(data), xxhash.xxh3_64_intdigest(data, 1)))
-    return len(grams), *digest, counts.tolist(), interleaved(counts), regions(grams).tolist()
+    return len(grams), *digest, packed(counts), interleaved(counts), regions(grams).tolist()
 
 
 DESCRIBED = ["n", "high", "low", "c", "z", "regions"]
 
 
 def descriptions(text: Column) -> Column:
-    @F.pandas_udf("n bigint, high bigint, low bigint, c array<int>, z bigint, regions array<bigint>")
+    @F.pandas_udf("n bigint, high bigint, low bigint, c binary, z bigint, regions array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from glyphmill.llm.ngramjoin import DESCRIBED, described
         from glyphmill.llm.shared import settle
@@ -171,12 +188,67 @@ def alike(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def reaches(high_a: Column, high_b: Column, least: Column) -> Column:
-    """Whether the sum of the lesser upper ends lets sets, whose sizes are ``least`` together at least, be similar."""
-    bound = F.least(high_a[0], high_b[0])
-    for i in range(1, DIMS):
-        bound = bound + F.least(high_a[i], high_b[i])
-    return bound * (100 + SIMILAR) >= least * SIMILAR
+def reaches(of_a: Column, of_b: Column) -> Column:
+    """Whether two points (n, c) are within reach of one another."""
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
+        from glyphmill.llm.ngramjoin import unpacked, within_reach
+
+        for a, b in batches:
+            yield pd.Series(within_reach(unpacked(list(a["c"])), unpacked(list(b["c"])), (a["n"] + b["n"]).to_numpy()) if len(a) else [], dtype=bool)
+
+    return run(of_a, of_b)
+
+
+def pages_of(entries: DataFrame) -> DataFrame:
+    """(region, page, entries): FAN entries are one page, a bounded row.
+
+    entries: (region, page, low, high, n, c): an entry's number, the least and the greatest label
+    below it, the size of its least set, and the upper ends of its coordinates.
+    """
+    one = F.struct("page", "low", "high", "n", "c")
+    return written(entries.groupBy("region", F.floor(F.col("page") / FAN).alias("parent")).agg(F.collect_list(one).alias("entries")).withColumnRenamed("parent", "page"), "pages")
+
+
+def boxes_of(pages: DataFrame) -> DataFrame:
+    """The pages as entries of pages above them."""
+
+    @F.pandas_udf("binary")
+    def ends(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from glyphmill.llm.ngramjoin import packed, unpacked
+
+        for rows in batches:
+            yield pd.Series([packed(unpacked([e["c"] for e in row]).max(axis=0)) for row in rows], dtype=object)
+
+    of = lambda f, name: f(F.transform("entries", lambda e: e[name]))
+    return pages.select("region", "page", of(F.array_min, "low").alias("low"), of(F.array_max, "high").alias("high"), of(F.array_min, "n").alias("n"), ends(F.col("entries")).alias("c"))
+
+
+def opened(pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(region, i, j), i <= j: the pairs of entries of two pages that may be similar and have not one label only. pairs: (region, i, j), i <= j."""
+
+    @F.pandas_udf("array<struct<i:bigint,j:bigint>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from glyphmill.llm.ngramjoin import unpacked, within_reach
+
+        for lefts, rights in batches:
+            out = []
+            for left, right in zip(lefts, rights, strict=True):
+                of = lambda page, name: np.array([e[name] for e in page], np.int64)
+                a, b = (unpacked([e["c"] for e in page]) for page in (left, right))
+                hit = np.stack([within_reach(x, b, n + of(right, "n")) for x, n in zip(a, of(left, "n"), strict=True)])
+                hit &= (of(left, "low")[:, None] != of(right, "high")) | (of(left, "high")[:, None] != of(right, "low"))
+                i, j = of(left, "page"), of(right, "page")
+                hit &= i[:, None] <= j
+                x, y = np.nonzero(hit)
+                out.append([{"i": p, "j": q} for p, q in zip(i[x].tolist(), j[y].tolist(), strict=True)])
+            yield pd.Series(out, dtype=object)
+
+    of = lambda side: pages.select("region", F.col("page").alias(side), F.col("entries").alias(f"of_{side}"))
+    alone = pairs.where("i = j").join(of("i"), ["region", "i"]).select("region", "of_i", F.col("of_i").alias("of_j"))
+    both = pairs.where("i < j").join(of("i"), ["region", "i"]).join(of("j"), ["region", "j"]).select("region", "of_i", "of_j")
+    return alone.unionByName(both).select("region", F.explode(run(F.col("of_i"), F.col("of_j"))).alias("x")).select("region", "x.i", "x.j")
 
 
 def tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
@@ -184,31 +256,22 @@ def tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
     ordered = members.join(points.select("node", "z"), "node").select("region", "label", "z", "node")
     placed = written(numbered(ordered, "region", "label", "z", "node"), "placed")
     first = placed.groupBy("region").agg(F.min("at").alias("first"))
-    places = placed.join(first, "region").select("region", "label", "node", (F.col("at") - F.col("first")).alias("page"))
-    pages = written(places.join(points.select("node", "n", "c"), "node"), "points")
-    steps = [pages.select("region", "page", F.col("label").alias("low"), F.col("label").alias("high"), "n", "c")]
-    most = pages.agg(F.max("page")).first()[0] or 0
-    while most >= FAN:
-        own = steps[-1].withColumn("page", F.floor(F.col("page") / FAN))
-        ends = F.array(*[F.max(F.col("c")[i]) for i in range(DIMS)])
-        boxes = own.groupBy("region", "page").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("n").alias("n"), ends.alias("c"))
-        steps.append(written(boxes, "boxes"))
+    places = written(placed.join(first, "region").select("region", "label", "node", (F.col("at") - F.col("first")).alias("page")), "places")
+    entries = places.join(points.select("node", "n", "c"), "node").select("region", "page", F.col("label").alias("low"), F.col("label").alias("high"), "n", "c")
+    tops = places.groupBy("region").agg(F.max("page").alias("most"))
+    steps = [pages_of(entries)]
+    most = (tops.agg(F.max("most")).first()[0] or 0) // FAN
+    while most:
+        steps.append(pages_of(boxes_of(steps[-1])))
         most //= FAN
-    p, q = (lambda name: F.col(f"p.{name}")), (lambda name: F.col(f"q.{name}"))
-    near = reaches(p("c"), q("c"), p("n") + q("n")) & ~((p("low") == q("high")) & (p("high") == q("low")))
-    top = steps[-1]
-    pairs = top.alias("p").join(top.alias("q"), (p("region") == q("region")) & (p("page") <= q("page")) & near).select(p("region").alias("region"), p("page").alias("i"), q("page").alias("j"))
-    for boxes, step in zip(reversed(steps[1:]), reversed(steps[:-1]), strict=True):
-        # the left page is opened first, and only what may reach the right page as a whole goes on
-        whole = written(pairs, "page-pairs").join(boxes.withColumnRenamed("page", "j"), ["region", "j"]).alias("q")
-        entries = step.withColumn("parent", F.floor(F.col("page") / FAN))
-        opened = whole.join(entries.alias("p"), (q("region") == p("region")) & (q("i") == p("parent")) & near)
-        left = opened.select(*[p(c).alias(c) for c in ("region", "page", "low", "high", "n", "c")], q("j").alias("j")).alias("p")
-        both = left.join(entries.alias("q"), (p("region") == q("region")) & (p("j") == q("parent")) & (p("page") <= q("page")) & near)
-        pairs = both.select(p("region").alias("region"), p("page").alias("i"), q("page").alias("j"))
-    found = written(pairs.where("i < j"), "point-pairs")
-    of = lambda side, name: pages.select("region", F.col("page").alias(side), F.col("node").alias(name))
-    named = found.join(of("i", "x"), ["region", "i"]).join(of("j", "y"), ["region", "j"])
+    tops, pairs, zero = written(tops, "tops"), None, F.lit(0).cast("long")
+    for k in range(len(steps) - 1, -1, -1):
+        # the regions whose whole tree is one page at this level
+        here = tops.where((F.col("most") < FAN ** (k + 1)) & (F.col("most") >= (FAN**k if k else 0)))
+        start = here.select("region", zero.alias("i"), zero.alias("j"))
+        pairs = written(opened(start if pairs is None else pairs.unionByName(start), steps[k]), "page-pairs")
+    of = lambda side, name: places.select("region", F.col("page").alias(side), F.col("node").alias(name))
+    named = pairs.where("i < j").join(of("i", "x"), ["region", "i"]).join(of("j", "y"), ["region", "j"])
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -223,8 +286,7 @@ def told_apart(members: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, points: DataFrame, grams: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar: bounded by their points first, then by their sets."""
     of = lambda side: points.select(F.col("node").alias(side), F.struct("n", "c").alias(f"of_{side}"))
-    bounded = reaches(F.col("of_a.c"), F.col("of_b.c"), F.col("of_a.n") + F.col("of_b.n"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(bounded).select("a", "b")
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(reaches(F.col("of_a"), F.col("of_b"))).select("a", "b")
     whole = lambda side, name: grams.select(F.col("node").alias(side), F.col("grams").alias(name))
     both = near.join(whole("a", "x"), "a").join(whole("b", "y"), "b")
     return written(both.where(alike(F.col("x"), F.col("y"))).select("a", "b"), "links")

@@ -27,7 +27,7 @@ def packed(
     rows: (part, keys, len). A batch of n rows of which the longest has m tokens fits if
     n * m <= max_toks. It also ends once it has more than max_sents rows, or as many if
     strict. A row longer than max_toks raises, or is a batch of its own if alone. Parts must be small enough for one task.
-    order: columns, or "draw", a random number of each row made from the seed and its
+    order: columns of rows, or "draw", a random number of each row made from the seed and its
     keys: ("len", "draw") mixes rows of equal length, ("draw",) all of a part.
     """
 
@@ -46,7 +46,7 @@ def packed(
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pack(frame.sort_values(list(order), kind="stable"))
 
-    slim = rows.select(F.col(part).cast("long").alias("part"), *[F.col(k).cast("long").alias(k) for k in keys], F.col("len").cast("long").alias("len"))
+    slim = rows.select(F.col(part).cast("long").alias("part"), *[F.col(k).cast("long").alias(k) for k in keys], F.col("len").cast("long").alias("len"), *[c for c in order if c not in ("len", "draw", part, *keys)])
     slim = slim.withColumn("draw", F.xxhash64(F.lit(seed or 0), *keys)) if "draw" in order else slim
     return slim.groupBy("part").applyInPandas(run, ", ".join(f"{c} long" for c in ("part", *keys, "batch")))
 

@@ -28,3 +28,30 @@ def truncated(pairs: DataFrame, src_len: int, tgt_len: int) -> DataFrame:
 def without_long(pairs: DataFrame, src_len: int, tgt_len: int) -> DataFrame:
     """Both sides must be shorter than their limit; just as long is too long."""
     return pairs.where((F.size("x") < src_len) & (F.size("y") < tgt_len))
+
+
+def misaligned(fields: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, field, n): where fields that belong together differ: each key that some field does not have exactly once, and how often each field has it that has it not once.
+
+    Keys are counted in each field before the fields meet, so each meets them once; null
+    keys count like others. Fields are aligned if there are no rows.
+    """
+    counts = None
+    for name, rows in fields.items():
+        own = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("field", F.lit(name))
+        counts = own if counts is None else counts.unionByName(own)
+    of = {name: F.coalesce(F.sum(F.when(F.col("field") == name, F.col("n"))), F.lit(0)) for name in fields}
+    each = F.array(*[F.struct(F.lit(name).alias("field"), n.alias("n")) for name, n in of.items()])
+    wrong = counts.groupBy(*keys).agg(F.filter(each, lambda x: x.n != 1).alias("wrong"))
+    return wrong.select(*keys, F.explode("wrong").alias("x")).select(*keys, "x.field", "x.n")
+
+
+def aligned(fields: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """The fields (keys, value) side by side, a column for each; it raises if they don't have the same keys once each."""
+    if not misaligned(fields, keys).isEmpty():
+        raise ValueError("the fields don't have the same ids")
+    out = None
+    for name, rows in fields.items():
+        own = rows.select(*keys, F.col("value").alias(name))
+        out = own if out is None else out.join(own, keys)
+    return out

@@ -1,9 +1,4 @@
-"""Byte-pair vocabularies: merges learned over distinct words, and greedy longest-match encoding.
-
-While learning, a word is a string in which each symbol is one private code point, in
-the order of the vocabulary; so a merge is ``replace()``, and ties between pairs go by
-plain string order.
-"""
+"""Byte-pair vocabularies: merges learned over distinct words and over lines, encoding by greedy longest match or in merge order."""
 
 from __future__ import annotations
 
@@ -15,107 +10,49 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as T
 from glyphmill.operators import freq as N
 from glyphmill.operators.codec import encode_pieces, mapped, small_table, with_row
+from glyphmill.operators.merges import FIRST, MOST_SYMBOLS, PLANE, Replay, index_of, merges, pair_freqs, pairs_of, symbol, symbol_of, track
 from glyphmill.operators.vocab import LEVELS, NO_KIDS, SPACE, UNK, init_vocab
-from glyphmill.sources.folder import forget, written
-
-#: Private code points of planes 15 and 16, without their last two each.
-FIRST, PLANE = 0xF0000, 0xFFFE
-#: The last index that a private code point is left for.
-MOST_SYMBOLS = 2 * PLANE - 1
-
-
-def symbol(idx: int) -> str:
-    return chr(FIRST + idx + (2 if idx >= PLANE else 0))
-
-
-def symbol_of(idx: Column) -> Column:
-    point = F.lit(FIRST) + idx + F.when(idx >= PLANE, 2).otherwise(0)
-    utf32 = F.lpad(F.hex(point.cast("long")), 8, "0")
-    return F.decode(F.unhex(utf32), "UTF-32")
-
-
-def index_of(sym: Column) -> Column:
-    point = F.conv(F.hex(F.encode(sym, "UTF-32")), 16, 10).cast("int")
-    return point - FIRST - F.when(point >= FIRST + PLANE, 2).otherwise(0)
+from glyphmill.sources.folder import written
 
+__all__ = ["FIRST", "MOST_SYMBOLS", "PLANE", "index_of", "merges", "pair_freqs", "pairs_of", "symbol", "symbol_of"]
 
 def start_words(word_freqs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(s, n): the distinct words, each with ▁ at its end, as strings of symbols; characters outside the vocabulary are `<unk>`."""
+    """(s, n): the distinct words, each with ▁ at its end, as strings of symbols.
+
+    A word that the vocabulary has as a whole is one symbol, so no merge takes it apart;
+    characters outside the vocabulary are `<unk>`.
+    """
     rows = word_freqs.select(F.concat("term", F.lit(T.SPACE)).alias("w"), F.col("freq").alias("n"))
-    ids = encode_pieces(rows, ["w", "n"], T.chars(F.col("w")), vocab)
+    whole = vocab.groupBy(F.col("name").alias("w")).agg(F.min("idx").alias("own")).where(F.char_length("w") > 1)
+    known = rows.join(whole, "w", "left")
+    pieces = F.when(F.col("own").isNotNull(), F.array("w")).otherwise(T.chars(F.col("w")))
+    ids = encode_pieces(known, ["w", "n"], pieces, vocab)
     return ids.select(F.array_join(F.transform("ids", symbol_of), "").alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
 
 
-def pairs_of(s: Column) -> Column:
-    """The adjacent symbols of a word, also where they overlap."""
-    pairs = F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
-    return F.when(F.char_length(s) > 1, pairs).otherwise(F.array().cast("array<string>"))
-
-
-def pair_freqs(words: DataFrame) -> DataFrame:
-    """(pair, freq) of adjacent symbols; overlaps count."""
-    return words.select(F.explode(pairs_of(F.col("s"))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("freq"))
-
-
-def independent(top: list[tuple[str, int]], room: int, least: int) -> list[tuple[str, int]]:
-    """The first pairs of the ranking, up to one that shares a symbol with those before it.
-
-    These are the next merges exactly. None changes another's frequency. A pair that a
-    merge of (a, b) makes, with a symbol x, is at most as frequent as (b, x) or (x, a) was;
-    that pair shares a symbol, so it ranks below all of these, and so does the new one,
-    whose new symbol is the greatest.
-    """
-    out: list[tuple[str, int]] = []
-    seen: set[str] = set()
-    for pair, freq in top[:room]:
-        if freq < least or seen & set(pair):
-            break
-        seen |= set(pair)
-        out.append((pair, freq))
-    return out
+def with_pieces(base: DataFrame, pieces: list[str]) -> DataFrame:
+    """``base`` and the user's pieces after it: level 0, frequency 0, each with ▁ at its end, in the given order."""
+    names = [p + T.SPACE for p in pieces]
+    if any(" " in p for p in pieces):
+        raise ValueError("a piece has no spaces")
+    if len(set(names)) < len(names) or not base.where(F.col("name").isin(names)).isEmpty():
+        raise ValueError("pieces are not unique")
+    n = base.count()
+    return base.unionByName(base.sparkSession.createDataFrame([(n + k, name, LEVELS["user"], 0, []) for k, name in enumerate(names)], base.schema)) if names else base
 
 
-def merges(words: DataFrame, n_types: int, most: int, least: int = 2, at_once: int = 64) -> tuple[list[tuple[int, int, int, int]], DataFrame]:
-    """((idx, left, right, freq) of up to ``most`` merges in order, the words after them).
+def learn_bpe(rows: DataFrame, text: str = "text", size: int = 8000, coverage: float = 0.9995, min_co_evidence: int = 95, word_freqs: DataFrame | None = None, more: int | None = None, pieces: list[str] | None = None, char_min_freq: int = 0, word_min_freq: int = 1) -> DataFrame:
+    """A vocabulary of characters, the user's pieces and merged subwords, of at most ``size`` types, or of at most ``more`` merges beyond these.
 
-    Pairs are counted once. Every round makes all the merges that are certain to come
-    next; only words that hold a chosen pair are counted again, before and after, and
-    the differences change the counts. It ends early if no pair is frequent enough, or
-    none is left.
+    A merge's frequency is its pair's. Merges may hold `<unk>`. char_min_freq: characters
+    below it are `<unk>`, and coverage does not count then. word_min_freq: words below it are not learned from.
     """
-    done: list[tuple[int, int, int, int]] = []
-    point = lambda c: (p := ord(c) - FIRST) - (2 if p >= PLANE else 0)
-    counts = written(pair_freqs(words), "pairs")
-    first = words
-    while len(done) < most:
-        top = [(r["pair"], r["freq"]) for r in counts.orderBy(F.desc("freq"), "pair").limit(at_once).collect()]
-        chosen = independent(top, most - len(done), least)
-        if not chosen:
-            break
-        s, holds = F.col("s"), F.lit(False)
-        for pair, freq in chosen:
-            idx = n_types + len(done)
-            if idx > MOST_SYMBOLS:
-                raise ValueError(f"a learned vocabulary has at most {MOST_SYMBOLS + 1} types")
-            s, holds = F.replace(s, F.lit(pair), F.lit(symbol(idx))), holds | F.col("s").contains(pair)
-            done.append((idx, point(pair[0]), point(pair[1]), freq))
-        signed = lambda c, sign: F.transform(pairs_of(F.col(c)), lambda p: F.struct(p.alias("pair"), F.lit(sign).alias("sign")))
-        changed = words.where(holds).select("s", s.alias("t"), "n").select(F.explode(F.concat(signed("s", -1), signed("t", 1))).alias("x"), "n")
-        moved = changed.groupBy("x.pair").agg(F.sum(F.col("x.sign") * F.col("n")).alias("freq")).where("freq <> 0")
-        new = written(counts.unionByName(moved).groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0"), "pairs")
-        after = written(words.select(s.alias("s"), "n"), "words")
-        forget(counts, *([] if words is first else [words]))
-        counts, words = new, after
-    forget(counts)
-    return done, words
-
-
-def learn_bpe(rows: DataFrame, text: str = "text", size: int = 8000, coverage: float = 0.9995, min_co_evidence: int = 95, word_freqs: DataFrame | None = None, more: int | None = None) -> DataFrame:
-    """A vocabulary of characters and merged subwords of at most ``size`` types, or of at most ``more`` merges beyond the characters. A merge's frequency is its pair's."""
-    freqs = written(N.word_freq(rows, text) if word_freqs is None else word_freqs, "word-freqs")
+    freqs = N.word_freq(rows, text) if word_freqs is None else word_freqs
+    freqs = written(freqs.where(F.col("freq") >= word_min_freq) if word_min_freq > 1 else freqs, "word-freqs")
     chars = N.char_freq_of_words(freqs, T.SPACE)
     n_lines = rows.where(F.col(text).isNotNull()).count()
-    base = written(init_vocab(chars, n_lines, "char", coverage), "base")
+    cut = {"min_freq": char_min_freq} if char_min_freq else {"coverage": coverage}
+    base = written(with_pieces(init_vocab(chars, n_lines, "char", **cut), pieces or []), "base")
     n = base.count()
     most = size - n if more is None else more
     if most <= 0:
@@ -124,16 +61,60 @@ def learn_bpe(rows: DataFrame, text: str = "text", size: int = 8000, coverage: f
     return with_merges(base, found)
 
 
-def with_merges(base: DataFrame, found: list[tuple[int, int, int, int]]) -> DataFrame:
+def with_merges(base: DataFrame, found: list[tuple[int, int, int, int]], level: str = "subword") -> DataFrame:
     """``base`` and the merged types, whose names are their kids' names put together."""
-    names = {r["idx"]: r["name"] for r in base.select("idx", "name").collect()}  # characters: at most some hundred thousand
+    names = {r["idx"]: r["name"] for r in base.select("idx", "name").collect()}  # at most MOST_SYMBOLS
     rows = []
     for idx, a, b, freq in found:
         names[idx] = names[a] + names[b]
-        rows.append((idx, names[idx], LEVELS["subword"], freq, [a, b]))
+        rows.append((idx, names[idx], LEVELS[level], freq, [a, b]))
     return base.unionByName(base.sparkSession.createDataFrame(rows, base.schema)) if rows else base
 
 
+def line_symbols(rows: DataFrame, vocab: DataFrame, text: str = "text", runs: str = "clip") -> DataFrame:
+    """(s, n): the distinct lines of the texts, encoded by longest match, as strings of symbols.
+
+    Overlapping pairs of one symbol can't all merge. Where a symbol stands three times or
+    more in a row it is clipped to two (``clip``), or the line is left out (``drop``).
+    """
+    if runs not in ("clip", "drop"):
+        raise ValueError("runs: clip or drop")
+    lines = N.counted(rows.where(F.col(text).isNotNull()).select(F.explode(T.lines(F.col(text))).alias("line")), "line")
+    ids = encode_bpe(lines, ["line", "freq"], vocab, "line")
+    symbols = ids.select(F.array_join(F.transform("ids", symbol_of), "").alias("s"), F.col("freq").alias("n"))
+    tripled = r"(.)\1\1"
+    symbols = symbols.where(~F.col("s").rlike(tripled)) if runs == "drop" else symbols.withColumn("s", F.regexp_replace("s", tripled + r"+", "$1$1"))
+    return symbols.groupBy("s").agg(F.sum("n").alias("n"))
+
+
+def learn_phrases(rows: DataFrame, vocab: DataFrame, most: int, text: str = "text", least: int = 95, runs: str = "clip") -> DataFrame:
+    """``vocab`` and up to ``most`` phrases: merges over whole lines of its own types, across the ends of words. A phrase's kids are types or phrases."""
+    vocab = written(vocab, "level-1")
+    found, _ = merges(written(line_symbols(rows, vocab, text, runs), "lines"), vocab.count(), most, least)
+    return with_merges(vocab, found, "phrase")
+
+
+def encode_merges(rows: DataFrame, keys: list[str], vocab: DataFrame, replay: Replay, text: str = "text") -> DataFrame:
+    """(keys, ids) in merge order, with the merges that ``replay`` has made. Distinct words are encoded once; a row without words is a lone ▁.
+
+    vocab: what the merges began with; types with kids in it are left alone.
+    """
+    at = with_row(rows, keys, words=T.words(F.coalesce(F.col(text), F.lit("")))).select(*keys, "_row", F.posexplode_outer("words").alias("at", "term"))
+    base = written(vocab.where(F.size("kids") == 0), "base")
+    distinct = written(at.where("term is not null").select("term").distinct(), "terms")
+    pieces = T.chars(F.concat("term", F.lit(T.SPACE)))
+    whole = base.select(F.col("name").alias("w"), F.col("idx").alias("own")).where(F.char_length("w") > 1)
+    known = distinct.withColumn("w", F.concat("term", F.lit(T.SPACE))).join(whole, "w", "left")
+    ids = encode_pieces(known, ["term"], F.when(F.col("own").isNotNull(), F.array("w")).otherwise(pieces), base)
+    start = written(ids.select("term", F.array_join(F.transform("ids", symbol_of), "").alias("s"), F.lit(1).alias("n")), "start")
+    done = replay.words(start.select("s", "n").distinct(), keep="s").select(F.col("kept").alias("s"), F.transform(F.filter(F.split("s", ""), lambda c: c != ""), index_of).alias("ids"))
+    words = start.join(done, "s").select("term", "ids")
+    one = F.when(F.col("at").isNotNull(), F.struct("at", "ids"))
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.ids))
+    made = at.join(words, "term", "left").groupBy(*keys, "_row").agg(flat.alias("ids"))
+    return made.select(*keys, F.when(F.size("ids") == 0, F.array(F.lit(SPACE))).otherwise(F.col("ids")).alias("ids"))
+
+
 def longest_matches(table: dict) -> Callable[[dict, list], list]:
     """What takes the names that a vocabulary knows, and words, to the ids of the words' longest matches one after the other."""
     widths = sorted({len(n) for n in table if n}, reverse=True)
@@ -253,22 +234,6 @@ def permutations(vocab: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def track_merges(words: DataFrame, n_types: int, most: int, least: int = 2) -> DataFrame:
-    """(k, emd, mean_len) after k = 0 .. most merges, one at a time: imbalance of the types, and mean symbols of a word."""
-    spark = words.sparkSession
-    out = []
-    for k in range(most + 1):
-        if k:
-            found, words = merges(words, n_types + k - 1, 1, least, at_once=1)
-            if not found:
-                break
-        one = words.select(F.explode(F.split("s", "")).alias("c"), "n").where("c <> ''").groupBy("c").agg(F.sum("n").alias("n"))
-        all_ = one.agg(F.sum("n").alias("t")).first()["t"]
-        n_words = words.agg(F.sum("n").alias("t")).first()["t"]
-        if not all_:
-            break
-        size = n_types + k
-        gap = one.agg(F.sum(F.abs(F.col("n") / all_ - 1.0 / size)).alias("gap"), F.count("*").alias("used")).first()
-        out.append((k, 0.5 * (gap["gap"] + (size - gap["used"]) / size), all_ / n_words))
-    return spark.createDataFrame(out, "k int, emd double, mean_len double")
-
-
+    """(k, emd, mean_len) after k = 0 .. most merges learned from words (s, n): imbalance of the types, and mean symbols of a word."""
+    found, _ = merges(words, n_types, most, least)
+    return words.sparkSession.createDataFrame(track(words, n_types, Replay([m[:3] for m in found])), "k int, emd double, mean_len double")

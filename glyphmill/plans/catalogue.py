@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
+from glyphmill.functions import vowels as W
 from glyphmill.operators import batch as B
 from glyphmill.operators import bitext as P
 from glyphmill.operators import bpe as M
 from glyphmill.operators import codec as C
 from glyphmill.operators import freq as N
+from glyphmill.operators import merges as G
 from glyphmill.operators import quality as Q
 from glyphmill.operators import vocab as V
 from glyphmill.plans import sql as S
 from glyphmill.sources import files
 from glyphmill.sources.folder import shared_folder, written
+from glyphmill.sources.reader import EQUAL_LENGTH, RANDOM, BatchReader
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -285,6 +288,85 @@ def bpe_length_tracker(spark, sf_dir):
     return M.track_merges(words, base.count(), 6).select("k", F.round("emd", 6).alias("emd"), F.round("mean_len", 6).alias("mean_len"))
 
 
+@query()
+def bpe_tracker_200(spark, sf_dir):
+    base, words = bpe_start(spark, sf_dir)
+    return M.track_merges(words, base.count(), 200).select("k", F.round("emd", 6).alias("emd"), F.round("mean_len", 6).alias("mean_len"))
+
+
+AUDITED = f"""SELECT 'pair count' AS "check", count(*) AS checked, CAST(0 AS BIGINT) AS violations FROM ({S.pairs("w8")})
+    UNION ALL SELECT 'within symbols', count(*), CAST(0 AS BIGINT) FROM ({S.pairs("w8")}) UNION ALL SELECT 'positive', count(*), count(*) FILTER (freq < 1) FROM ({S.pairs("w8")})
+    UNION ALL SELECT 'known symbols', count(*), count(*) FILTER ({S.number("c")} >= n + 8) FROM (SELECT DISTINCT unnest({S.chars("s")}) AS c FROM w8), types"""
+
+
+@query(f"WITH {S.BPE_BASE}, {S.merge_chain(8)} {AUDITED}")
+def bpe_index_audit(spark, sf_dir):
+    """The counts of pairs that learning carried along, against a recount after 8 merges."""
+    base, words = bpe_start(spark, sf_dir)
+    n = base.count()
+    found = G.learn(words, n, 8)
+    return G.audit(found.words, found.counts, n + 8)
+
+
+USER_PIECES = 20
+
+
+@query(
+    f"""WITH {S.word_freq("g", "benchmark")}, {S.word_freq()},
+    c AS (SELECT term, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT unnest({S.chars("term || '▁'")}) AS term, freq FROM f) GROUP BY term), {S.init_vocab("b0", "c", S.LINES, 0, 0.9995)},
+    u AS (SELECT term || '▁' AS name, row_number() OVER (ORDER BY freq DESC, term) AS rank FROM g QUALIFY rank <= {USER_PIECES}),
+    b AS (SELECT * FROM b0 UNION ALL SELECT CAST(rank + n - 1 AS INTEGER), name, CAST(0 AS INTEGER), CAST(0 AS BIGINT), '' FROM u, (SELECT count(*) AS n FROM b0)),
+    {S.symbols("b")}, {S.merge_chain(8)}, {S.named_chain(8, "b")} SELECT * FROM vm8"""
+)
+def bpe_user_pieces(spark, sf_dir):
+    """Merges learned while the 20 most frequent words of benchmark stay whole."""
+    pieces = [r["term"] for r in N.ranked(N.word_freq(table(spark, sf_dir, "benchmark"))).where(F.col("rank") <= USER_PIECES).orderBy("rank").collect()]
+    return shown(M.learn_bpe(documents(spark, sf_dir), more=8, min_co_evidence=2, pieces=pieces))
+
+
+REPLAYED = f"""r0 AS (SELECT conv_id, turn, pos, string_agg(chr(CAST({S.FIRST} + coalesce(v.idx, 1) AS INTEGER)), '' ORDER BY place) AS s FROM (
+      SELECT conv_id, turn, pos, unnest({S.chars("w || '▁'")}) AS c, generate_subscripts({S.chars("w || '▁'")}, 1) AS place FROM (
+        SELECT conv_id, turn, unnest({S.words("text")}) AS w, generate_subscripts({S.words("text")}, 1) AS pos FROM conversations)) x LEFT JOIN b v ON v.name = x.c GROUP BY ALL), """ + ", ".join(
+    f"r{i + 1} AS (SELECT conv_id, turn, pos, replace(s, m.pair, chr(CAST({S.FIRST} + t.n + {i} AS INTEGER))) AS s FROM r{i}, m{i + 1} m, types t)" for i in range(8)
+)
+
+
+@query(
+    f"""WITH {S.BPE_BASE}, {S.merge_chain(8)}, {REPLAYED}, k AS (SELECT conv_id, turn, string_agg(s, '' ORDER BY pos) AS s FROM r8 GROUP BY conv_id, turn)
+    SELECT c.conv_id, c.turn, coalesce(array_to_string(list_transform({S.chars("k.s")}, lambda x: {S.number("x")}), ' '), '5') AS ids FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn"""
+)
+def bpe_replay_8(spark, sf_dir):
+    """Conversations encoded in merge order, with 8 merges learned from documents and stored as a vocabulary."""
+    base, words = bpe_start(spark, sf_dir)
+    vocab = written(M.with_merges(base, M.merges(words, base.count(), 8)[0]), "vocab")
+    return as_text(M.encode_merges(turns(spark, sf_dir), KEYS, vocab, G.Replay.of(vocab).step(8)))
+
+
+PHRASES = f"""{S.BPE_BASE}, {S.merge_chain(8)}, {S.named_chain(8, "b")},
+    longest AS (SELECT max(length(name)) AS n FROM vm8), u AS (SELECT name, min(idx) AS idx FROM vm8 GROUP BY name),
+    line AS (SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line),
+    each AS (SELECT line, n, unnest({S.words("line")}) || '▁' AS w, generate_subscripts({S.words("line")}, 1) AS pos FROM line), q AS (SELECT DISTINCT w FROM each),
+    hit AS MATERIALIZED (
+      SELECT w, pos, max(n) AS n, arg_max(idx, n) AS idx FROM (
+        SELECT q.w, q.pos, q.n, u.idx FROM (SELECT w, pos, unnest(range(1, least(longest.n, length(w) - pos + 1) + 1)) AS n FROM (SELECT w, unnest(range(1, length(w) + 1)) AS pos FROM q), longest) q
+        JOIN u ON u.name = substr(q.w, q.pos, q.n)) GROUP BY w, pos),
+    walk AS (
+      SELECT w, CAST(1 AS BIGINT) AS pos, '' AS s FROM q
+      UNION ALL SELECT k.w, k.pos + coalesce(h.n, 1), k.s || chr(CAST({S.FIRST} + coalesce(h.idx, 1) AS INTEGER)) FROM walk k LEFT JOIN hit h ON h.w = k.w AND h.pos = k.pos WHERE k.pos <= length(k.w)),
+    seg AS (SELECT w, s FROM walk WHERE pos > length(w)),
+    whole AS (SELECT {S.chars("string_agg(s, '' ORDER BY pos)")} AS c, any_value(n) AS n FROM each JOIN seg USING (w) GROUP BY line),
+    l0 AS MATERIALIZED (SELECT s, CAST(sum(n) AS BIGINT) AS n FROM (SELECT array_to_string(list_filter(c, lambda x, i: NOT coalesce(i > 2 AND x = c[i - 1] AND x = c[i - 2], false)), '') AS s, n FROM whole) GROUP BY s),
+    types2 AS (SELECT count(*) AS n FROM vm8), {S.line_chain(8, "types2")}, {S.named_chain(8, "vm8", "types2", "q", 3)}"""
+
+
+@query(f"WITH RECURSIVE {PHRASES} SELECT * FROM vq8")
+def bpe_phrases_8(spark, sf_dir):
+    """Two levels: 8 merges within words, then 8 across their ends, over lines of the first level's types."""
+    docs = documents(spark, sf_dir)
+    first = M.learn_bpe(docs, more=8, min_co_evidence=2)
+    return shown(M.learn_phrases(docs, first, 8, least=2))
+
+
 @query()
 def bpe_learn_full(spark, sf_dir):
     return shown(M.learn_bpe(documents(spark, sf_dir), more=72, min_co_evidence=2))
@@ -487,7 +569,7 @@ def store_part_manifest(spark, sf_dir):
 
 #: Packing goes by parts of so many ids (hundreds of conversations).
 PART = 1_000_000
-ROWS = f"{WORD_PAIRS}, lens AS (SELECT CAST(floor(id / {PART}) AS BIGINT) AS part, id, greatest(len(x), len(y)) AS len FROM wp WHERE greatest(len(x), len(y)) <= 2000)"
+ROWS = f"{WORD_PAIRS}, lens AS (SELECT CAST(floor(id / {PART}) AS BIGINT) AS part, id, greatest(len(x), len(y)) AS len FROM wp)"
 
 
 def packing(order: str, more: str) -> str:
@@ -550,6 +632,47 @@ def batch_stats(spark, sf_dir):
     return class_batches(spark, sf_dir).select("part", "batch", F.size("ids").cast("long").alias("n"), *long)
 
 
+def stored_batches(spark: SparkSession, sf_dir: str, sort_by: str | None) -> DataFrame:
+    """One pass over a store of encoded pairs, parts by ranges of ids."""
+    import uuid
+
+    path = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    one = lambda w: F.char_length(w) + 3
+    rows = word_pairs(spark, sf_dir).withColumns({s: F.transform(s, one) for s in "xy"})
+    rows = rows.withColumn("part", B.parts(rows, READ_PART))
+    files.write_store(rows.select("part", "id", "x", "y"), path, by="part")
+    found = BatchReader(files.read_store(spark, path), 2000, 16, sort_by, alone=True).read(SEED)
+    long = [F.col(c).cast("long").alias(c) for c in ("x_toks", "y_toks")]
+    return found.select("place", F.col("part").cast("long").alias("part"), "batch", F.array_join("ids", " ").alias("ids"), *long)
+
+
+READ_PART, SEED = 20_000, 7
+
+
+def drawn(*names: str) -> str:
+    return f"CAST('0x' || substr(md5('{SEED}:' || {" || ':' || ".join(names)}), 1, 15) AS BIGINT)"
+
+
+def read_batches(order: str, more: str, place: str) -> str:
+    lens = f"lens AS (SELECT CAST(floor(id / {READ_PART}) AS BIGINT) AS part, id, greatest(len(x), len(y)) AS len, {drawn('id')} AS drawn, len(x) + 1 AS lx, len(y) + 1 AS ly FROM wp)"
+    return f"""WITH RECURSIVE {WORD_PAIRS}, {lens}, {packing(order, more)},
+    g AS (SELECT part, batch, string_agg(id, ' ' ORDER BY id) AS ids, CAST(sum(lx) AS BIGINT) AS x_toks, CAST(sum(ly) AS BIGINT) AS y_toks FROM walk JOIN lens USING (part, id) GROUP BY part, batch)
+    SELECT row_number() OVER (ORDER BY {place}) - 1 AS place, part, batch, ids, x_toks, y_toks FROM g"""
+
+
+PART_DRAWN = drawn("'part'", "part")
+
+
+@query(read_batches("len, drawn, id", "> 16", f"{PART_DRAWN}, part, {drawn(chr(39) + 'batch' + chr(39), 'part', 'batch')}, batch"))
+def batch_reader_eq_len(spark, sf_dir):
+    return stored_batches(spark, sf_dir, EQUAL_LENGTH)
+
+
+@query(read_batches("drawn, id", ">= 16", f"{PART_DRAWN}, part, batch"))
+def batch_reader_random(spark, sf_dir):
+    return stored_batches(spark, sf_dir, RANDOM)
+
+
 @query(
     """WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
     SELECT conv_id, array_to_string(list_transform(range(0, n), lambda i: array_to_string(list_transform(range(0, n), lambda j: CASE WHEN j <= i THEN '1' ELSE '0' END), '')), ' ') AS mask FROM n"""
@@ -602,3 +725,42 @@ LETTER = "((unicode({0}) BETWEEN 2325 AND 2361) OR (unicode({0}) BETWEEN 2392 AN
 )
 def expand_consonants(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.expand_consonants(F.col("text")).alias("text"))
+
+
+#: Latin letters of documents written with Devanagari letters, signs and viramas, so that their texts become words of it.
+LATIN, DEVANAGARI = "abcdefghijklmnopqrstuvwxyz", "ाकिखेग्घुचीछोजौटअठआडएतंदरन"
+NAGARI = f"translate(text, '{LATIN}', '{DEVANAGARI}')"
+MARK = {m: f"chr({ord(m)})" for m in (W.INSIDE, W.KEPT, W.RAW)}
+IS = {name: f"coalesce(contains('{letters}', {{0}}), false)" for name, letters in (("sign", W.SIGNS), ("vowel", W.LETTERS))}
+IS["consonant"] = "coalesce(unicode({0}) BETWEEN 2325 AND 2361 OR unicode({0}) BETWEEN 2392 AND 2399, false)"
+IS["edge"] = "({0} IS NULL OR {0} IN (' ', chr(9), chr(10)))"
+X, BEFORE, AFTER = "x", "CASE WHEN i > 1 THEN c[i - 1] END", "c[i + 1]"
+EXPANDED = f"""CASE WHEN x = '{W.VIRAMA}' THEN CASE WHEN {IS["consonant"].format(BEFORE)} AND ({IS["edge"].format(AFTER)} OR {IS["consonant"].format(AFTER)}) THEN '' ELSE {MARK[W.KEPT]} END
+    WHEN {IS["vowel"].format(X)} THEN CASE WHEN {IS["edge"].format(BEFORE)} THEN x ELSE x || {MARK[W.INSIDE]} END
+    WHEN {IS["consonant"].format(X)} THEN CASE WHEN {IS["sign"].format(AFTER)} OR {AFTER} = '{W.VIRAMA}' THEN x ELSE x || '{W.IMPLIED}' END
+    WHEN {IS["sign"].format(X)} THEN CASE WHEN {IS["edge"].format(BEFORE)} THEN {MARK[W.RAW]} ELSE '' END || translate(x, '{W.SIGNS}', '{W.VOWELS}') ELSE x END"""
+
+
+def nagari(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.translate("text", LATIN, DEVANAGARI).alias("text"))
+
+
+@query(f"WITH c AS (SELECT doc_id, {S.chars(NAGARI)} AS c FROM documents) SELECT doc_id, array_to_string(list_transform(c, lambda x, i: {EXPANDED}), '') AS text FROM c")
+def expand_vowels(spark, sf_dir):
+    return nagari(spark, sf_dir).select("doc_id", W.expand_vowels(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {NAGARI} AS text FROM documents")
+def restore_vowels(spark, sf_dir):
+    """Written out and restored: the text as it was."""
+    return nagari(spark, sf_dir).select("doc_id", W.restore_vowels(W.expand_vowels(F.col("text"))).alias("text"))
+
+
+@query(
+    """WITH f AS (SELECT 'documents' AS field, doc_id AS id FROM documents UNION ALL SELECT 'labels', doc_id FROM labels),
+    n AS (SELECT id, count(*) FILTER (field = 'documents') AS documents, count(*) FILTER (field = 'labels') AS labels FROM f GROUP BY id)
+    SELECT id, field, n FROM (SELECT id, 'documents' AS field, documents AS n FROM n UNION ALL SELECT id, 'labels', labels FROM n) WHERE n <> 1"""
+)
+def field_alignment(spark, sf_dir):
+    """The ids that documents and labels don't both have exactly once."""
+    return P.misaligned({"documents": documents(spark, sf_dir), "labels": table(spark, sf_dir, "labels")}, ["doc_id"]).select(F.col("doc_id").alias("id"), "field", "n")

@@ -72,13 +72,15 @@ def encoded(pieces: str, vocab: str, value: str = "coalesce(v.idx, 1)", sep: str
 
 
 def symbols(base: str) -> str:
-    """The start of learning merges: w0 (s, n) of the words of ``f``, and the number of types."""
+    """The start of learning merges: w0 (s, n) of the words of ``f``, and the number of types. A word that the vocabulary has is one symbol."""
     return f"""
     types AS (SELECT count(*) AS n FROM {base}),
     w0 AS MATERIALIZED (
       SELECT s, CAST(sum(n) AS BIGINT) AS n FROM (
-        SELECT term, any_value(x.freq) AS n, string_agg(chr(CAST({FIRST} + coalesce(v.idx, 1) AS INTEGER)), '' ORDER BY pos) AS s
-        FROM (SELECT term, freq, unnest({chars("term || '▁'")}) AS c, generate_subscripts({chars("term || '▁'")}, 1) AS pos FROM f) x
+        SELECT chr(CAST({FIRST} + v.idx AS INTEGER)) AS s, f.freq AS n FROM f JOIN {base} v ON v.name = f.term || '▁'
+        UNION ALL
+        SELECT string_agg(chr(CAST({FIRST} + coalesce(v.idx, 1) AS INTEGER)), '' ORDER BY pos) AS s, any_value(x.freq) AS n
+        FROM (SELECT term, freq, unnest({chars("term || '▁'")}) AS c, generate_subscripts({chars("term || '▁'")}, 1) AS pos FROM f WHERE term || '▁' NOT IN (SELECT name FROM {base})) x
         LEFT JOIN {base} v ON v.name = x.c GROUP BY term) GROUP BY s)
     """
 
@@ -95,6 +97,26 @@ def merge_chain(k: int) -> str:
     return ", ".join(steps)
 
 
+def line_chain(k: int, start: str) -> str:
+    """The merges q1 .. qk of lines l0, l1 .., with numbers from the count of types in ``start`` on."""
+    steps = []
+    for i in range(k):
+        steps.append(f"q{i + 1} AS MATERIALIZED (SELECT pair, freq FROM ({pairs(f'l{i}')}) ORDER BY freq DESC, pair LIMIT 1)")
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT replace(s, m.pair, chr(CAST({FIRST} + t.n + {i} AS INTEGER))) AS s, w.n FROM l{i} w, q{i + 1} m, {start} t)")
+    return ", ".join(steps)
+
+
+def named_chain(k: int, base: str, types: str = "types", merge: str = "m", level: int = 1) -> str:
+    """Vocabularies ``base`` with 1 .. k merges, the last named like the merge: (idx, name, level, freq, kids)."""
+    steps, last = [], base
+    for i in range(1, k + 1):
+        l, r = number("substr(pair, 1, 1)"), number("substr(pair, 2, 1)")  # noqa: E741
+        new = f"SELECT CAST(t.n + {i - 1} AS INTEGER), a.name || b.name, CAST({level} AS INTEGER), m.freq, m.l || ' ' || m.r FROM (SELECT freq, {l} AS l, {r} AS r FROM {merge}{i}) m CROSS JOIN {types} t JOIN {last} a ON a.idx = m.l JOIN {last} b ON b.idx = m.r"
+        steps.append(f"v{merge}{i} AS MATERIALIZED (SELECT idx, name, level, freq, kids FROM {last} UNION ALL {new})")
+        last = f"v{merge}{i}"
+    return ", ".join(steps)
+
+
 def number(sym: str) -> str:
     return f"CAST(unicode({sym}) - {FIRST} AS INTEGER)"
 

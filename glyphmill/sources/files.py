@@ -123,10 +123,11 @@ def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.from_json(F.col("v")[0], "array<int>").alias("ids"), F.col("v")[1].cast("long").alias("freq"), F.from_json(F.col("v")[2], "array<string>").alias("names"))
 
 
-def write_store(pairs: DataFrame, path: str, parts: int | None = None, part_size: int = 5_000_000, overwrite: bool = False) -> None:
-    """Parquet parts of at most so many rows; the committer's _SUCCESS tells that all are there."""
-    rows = pairs.repartition(parts) if parts else pairs
-    rows.write.option("maxRecordsPerFile", part_size).mode("overwrite" if overwrite else "errorifexists").parquet(path)
+def write_store(pairs: DataFrame, path: str, parts: int | None = None, part_size: int = 5_000_000, overwrite: bool = False, by: str | None = None) -> None:
+    """Parquet parts of at most so many rows; the committer's _SUCCESS tells that all are there. by: a column whose values are the parts."""
+    rows = pairs.repartition(by) if by else pairs.repartition(parts) if parts else pairs
+    writer = rows.write.option("maxRecordsPerFile", part_size).mode("overwrite" if overwrite else "errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, shuffle_seed: int | None = None, keep: bool = False) -> DataFrame:

@@ -35,9 +35,9 @@ CHUNK_DOCS, CHUNK_LINKS = 1 << 16, 3_000_000
 #: Units from which on a generation that a worker keeps is full, and the characters up to which it keeps one.
 KEPT_UNITS, LONG_UNIT = 200_000, 100
 #: A space between two characters that are no white space, for any version of Unicode.
-EDGE = re.compile(r"(?<=[^\s᠎​])(?= [^\s᠎​])")
+EDGE = re.compile(r"(?<=[^\s\u180e\u200b])(?= [^\s\u180e\u200b])")
 #: What tells that a text has other spaces than those.
-ROUGH = re.compile(r" [\s᠎​]|[\s᠎​] ")
+ROUGH = re.compile(r" [\s\u180e\u200b]|[\s\u180e\u200b] ")
 BASE = 1 << 20
 
 

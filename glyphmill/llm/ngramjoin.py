@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.neardup import components, joined, mix
+from glyphmill.llm.neardup import LISTED_NODES, components, joined, mix
 from glyphmill.llm.shared import ship, written
 from glyphmill.operators.freq import numbered
 
@@ -312,9 +312,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = told_apart(written(entries.join(shared.where("many > 2").select("region"), "region"), "members"))
     inside = members.select("node").union(two.select("a")).union(two.select("b")).distinct()
     points = written(nodes.join(inside, "node", "left_semi").drop("regions"), "points")
-    needed = points.select("node", F.col("one.id").alias("id"), F.col("one.hash").alias("hash")).alias("p")
+    needed = written(points.select("node", F.col("one.id").alias("id"), F.col("one.hash").alias("hash")), "needed")
+    listed = F.broadcast(needed) if needed.count() <= LISTED_NODES else needed
     same = F.col("t.id").eqNullSafe(F.col("p.id")) & (F.col("t.hash") == F.col("p.hash"))
-    texts = base.alias("t").join(needed, same).select("node", "text").dropDuplicates(["node"])
+    texts = base.alias("t").join(listed.alias("p"), same).select("node", "text").dropDuplicates(["node"])
     grams = written(texts.select("node", sets(F.col("text")).alias("grams")), "sets")
     hubs = members.groupBy("region").agg(F.min_by("node", F.xxhash64("region", "node")).alias("hub"))
     tried = members.join(written(hubs, "hubs"), "region").where("node != hub")

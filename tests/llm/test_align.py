@@ -49,11 +49,13 @@ def brute(tools, texts):
                 ends[side].setdefault(n, []).append(i)
         common = sorted(ends[0].keys() & ends[1].keys())
         mine = [(x, y) for e in common for x in ends[0][e] for y in ends[1][e]]
-        groups, last = [], 0
-        for e in common:
-            sides = [",".join(str(i) for n in sorted(ends[s]) if last < n <= e for i in ends[s][n]) for s in (0, 1)]
-            groups.append("|".join(sides))
-            last = e
+        sides = [[[]], [[]]]
+        for side in (0, 1):
+            for n in sorted(ends[side]):
+                sides[side][-1] += map(str, ends[side][n])
+                if n in ends[1 - side]:
+                    sides[side].append([])
+        groups = [f"{','.join(x)}|{','.join(y)}" for x, y in zip(*sides, strict=True)][:-1]
         out.append((len(of_a), len(of_b), len(groups), len(mine), hashlib.sha256(";".join(groups).encode()).hexdigest()))
         links.append(mine)
     count = Counter(x for mine in links for x in mine)

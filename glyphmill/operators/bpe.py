@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.operators import freq as N
-from glyphmill.operators.codec import encode_pieces, mapped, small_table, with_row
+from glyphmill.operators.codec import SENT_TYPES, encode_pieces, mapped, small_table, with_row
 from glyphmill.operators.merges import FIRST, MOST_SYMBOLS, PLANE, Replay, index_of, merges, pair_freqs, pairs_of, symbol, symbol_of, track
 from glyphmill.operators.vocab import LEVELS, NO_KIDS, SPACE, UNK, init_vocab
 from glyphmill.sources.folder import written
@@ -115,18 +116,43 @@ def encode_merges(rows: DataFrame, keys: list[str], vocab: DataFrame, replay: Re
     return made.select(*keys, F.when(F.size("ids") == 0, F.array(F.lit(SPACE))).otherwise(F.col("ids")).alias("ids"))
 
 
+#: Words whose matches a task remembers.
+REMEMBERED = 100_000
+
+
 def longest_matches(table: dict) -> Callable[[dict, list], list]:
-    """What takes the names that a vocabulary knows, and words, to the ids of the words' longest matches one after the other."""
-    widths = sorted({len(n) for n in table if n}, reverse=True)
+    """What takes the names that a vocabulary knows, and words, to the ids of the words' longest matches one after the other.
+
+    At each place only the lengths are tried that some name with the same two first
+    characters has. A word is walked once, as long as a task remembers it.
+    """
+    lengths: dict[str, set[int]] = {}
+    for name in table:
+        if len(name) > 1:
+            lengths.setdefault(name[:2], set()).add(len(name))
+    tried = {start: sorted(some, reverse=True) for start, some in lengths.items()}
+    done: dict[str, list[int]] = {}
+
+    def one(known: dict, word: str) -> list[int]:
+        ids, here = [], 0
+        while here < len(word):
+            for n in tried.get(word[here : here + 2], ()):
+                if (idx := known.get(word[here : here + n])) is not None and here + n <= len(word):
+                    break
+            else:
+                n, idx = 1, known.get(word[here], UNK)
+            ids.append(idx)
+            here += n
+        return ids
 
     def walk(known: dict, words: list) -> list:
+        if len(done) > REMEMBERED:
+            done.clear()
         ids = []
         for word in words:
-            here = 0
-            while here < len(word):
-                n = next((k for k in widths if here + k <= len(word) and word[here : here + k] in known), 0)
-                ids.append(known[word[here : here + n]] if n else UNK)
-                here += n or 1
+            if (own := done.get(word)) is None:
+                own = done[word] = one(known, word)
+            ids += own
         return ids
 
     return walk
@@ -181,20 +207,56 @@ def encode_bpe(rows: DataFrame, keys: list[str], vocab: DataFrame, text: str = "
     return whole.select(*keys, F.when(F.size("ids") == 0, F.array(F.lit(SPACE))).otherwise(F.col("ids")).alias("ids"))
 
 
+#: The draws of a split go up to this.
+DRAWS = 1 << 30
+
+
+def splits(kids: dict, ratio: float) -> Callable[[list, int], list]:
+    """What splits a row's types, given the hash of its seed and keys: a type at a place is replaced if the hash of the place, begun with the row's, is drawn."""
+    import xxhash
+
+    def split(ids: list, start: int) -> list:
+        out = []
+        for at, whole in enumerate(ids):
+            left = [(f"{at:010d}", whole)]
+            while left:
+                place, idx = left.pop()
+                pair = kids.get(idx)
+                if pair and xxhash.xxh64_intdigest(place, start) % DRAWS < ratio * DRAWS:
+                    left += [(place + "b", pair[1]), (place + "a", pair[0])]
+                else:
+                    out.append(idx)
+        return out
+
+    return split
+
+
 def split_down(rows: DataFrame, keys: list[str], vocab: DataFrame, ratio: float, seed: int = 0, ids: str = "ids") -> DataFrame:
     """(keys, ids): each type, and each of its parts in turn, is replaced by its two kids with the given probability.
 
-    All of a round's types are looked up by one join; a round goes one step down the
-    merges. The draw is a hash of the seed and of the place in the tree, so repeats agree.
+    The draw is a hash of the seed, the keys and the place in the tree, so repeats agree. A
+    vocabulary of a measured size goes to all executors and a row is split inside
+    itself. Beyond it, all of a round's types are looked up by one join; a round goes one
+    step down the merges. Both ways draw the same.
     """
-    kids = vocab.where(F.size("kids") == 2).select("idx", F.col("kids")[0].alias("l"), F.col("kids")[1].alias("r"))
+    kids = vocab.where(F.size("kids") == 2).select("idx", F.get("kids", F.lit(0)).alias("l"), F.get("kids", F.lit(1)).alias("r"))
+    if kids.count() <= SENT_TYPES:
+        sent = rows.sparkSession.sparkContext.broadcast({r["idx"]: (r["l"], r["r"]) for r in kids.collect()})
+
+        @F.pandas_udf("array<int>")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            split = splits(sent.value, ratio)
+            for whole, starts in batches:
+                yield pd.Series([split([] if a is None else a, s % (1 << 64)) for a, s in zip(whole, starts.tolist(), strict=True)], dtype=object)
+
+        return rows.select(*keys, run(F.col(ids), F.xxhash64(F.lit(seed), *keys)).alias("ids"))
     out = keys
     keys = [*keys, "_row"]
     rows = with_row(rows, out, ids=F.col(ids))
-    now = rows.select(*keys, F.posexplode("ids").alias("at", "idx")).select(*keys, F.format_string("%010d", "at").alias("place"), "idx", F.lit(True).alias("open"))
+    now = rows.select(*keys, F.posexplode_outer("ids").alias("at", "idx")).select(*keys, F.format_string("%010d", "at").alias("place"), "idx", F.lit(True).alias("open"))
     done = None
     while True:
-        draw = F.pmod(F.xxhash64(F.lit(seed), *out, "place"), F.lit(1 << 30)) < ratio * (1 << 30)
+        draw = F.pmod(F.xxhash64(F.lit(seed), *out, "place"), F.lit(DRAWS)) < ratio * DRAWS
         seen = written(now.join(kids, "idx", "left").withColumn("open", draw & F.col("l").isNotNull()), "split")
         closed = seen.where("not open").select(*keys, "place", "idx")
         done = closed if done is None else done.unionByName(closed)
@@ -202,7 +264,8 @@ def split_down(rows: DataFrame, keys: list[str], vocab: DataFrame, ratio: float,
             break
         part = F.explode(F.array(F.struct(F.concat("place", F.lit("a")).alias("place"), F.col("l").alias("idx")), F.struct(F.concat("place", F.lit("b")).alias("place"), F.col("r").alias("idx"))))
         now = seen.where("open").select(*keys, part.alias("x")).select(*keys, "x.place", "x.idx")
-    return done.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "idx"))), lambda x: x.idx).alias("ids")).drop("_row")
+    placed = F.filter(F.array_sort(F.collect_list(F.struct("place", "idx"))), lambda x: x.idx.isNotNull())
+    return done.groupBy(*keys).agg(F.transform(placed, lambda x: x.idx).alias("ids")).drop("_row")
 
 
 def permutations(vocab: DataFrame, top: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.operators.freq import numbered
+from glyphmill.sources.folder import written
 
 
 def usage(encoded: DataFrame, ids: str = "ids") -> DataFrame:
@@ -97,11 +98,12 @@ def precision_recall(candidates: DataFrame, references: DataFrame, keys: list[st
     sides' grams inside the row; then grams are summed. universe: (gram) to keep, if given.
     """
     grams = lambda c: F.transform(T.ngrams(T.words(F.col(c)), n), lambda g: F.array_join(g, " "))
-    c = candidates.select(*keys, grams(text).alias("c"))
-    r = references.select(*keys, grams(text).alias("r"))
+    # rows are numbered in written tables: after a shuffle a rerun task would number them otherwise
+    c = written(candidates.select(*keys, grams(text).alias("c"), F.monotonically_increasing_id().alias("c_row")), "candidates")
+    r = written(references.select(*keys, grams(text).alias("r"), F.monotonically_increasing_id().alias("r_row")), "references")
     one = lambda side, sign: F.transform(side, lambda g: F.struct(g.alias("gram"), F.lit(sign).alias("of_c")))
-    each = c.join(r, keys).withColumn("row", F.monotonically_increasing_id()).select("row", F.explode(F.concat(one("c", 1), one("r", 0))).alias("x"))
-    both = each.groupBy("row", "x.gram").agg(F.sum("x.of_c").alias("c"), (F.count("*") - F.sum("x.of_c")).alias("r"))
+    each = c.join(r, keys).select("c_row", "r_row", F.explode(F.concat(one("c", 1), one("r", 0))).alias("x"))
+    both = each.groupBy("c_row", "r_row", "x.gram").agg(F.sum("x.of_c").alias("c"), (F.count("*") - F.sum("x.of_c")).alias("r"))
     hit = F.least("c", "r")
     out = both.groupBy("gram").agg(
         F.sum("r").alias("ref_freq"),

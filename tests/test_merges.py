@@ -145,3 +145,25 @@ def test_nothing_to_learn_from(spark):
     base = V.learn_chars(rows)
     assert M.learn_phrases(rows, base, 3).count() == 6
     assert G.track(M.start_words(N.word_freq(rows), base), 6, G.Replay([])) == []
+
+
+def test_splits_inside_the_row_draw_as_the_rounds_of_joins(spark, monkeypatch):
+    rng = random.Random(9)
+    words = corpus(8, "abc", 40)
+    base, names, start = started(spark, words)
+    vocab = M.with_merges(base, M.merges(start, len(names), 15)[0])
+    rows = spark.createDataFrame([(i, f"k{i % 3}" if i % 5 else None, " ".join(rng.choice(words) for _ in range(rng.randrange(6)))) for i in range(40)] + [(7, "k1", "abcabc")] * 2, "id long, name string, text string")
+    encoded = M.encode_bpe(rows, ["id", "name"], vocab).unionByName(spark.createDataFrame([(99, None, [])], "id long, name string, ids array<int>"))
+    key = lambda r: (r["id"], r["name"] or "", r["ids"])
+    inside = {r: sorted(map(key, M.split_down(encoded, ["id", "name"], vocab, r, seed=5).collect())) for r in (0.3, 1.0)}
+    monkeypatch.setattr(M, "SENT_TYPES", 0)
+    for ratio, want in inside.items():
+        assert sorted(map(key, M.split_down(encoded, ["id", "name"], vocab, ratio, seed=5).collect())) == want
+    assert inside[0.3] != inside[1.0]
+
+
+def test_longest_matches_over_odd_names_and_words():
+    table = {"a": 1, "ab": 2, "abc": 3, "bcd": 4, "b": 5, "😀x": 6, "xyz": 7, "": 8}
+    walk = M.longest_matches(table)
+    for _ in range(2):
+        assert walk(table, ["abcd", "abbcd", "", "q", "😀x😀", "xy", "xyzx", "ab"]) == [3, 1, 2, 4, 1, 6, 1, 1, 1, 7, 1, 2]

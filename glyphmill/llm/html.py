@@ -1,7 +1,7 @@
 """Operator 3: main text of web pages by a tree-structured graphical model.
 
 The block elements of a page are nodes of a tree; each is content or not. A logistic
-model of a node's tag, names, links and length gives its own evidence, potentials
+model of a node's tag, names, links and length, and of the names above it, gives its own evidence, potentials
 between parent and child tie labels together, and sum-product messages up and down the
 tree give each node's marginal. The text of nodes that are more likely content than
 not is the page's main text.
@@ -40,6 +40,8 @@ RAW = frozenset("script style title textarea noscript template iframe noembed no
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture source".split()
 )
+#: Controls and drawings: what stands in them is no text of the page.
+CONTROLS = frozenset("button svg select canvas object audio video".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
@@ -54,36 +56,44 @@ GROUPS = {
     "notice": "cookie cookies consent gdpr notice notification alert banner popup modal overlay dialog disclaimer warning paywall",
     "advert": "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion promoted",
     "form": "form search login signin signup subscribe subscription newsletter register contact poll",
-    "comments": "comment comments reply replies discussion disqus respond feedback reviews",
+    "comments": "comment comments commentlist reply replies discussion disqus respond feedback reviews",
     "share": "share sharing social follow like twitter facebook print tools meta tags byline",
     "content": "content article post entry story text main body blog maincontent articlebody",
 }
+#: Elements that speak for what is below them, as words in a class, id or role do, and the words and elements that hold content.
+TOLD = frozenset("nav header footer aside form menu article main".split())
+CONTENT_BOXES = frozenset({"article", "main", "content"})
 GROUP_OF = {word: group for group, words in GROUPS.items() for word in words.split()}
 
 
 class Page:
     """The block nodes of a page in order: parent, features, label of its own if marked; runs are (node, text)."""
 
-    __slots__ = ("parent", "depth", "features", "article", "chars", "linked", "runs")
+    __slots__ = ("parent", "depth", "features", "article", "chars", "linked", "own", "under", "runs")
 
     def __init__(self, html: str):
         self.parent, self.depth, self.features, self.article = [-1], [0], [["tag=root"]], [False]
-        self.chars, self.linked = [0], [0]
+        self.chars, self.linked, self.own = [0], [0], [0]
+        self.under: list[frozenset[str]] = [frozenset()]
         self.runs: list[tuple[int, str]] = []
         self._read(html)
         for v in range(len(self.parent) - 1, 0, -1):
             self.chars[self.parent[v]] += self.chars[v]
             self.linked[self.parent[v]] += self.linked[v]
-        for f, chars, linked in zip(self.features, self.chars, self.linked, strict=True):
+        size = lambda n: min(6, len(str(n)) * 2 - (str(n)[0] < "4")) if n else 0
+        boxes = {v for v, under in enumerate(self.under) if under & CONTENT_BOXES}
+        for v, (f, chars, linked) in enumerate(zip(self.features, self.chars, self.linked, strict=True)):
             share = linked / chars if chars else 0.0
-            f.append(f"chars={min(6, len(str(chars)) * 2 - (str(chars)[0] < '4')) if chars else 0}")
             links = "all" if share > 0.8 else "many" if share > 0.3 else "some" if share else "none"
-            f += [f"links={links}", f"{f[0]} links={links}"]
+            outer = self.under[self.parent[v]] if v else frozenset()
+            place = "inside" if outer & CONTENT_BOXES else "beside" if boxes else "alone"
+            f += [f"chars={size(chars)}", f"own={size(self.own[v])}", f"{f[0]} {'text' if self.own[v] else 'no text'}", f"links={links}", f"{f[0]} links={links}", f"{place} links={links}", f"{f[0]} {place}", *(f"under={g}" for g in outer)]
 
     def _read(self, html: str) -> None:
         open_: list[tuple[str, int]] = [("", 0)]  # element, and the block node it stands in
         places: dict[str, list[int]] = {}  # of each tag, where in open_ it stands
         piece: list[str] = []
+        unclosed: set[str] = set()  # controls of which no more end is to come
         links = linked = at = 0
 
         def flush() -> None:
@@ -94,6 +104,7 @@ class Page:
                 node = open_[-1][1]
                 self.runs.append((node, text))
                 self.chars[node] += len(text)
+                self.own[node] += len(text)
                 self.linked[node] += min(linked, len(text))
             linked = 0
 
@@ -145,6 +156,12 @@ class Page:
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                 at = close.end() if close else end
                 continue
+            if tag in CONTROLS and tag not in unclosed:
+                if close := re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at):
+                    piece.append(" ")
+                    at = close.end()
+                    continue
+                unclosed.add(tag)  # it is read as any element
             if tag in VOID:
                 if tag == "hr":
                     leave({"p"}, {"table", "td", "th", "button"})
@@ -164,9 +181,11 @@ class Page:
             self.parent.append(above)
             self.depth.append(self.depth[above] + 1)
             self.features.append([f"tag={tag}", *(f"name={g}" for g in names)])
+            self.under.append(self.under[above] | names | ({tag} & TOLD))
             self.article.append(tag == "article")
             self.chars.append(0)
             self.linked.append(0)
+            self.own.append(0)
             opened(tag, node)
         flush()
 
@@ -189,7 +208,7 @@ BOILERPLATE = (
     "nav", "header", "footer", "aside", "form", 'div class="menu"', 'ul class="breadcrumbs"', 'div id="header"', 'div class="sidebar"', 'div class="cookie-notice"',
     'div class="ad"', 'div class="advert banner"', 'section class="promo"', 'div class="newsletter-signup"', 'div id="comments"', 'section class="comments"',
     'div class="comment"', 'article class="comment"', 'article class="comment"', 'div class="share-tools"', 'div class="related"', 'div id="footer"', 'div class="alert"', 'div class="widget"',
-    'div role="navigation"',
+    'div role="navigation"', 'header class="site-header"', "footer", "footer",
 )
 CONTENT = (
     "<p>{0}</p>", "<p>{0}</p>", "<p>{0} {1}</p>", "<p>{0} <a href=/x>{1}</a> {2}</p>", "<ul><li>{0}</li><li>{1}</li></ul>", "<ol><li>{0}</li><li>{1}</li><li>{2}</li></ol>",
@@ -199,7 +218,12 @@ CONTENT = (
     "<h2>{0}</h2>", "<h3>{0}</h3>", "<h4>{0}</h4>", "<h5>{0}</h5>", "<h6>{0}</h6>", "<section><h2>{0}</h2><p>{1}</p></section>", "<section><h3>{0}</h3><ul><li>{1}</li></ul></section>",
     "<div><p>{0}</p><p>{1}</p></div>", "<div>{0}</div>", "<details><summary>{0}</summary><p>{1}</p></details>", "<address>{0}</address>", "<div><h4>{0}</h4><div>{1}</div></div>",
 )
-COMMENTS = ('<div id="comments">{0}</div>', '<section class="comments"><h3>{1}</h3>{0}</section>', '<ol class="comment-list"><li>{0}</li></ol>')
+LINKED = ("<ul><li><a href=/x>{0}</a></li><li><a href=/y>{1}</a></li></ul>", "<ol><li><a href=/x>{0}</a></li><li><a href=/y>{1}</a></li><li><a href=/z>{2}</a></li></ol>", "<p><a href=/x>{0}</a></p>")
+COMMENTS = (
+    '<div id="comments">{0}</div>', '<section class="comments"><h3>{1}</h3>{0}</section>', '<ol class="comment-list"><li>{0}</li></ol>', '<ol class="commentlist"><li>{1}</li><li><p>{1}</p></li></ol>',
+    '<ul class="comments"><li><b>{2}</b> <p>{1}</p></li><li><p>{1}</p><p>{2}</p></li></ul>', '<div class="comments"><ul><li><b>{2}</b><p>{1}</p></li></ul></div>', '<section id="comments"><h2>{2}</h2><p>{1}</p><p>{1}</p></section>',
+    '<section class="comments"><article><p>{1}</p></article><article><h4>{2}</h4><p>{1}</p></article></section>', '<div id="comments"><h3>{2}</h3><div><p>{1}</p></div><div><blockquote>{1}</blockquote></div></div>',
+)
 PLAIN = "<html><body><nav><ul><li><a href=/>home</a></li><li><a href=/news>news</a></li></ul></nav><article><h1>One title of a page</h1><p>The first paragraph of the text is here, and it is long enough to be read.</p><p>A second one follows.</p></article><footer>All rights reserved.</footer></body></html>"
 
 
@@ -221,14 +245,22 @@ def rebuilt(html: str, rng: random.Random) -> str | None:
             ("{0}", "<p>{0}</p>", "<p>{0}</p><p>{0}</p>", "<ul><li><a href=/x>{0}</a></li><li><a href=/y>{0}</a></li></ul>", "<h3>{0}</h3><p>{0}</p>", "<div>{0}</div>", "<ul><li>{0}</li></ul>", "<h4>{0}</h4><a href=/x>{0}</a>")
         )
         made = f"<{kind} data-waste=1>{form.format(said)}</{kind.split()[0]}>"
-        if "comment" in kind and rng.random() < 0.5:
-            made = rng.choice(COMMENTS).format(made * rng.randrange(1, 3), said).replace(" ", " data-waste=1 ", 1)
+        if "comment" in kind and rng.random() < 0.8:
+            made = rng.choice(COMMENTS).format(made * rng.randrange(1, 3), said, rng.choice(sentences)).replace(" ", " data-waste=1 ", 1)
         return made
 
     def block() -> str:
         size = rng.choice((2, 4, 8, 16, 60))
-        return rng.choice(CONTENT).format(*(" ".join(rng.choice(sentences).split()[:size]) for _ in range(3)))
-
+        return rng.choice(CONTENT if rng.random() < 0.85 else LINKED).format(*(" ".join(rng.choice(sentences).split()[:size]) for _ in range(3)))
+
+    if rng.random() < 0.15:  # text without elements of its own, alone or between boilerplate
+        said = [" ".join(rng.choice(sentences).split()[: rng.choice((3, 10, 40))]) for _ in range(rng.randrange(1, 5))]
+        form = rng.choice(("{0}", "{0}", "{0}", "<center data-main=1><font>{0}</font></center>", "<p data-main=1>{0}</p>", "<div data-main=1>{0}</div>", "<td data-main=1>{0}</td>"))
+        told = form.format(rng.choice(("<br>", "<br><br>", " ")).join(said))
+        wrap = rng.random()
+        if form == "{0}":
+            return told if wrap < 0.4 else f"<html data-main=1><body data-main=1>{piece() if wrap < 0.7 else ''}{told}{piece() if wrap > 0.6 else ''}</body></html>"
+        return told if wrap < 0.3 else f"<html><body>{piece() if wrap < 0.7 else ''}{told}{piece() if wrap > 0.5 else ''}</body></html>"
     box = rng.choice(CONTAINERS)
     blocks = re.split(r"(?=<p\b|<h[1-6]\b)", m[1])
     if rng.random() < 0.25:  # some articles are short
@@ -236,7 +268,7 @@ def rebuilt(html: str, rng: random.Random) -> str | None:
         blocks = [f"<{k}>{' '.join(rng.choice(sentences).split()[: rng.randrange(1, 12)])}</{k}>" for k in kinds]
     for _ in range(rng.choice((0, 2, 4, 8))):  # and of many kinds of elements
         blocks.insert(rng.randrange(1, len(blocks) + 1), block())
-    for _ in range(rng.choice((0, 0, 1, 2))):
+    for _ in range(rng.choice((0, 1, 2, 3))):
         blocks.insert(rng.randrange(1, len(blocks) + 1), piece())
     inner = "".join(blocks)
     around = [piece() for _ in range(rng.randrange(2, 7))]
@@ -255,7 +287,7 @@ class Marked(Page):
     def _read(self, html: str) -> None:
         super()._read(html)
         marks = [m["attrs"] for m in TOKEN.finditer(html) if m["tag"] and not m["end"] and (t := m["tag"].lower()) not in INLINE and t not in VOID and t not in RAW]
-        self.mark = [False] + ["data-main" in a or None if "data-waste" not in a else False for a in marks]
+        self.mark = [not marks or bool(self.own[0])] + ["data-main" in a or None if "data-waste" not in a else False for a in marks]
 
     def labels(self) -> np.ndarray | None:
         out = [bool(x) for x in self.mark]

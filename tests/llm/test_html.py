@@ -84,10 +84,48 @@ def test_no_kind_of_element_is_lost_and_comments_are(model, box):
             assert model.texts([f"{page}{after}<footer><p>All rights reserved 2024</p></footer></body></html>"]) == [plain(inner)], kind
 
 
+NAV, FOOT = "<nav><ul><li><a href=/>Home</a></li></ul></nav>", "<footer><p>All rights reserved 2024</p></footer>"
+TOLD = "<h1>A bridge for the town</h1><p>The council met on Monday to talk about the new bridge.</p><p>It will be built by the end of next year.</p>"
+TEXT = "A bridge for the town The council met on Monday to talk about the new bridge. It will be built by the end of next year."
+READERS = (
+    "<ol class=commentlist><li>I like it very much indeed</li><li>So do I, and my friend</li></ol>",
+    "<section class=comments><h2>Two comments</h2><article><p>I like it very much indeed.</p></article><article><p>So do I</p></article></section>",
+    "<div class=comments><ul><li><b>Ann</b><p>I like it very much indeed, said she.</p></li></ul></div>",
+    "<section id=comments><h2>Comments</h2><p>I like it very much indeed.</p><p>So do I, and my friend too.</p></section>",
+)
+
+
+@pytest.mark.parametrize("box", ["article", "main", "div", "section", 'div class="content"'])
+def test_comments_in_lists_and_sections_are_cut(model, box):
+    end = f"</{box.split()[0]}>"
+    for said in READERS:
+        assert model.texts([f"<html><body>{NAV}<{box}>{TOLD}{said}{end}{FOOT}</body></html>", f"<html><body>{NAV}<{box}>{TOLD}{end}{said}{FOOT}</body></html>"]) == [TEXT] * 2, said
+
+
+def test_text_in_few_elements_or_none(model):
+    article = lambda inner: f"<html><body>{NAV}<article>{inner}</article>{FOOT}</body></html>"
+    cases = {
+        article(f"{TOLD}<ul><li><a href=/a>The first plan</a></li><li><a href=/b>The second plan</a></li></ul>"): f"{TEXT} The first plan The second plan",
+        "<html><body>The council met on Monday.<br>It will be built soon.<br>Costs rise.</body></html>": "The council met on Monday. It will be built soon. Costs rise.",
+        "<html><body><center><font>The council met on Monday.</font></center></body></html>": "The council met on Monday.",
+        "<p>The council met on Monday.</p>": "The council met on Monday.",
+        "<html><body><p>The council met on Monday.</p></body></html>": "The council met on Monday.",
+        "<article><h1>T</h1><p>Yes.</p><p>No.</p></article>": "T Yes. No.",
+        "The council met on Monday to talk about the new bridge.": "The council met on Monday to talk about the new bridge.",
+        "Hello there": "Hello there",
+        f"<html><body><header class=site-header><h1>The Daily</h1></header>{NAV}<article>{TOLD}</article>{FOOT}</body></html>": TEXT,
+        article(f"{TOLD}<button>Share <b>this</b></button>"): TEXT,
+        article(f"{TOLD}<svg><text>Logo</text></svg>"): TEXT,
+        article(f"{TOLD}<footer>Filed under towns</footer>"): TEXT,
+        article(f"{TOLD}<p>One<button>Share</button>two</p><button>never closed"): f"{TEXT} One two never closed",
+    }
+    assert dict(zip(cases, model.texts(list(cases)), strict=True)) == cases
+
+
 def test_time_is_linear(model):
     import time
 
-    for page in ("<div>" * 20_000, "<a " * 200_000, '<a "' * 100_000 + ">", "<p>" * 20_000, "<table><tr><td><p>" + "<div>" * 20_000, "<!--" * 100_000, "< " * 200_000 + ">"):
+    for page in ("<div>" * 20_000, "<a " * 200_000, '<a "' * 100_000 + ">", "<p>" * 20_000, "<table><tr><td><p>" + "<div>" * 20_000, "<!--" * 100_000, "< " * 200_000 + ">", "<button>" * 50_000, "<svg>x" * 50_000):
         began = time.perf_counter()
         model.texts([page])
         assert time.perf_counter() - began < 20, page[:20]

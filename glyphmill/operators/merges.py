@@ -34,6 +34,8 @@ LISTED, MOST_KNOWN = 2048, 50_000
 PENDING = 128
 #: Mean symbols of a sequence up to which an index is kept, which holds each sequence once for each of its pairs; longer ones are read whole in each round.
 INDEXED = 24
+#: Merges still to make from which on building an index is worth while.
+WORTH = 32
 
 
 def symbol(idx: int) -> str:
@@ -177,10 +179,11 @@ class Epoch:
         self.steps += now
 
 
-def learn(words: DataFrame, n_types: int, most: int, least: int = 2, at_once: int = 64) -> Learned:
+def learn(words: DataFrame, n_types: int, most: int, least: int = 2, at_once: int = 64, carry: bool = True) -> Learned:
     """Up to ``most`` merges of words (s, n), which are distinct, with indices from ``n_types`` on; fewer if no pair is frequent enough, or none is left.
 
     The result is that of one merge at a time: most frequent pair first, ties by the pair.
+    carry: whether the counts are carried beyond the last merge.
     """
     out = Learned(words=words, counts=written(pair_freqs(words), "pairs"))
     short = (words.agg(F.avg(F.char_length("s")).alias("n")).first()["n"] or 0) <= INDEXED
@@ -198,7 +201,8 @@ def learn(words: DataFrame, n_types: int, most: int, least: int = 2, at_once: in
                 out.merges.append((idx, number(pair[0]), number(pair[1]), freq))
             out.rounds += 1
             if len(out.merges) < most:
-                index = inverted(out.words) if short and index is None else index
+                if index is None and short and most - len(out.merges) >= WORTH:
+                    index = inverted(out.words)
                 read = out.words if index is None else words_of(index, sorted({epoch.indexed(p) for p, _ in chosen}))
                 found = changes(read, epoch.steps, now).where(epoch.wanted(chosen, [m[2] for m in now])).collect()
                 epoch.apply([(r["pair"], r["freq"]) for r in found], chosen, now)
@@ -207,18 +211,26 @@ def learn(words: DataFrame, n_types: int, most: int, least: int = 2, at_once: in
         if not epoch.steps:
             break
         out.epochs += 1
-        both = out.words.select("s", rewritten(F.col("s"), epoch.steps).alias("t"), "n").where("s <> t")
-        counts = out.counts.unionByName(moved(both))
-        counts = written(counts.groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0"), "pairs")
-        after = written(out.words.select(rewritten(F.col("s"), epoch.steps).alias("s"), "n"), "words")
-        forget(out.counts, *own, *([index] if index is not None else []))
-        out.words, out.counts, own = after, counts, [after]
+        last = len(out.merges) >= most
+        if carry or not last:
+            both = out.words.select("s", rewritten(F.col("s"), epoch.steps).alias("t"), "n").where("s <> t")
+            counts = written(out.counts.unionByName(moved(both)).groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0"), "pairs")
+            forget(out.counts)
+            out.counts = counts
+        after = out.words.select(rewritten(F.col("s"), epoch.steps).alias("s"), "n")
+        forget(*([index] if index is not None else []))
+        if last:
+            out.words = after
+        else:
+            after = written(after, "words")
+            forget(*own)
+            out.words, own = after, [after]
     return out
 
 
 def merges(words: DataFrame, n_types: int, most: int, least: int = 2, at_once: int = 64) -> tuple[list[tuple[int, int, int, int]], DataFrame]:
     """((idx, left, right, freq) of up to ``most`` merges in order, the words after them)."""
-    found = learn(words, n_types, most, least, at_once)
+    found = learn(words, n_types, most, least, at_once, carry=False)
     forget(found.counts)
     return found.merges, found.words
 

@@ -27,10 +27,11 @@ def test_epochs_of_any_size_learn_the_same(spark, monkeypatch, listed, pending,
     monkeypatch.setattr(G, "LISTED", listed)
     monkeypatch.setattr(G, "PENDING", pending)
     monkeypatch.setattr(G, "INDEXED", indexed)
+    monkeypatch.setattr(G, "WORTH", 1)
     words = corpus(3, "abcd", 50) + ["aaaa", "aaaaa", "aaa", "bbbbbb"] * 4
     _, names, start = started(spark, words)
     found = G.learn(start, len(names), 12)
-    assert found.merges == plain_merges(Counter(words), names, 12)
+    assert found.merges == plain_merges(Counter(words), names, 12) == G.merges(start, len(names), 12)[0]
     assert {r["check"]: r["violations"] for r in G.audit(found.words, found.counts, len(names) + 12).collect()} == dict.fromkeys(("pair count", "within symbols", "positive", "known symbols"), 0)
 
 

@@ -30,6 +30,20 @@ def without_long(pairs: DataFrame, src_len: int, tgt_len: int) -> DataFrame:
     return pairs.where((F.size("x") < src_len) & (F.size("y") < tgt_len))
 
 
+def without_short(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """Pairs whose sides both have so many pieces; a null side has none."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return pairs.where(F.least(size("x"), size("y")) >= least)
+
+
+def length_report(pairs: DataFrame, src_len: int, tgt_len: int, least: int = 1) -> DataFrame:
+    """(n, too_short, too_long, kept) in one row: what ``without_short``, then ``without_long`` would leave out, counted in one pass."""
+    x, y = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for c in ("x", "y"))
+    short = F.least(x, y) < least
+    long_ = ~short & ((x >= src_len) | (y >= tgt_len))
+    return pairs.agg(F.count("*").alias("n"), F.count_if(short).alias("too_short"), F.count_if(long_).alias("too_long"), F.count_if(~short & ~long_).alias("kept"))
+
+
 def misaligned(fields: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """(keys, field, n): where fields that belong together differ: each key that some field does not have exactly once, and how often each field has it that has it not once.
 

@@ -42,16 +42,17 @@ def with_pieces(base: DataFrame, pieces: list[str]) -> DataFrame:
     return base.unionByName(base.sparkSession.createDataFrame([(n + k, name, LEVELS["user"], 0, []) for k, name in enumerate(names)], base.schema)) if names else base
 
 
-def learn_bpe(rows: DataFrame, text: str = "text", size: int = 8000, coverage: float = 0.9995, min_co_evidence: int = 95, word_freqs: DataFrame | None = None, more: int | None = None, pieces: list[str] | None = None, char_min_freq: int = 0, word_min_freq: int = 1) -> DataFrame:
+def learn_bpe(rows: DataFrame | None, text: str = "text", size: int = 8000, coverage: float = 0.9995, min_co_evidence: int = 95, word_freqs: DataFrame | None = None, more: int | None = None, pieces: list[str] | None = None, char_min_freq: int = 0, word_min_freq: int = 1, n_lines: int | None = None) -> DataFrame:
     """A vocabulary of characters, the user's pieces and merged subwords, of at most ``size`` types, or of at most ``more`` merges beyond these.
 
     A merge's frequency is its pair's. Merges may hold `<unk>`. char_min_freq: characters
     below it are `<unk>`, and coverage does not count then. word_min_freq: words below it are not learned from.
+    With word_freqs and n_lines given, no text is read, and rows may be None.
     """
     freqs = N.word_freq(rows, text) if word_freqs is None else word_freqs
     freqs = written(freqs.where(F.col("freq") >= word_min_freq) if word_min_freq > 1 else freqs, "word-freqs")
     chars = N.char_freq_of_words(freqs, T.SPACE)
-    n_lines = rows.where(F.col(text).isNotNull()).count()
+    n_lines = rows.where(F.col(text).isNotNull()).count() if n_lines is None else n_lines
     cut = {"min_freq": char_min_freq} if char_min_freq else {"coverage": coverage}
     base = written(with_pieces(init_vocab(chars, n_lines, "char", **cut), pieces or []), "base")
     n = base.count()

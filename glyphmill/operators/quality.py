@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
+from glyphmill.operators.codec import names_of
 from glyphmill.operators.freq import numbered
 from glyphmill.sources.folder import written
 
@@ -131,6 +132,12 @@ def gram_table(grams: DataFrame, measured: DataFrame, top: int = 0) -> DataFrame
     return both.select("rank", "gram", "name", "rank_freq", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in fill.items()])
 
 
+def id_grams(encoded: DataFrame, n: int, vocab: DataFrame, ids: str = "ids") -> DataFrame:
+    """(ids, freq, names) of the n-grams of an encoded corpus, as an n-gram file holds them; names come from the vocabulary, each looked up once for a distinct n-gram."""
+    counted = written(encoded.select(F.explode(T.ngrams(F.col(ids), n)).alias("ids")).groupBy("ids").agg(F.count("*").alias("freq")), "grams")
+    return names_of(counted, ["ids", "freq"], vocab).withColumnRenamed("pieces", "names")
+
+
 def new_grams(candidates: DataFrame, references: DataFrame, keys: list[str], n: int = 1, text: str = "text") -> DataFrame:
     """(gram, freq): grams of candidates that no reference has."""
     c = grams_of(candidates, keys, T.words(F.col(text)), n)

@@ -77,15 +77,23 @@ def learn_chars(rows: DataFrame, text: str = "text", size: int = 0, min_freq: in
 
 def learn_classes(rows: DataFrame, label: str) -> DataFrame:
     """All labels, stripped, in alphabetical order from index 0; no reserved types."""
-    freqs = rows.where(F.col(label).isNotNull()).groupBy(T.strip(F.col(label)).alias("name")).agg(F.count("*").alias("freq"))
-    listed = N.numbered(freqs, "name")
+    return class_vocab(N.counted(rows.where(F.col(label).isNotNull()).select(F.col(label).alias("term"))))
+
+
+def class_vocab(freqs: DataFrame) -> DataFrame:
+    """The classes of labels that were counted (term, freq)."""
+    listed = N.numbered(freqs.groupBy(T.strip(F.col("term")).alias("name")).agg(F.sum("freq").alias("freq")), "name")
     return listed.select(F.col("at").cast("int").alias("idx"), "name", F.lit(LEVELS["class"]).alias("level"), "freq", F.array().cast(NO_KIDS).alias("kids"))
 
 
 def byte_vocab(rows: DataFrame, text: str = "text") -> DataFrame:
     """The 256 bytes, then `<s>` and `</s>`; frequencies are those of the texts' bytes (0 if none)."""
-    spark = rows.sparkSession
-    used = N.counted(rows.select(F.explode(T.byte_ids(F.col(text))).alias("term")))
+    return byte_table(N.counted(rows.select(F.explode(T.byte_ids(F.col(text))).alias("term"))))
+
+
+def byte_table(used: DataFrame) -> DataFrame:
+    """The byte vocabulary from the bytes' counts (term, freq)."""
+    spark = used.sparkSession
     fixed = spark.range(256).select(F.col("id").cast("int").alias("idx"), F.lower(F.hex("id")).alias("name"), F.lit(LEVELS["byte"]).alias("level"))
     table = fixed.join(used, F.col("idx") == F.col("term"), "left").select("idx", "name", "level", F.coalesce("freq", F.lit(0)).alias("freq"))
     ends = spark.createDataFrame([(256, "<s>", -1, -1), (257, "</s>", -1, -1)], "idx int, name string, level int, freq bigint")

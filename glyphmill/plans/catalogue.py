@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from glyphmill.operators import merges as G
 from glyphmill.operators import quality as Q
 from glyphmill.operators import vocab as V
 from glyphmill.plans import sql as S
-from glyphmill.sources import files
+from glyphmill.sources import files, textfiles
 from glyphmill.sources.folder import shared_folder, written
 from glyphmill.sources.reader import EQUAL_LENGTH, RANDOM, BatchReader
 
@@ -41,6 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_place(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -144,6 +150,32 @@ def vocab_class_source(spark, sf_dir):
     return shown(V.learn_classes(documents(spark, sf_dir), "source"))
 
 
+def counts_file(freqs: DataFrame, n_lines: int) -> str:
+    """A file of counts in the shared folder."""
+    path = new_place(freqs.sparkSession, "counts")
+    files.write_freqs(freqs, path, n_lines)
+    return path
+
+
+def learned_from_file(spark: SparkSession, counts: str, scheme: str, **settings: object) -> DataFrame:
+    """The vocabulary that a file of counts gives, read back from its own file."""
+    model = new_place(spark, "model")
+    textfiles.learn_file(spark, counts, model, scheme, counted=True, **settings)
+    return shown(files.load(spark, model)[0])
+
+
+@query(f"WITH {S.char_freq()}, {S.init_vocab('v', 'f', S.LINES, 0, 0.9995, 20)} SELECT * FROM v")
+def vocab_char_from_counts(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return learned_from_file(spark, counts_file(written(N.char_freq(docs), "chars"), V.line_count(docs)), "char")
+
+
+@query(f"WITH {S.word_freq()}, {S.init_vocab('v', 'f', S.LINES, 2, min_freq=5, size=3000)} SELECT * FROM v")
+def vocab_word_from_counts(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return learned_from_file(spark, counts_file(written(N.word_freq(docs), "words"), V.line_count(docs)), "word", min_freq=5, size=3000)
+
+
 BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS INTEGER))"
 
 
@@ -200,6 +232,43 @@ def encode_char(spark, sf_dir):
     return as_text(C.encode_chars(turns(spark, sf_dir), KEYS, V.learn_chars(documents(spark, sf_dir))))
 
 
+def line_file(spark: SparkSession, sf_dir: str) -> str:
+    """A file with the words of each turn as a line, in order."""
+    path = new_place(spark, "lines")
+    files.write_lines(turns(spark, sf_dir).select(*KEYS, "text", F.coalesce(F.array_join(T.words(F.col("text")), " "), F.lit("")).alias("line")), path, [*KEYS, "text"])
+    return path
+
+
+def model_file(vocab: DataFrame, scheme: str) -> str:
+    path = new_place(vocab.sparkSession, "model")
+    files.write_vocab(written(vocab, "vocab"), path, scheme=scheme)
+    return path
+
+
+FILE_LINES = "SELECT row_number() OVER (ORDER BY conv_id, turn, text NULLS FIRST) - 1 AS id,"
+FILE_WORDS = f"""WITH {S.word_freq()}, {S.init_vocab("v", "f", S.LINES, 2, min_freq=2)}, m AS (SELECT *, row_number() OVER () AS m FROM conversations),
+    pc AS (SELECT m, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM (SELECT m, {S.words("text")} AS p FROM m)),
+    e AS (SELECT m, string_agg(CAST(coalesce(v.idx, 1) AS VARCHAR), ' ' ORDER BY pos) AS ids, string_agg(coalesce(v.name, '<unk>'), ' ' ORDER BY pos) AS words FROM pc LEFT JOIN v ON v.name = pc.piece GROUP BY m)"""
+
+
+@query(f"{FILE_WORDS} {FILE_LINES} coalesce(ids, '') AS ids, coalesce(words, '') AS text FROM m LEFT JOIN e USING (m)")
+def text_file_round_trip(spark, sf_dir):
+    """Text files of words, of ids and of words again, by their line numbers."""
+    model = model_file(V.learn_words(documents(spark, sf_dir), min_freq=2), "word")
+    ids, words = new_place(spark, "ids"), new_place(spark, "words")
+    textfiles.encode_file(spark, line_file(spark, sf_dir), ids, model, indices=True)
+    textfiles.decode_file(spark, ids, words, model, indices=True)
+    return files.numbered_lines(spark, ids).withColumnRenamed("text", "ids").join(files.numbered_lines(spark, words), "id")
+
+
+@query(f"{FILE_LINES} coalesce(array_to_string({CHARS}, ' '), '') AS text FROM conversations")
+def text_file_char_names(spark, sf_dir):
+    """A text file of the names of characters, by its line numbers."""
+    names = new_place(spark, "names")
+    textfiles.encode_file(spark, line_file(spark, sf_dir), names, model_file(V.learn_chars(documents(spark, sf_dir)), "char"))
+    return files.numbered_lines(spark, names)
+
+
 @query(
     f"""WITH v AS (SELECT row_number() OVER (ORDER BY name) - 1 AS idx, name FROM (SELECT DISTINCT {S.strip("source")} AS name FROM documents WHERE lang = 'en'))
     SELECT doc_id, CAST(coalesce(v.idx, -1) AS VARCHAR) AS ids FROM documents LEFT JOIN v ON v.name = {S.strip("source")}"""
@@ -501,7 +570,9 @@ def oov_report(spark, sf_dir):
     return Q.oov_report(N.word_freq(table(spark, sf_dir, "benchmark")), V.learn_words(documents(spark, sf_dir), min_freq=2))
 
 
-GRAMS = f"""WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
+def grams(text: str = "text", source: str = "conversations") -> str:
+    """CTEs that end in m: what is measured of each word."""
+    return f"""c AS (SELECT conv_id, turn, {text} AS text FROM {source} WHERE role = 'user'), r AS (SELECT conv_id, turn - 1 AS turn, {text} AS text FROM {source} WHERE role = 'assistant'),
     cg AS (SELECT conv_id, turn, gram, count(*) AS n FROM (SELECT conv_id, turn, unnest({S.words("text")}) AS gram FROM c SEMI JOIN r USING (conv_id, turn)) GROUP BY ALL),
     rg AS (SELECT conv_id, turn, gram, count(*) AS n FROM (SELECT conv_id, turn, unnest({S.words("text")}) AS gram FROM r SEMI JOIN c USING (conv_id, turn)) GROUP BY ALL),
     both_ AS (SELECT gram, coalesce(cg.n, 0) AS c, coalesce(rg.n, 0) AS r FROM cg FULL OUTER JOIN rg USING (conv_id, turn, gram)),
@@ -509,6 +580,9 @@ GRAMS = f"""WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role
       coalesce(avg(CASE WHEN c > 0 THEN least(c, r) / c::DOUBLE END), 1.0) AS "precision" FROM both_ GROUP BY gram)"""
 
 
+GRAMS = f"WITH {grams()}"
+
+
 @query(
     f"""{GRAMS} SELECT gram, ref_freq, cand_freq, round(recall, 6) AS recall, round("precision", 6) AS "precision",
     round(CASE WHEN recall + "precision" = 0 THEN 0.0 ELSE 2 * recall * "precision" / (recall + "precision") END, 6) AS f1 FROM m"""
@@ -520,6 +594,24 @@ def gram_precision_recall(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "f1")})
 
 
+@query(
+    f"""WITH {S.word_freq()}, {S.init_vocab("v", "f", S.LINES, 2, min_freq=2)}, {S.encoded(S.words("text"), "v", "CAST(coalesce(v.idx, 1) AS VARCHAR)")}, {grams("ids", "encoded")},
+    listed AS (SELECT gram, count(*) AS n FROM (SELECT unnest({S.words("ids")}) AS gram FROM encoded) GROUP BY gram),
+    t AS (SELECT row_number() OVER (ORDER BY n DESC, l.gram) AS rank, l.gram, v.name, n, coalesce(ref_freq, -1) AS rf, coalesce(cand_freq, -1) AS cf, coalesce(recall, 0) AS r, coalesce("precision", 1) AS p
+      FROM listed l JOIN v ON v.idx = CAST(l.gram AS INTEGER) LEFT JOIN m ON m.gram = l.gram)
+    SELECT rank, concat_ws(chr(9), rank, t.gram, name, n, rf, cf, printf('%g', r::DOUBLE), printf('%g', p::DOUBLE), printf('%g', CASE WHEN m.gram IS NULL OR r + p = 0 THEN 0 ELSE 2 * r * p / (r + p) END::DOUBLE)) AS line
+    FROM t LEFT JOIN (SELECT gram FROM m) m USING (gram)"""
+)
+def gram_report(spark, sf_dir):
+    """The lines of the table of all listed words, by ids of a vocabulary: frequencies, recall, precision and F1 of users' words in the answers."""
+    vocab = written(V.learn_words(documents(spark, sf_dir), min_freq=2), "vocab")
+    encoded = written(C.encode_words(turns(spark, sf_dir), [*KEYS, "role"], vocab), "encoded")
+    lines = encoded.select(*KEYS, "role", F.array_join("ids", " ").alias("text"))
+    refs = lines.where("role = 'assistant'").withColumn("turn", F.col("turn") - 1)
+    measured = Q.precision_recall(lines.where("role = 'user'"), refs, KEYS)
+    return files.gram_lines(Q.gram_table(Q.id_grams(encoded, 1, vocab), measured))
+
+
 # parallel text and batches
 
 
@@ -557,12 +649,19 @@ def bitext_drop_long(spark, sf_dir):
     return joined(P.without_long(word_pairs(spark, sf_dir), 40, 60))
 
 
+@query(
+    f"""WITH {S.BITEXT}, wp AS (SELECT {S.words('x')} AS x, {S.words('y')} AS y FROM pairs), k AS (SELECT least(len(x), len(y)) < 5 AS s, len(x) >= 40 OR len(y) >= 60 AS l FROM wp)
+    SELECT count(*) AS n, count(*) FILTER (s) AS too_short, count(*) FILTER (NOT s AND l) AS too_long, count(*) FILTER (NOT s AND NOT l) AS kept FROM k"""
+)
+def bitext_length_report(spark, sf_dir):
+    both = pairs(spark, sf_dir).select(T.words(F.col("x")).alias("x"), T.words(F.col("y")).alias("y"))
+    return P.length_report(both, 40, 60, least=5)
+
+
 @query()
 def store_part_manifest(spark, sf_dir):
     """A store of the encoded pairs in parts of at most 200 rows, read back part by part."""
-    import uuid
-
-    path = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = new_place(spark, "store")
     files.write_store(word_pairs(spark, sf_dir), path, parts=2, part_size=200)
     return files.manifest(files.read_store(spark, path))
 
@@ -634,9 +733,7 @@ def batch_stats(spark, sf_dir):
 
 def stored_batches(spark: SparkSession, sf_dir: str, sort_by: str | None) -> DataFrame:
     """One pass over a store of encoded pairs, parts by ranges of ids."""
-    import uuid
-
-    path = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = new_place(spark, "store")
     one = lambda w: F.char_length(w) + 3
     rows = word_pairs(spark, sf_dir).withColumns({s: F.transform(s, one) for s in "xy"})
     rows = rows.withColumn("part", B.parts(rows, READ_PART))

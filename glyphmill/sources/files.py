@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators.vocab import SCHEMA, as_row
+from glyphmill.sources.folder import written
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -16,19 +17,30 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths), lineSep="\n").withColumnRenamed("value", "text")
 
 
+#: Pieces of files up to which their first line numbers go to all executors.
+LISTED_PIECES = 1_000_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text) with line numbers from 0.
+    """(id, text) with line numbers from 0, over a file or the files of a folder in the order of their names.
 
-    Files carry no key. A row's place within its partition comes from the JVM's own
-    numbering, and partitions are counted first; the plan is read twice with the same
-    splits, in the order of the files.
+    Files carry no key. A scan hands out pieces of files in any order, so lines are
+    counted for each piece (a file and where in it the piece begins), and a line adds what
+    stands before its piece to its place there, which the JVM's own numbering gives; the
+    plan is read twice with the same pieces.
     """
-    rows = read_lines(spark, path).select(F.monotonically_increasing_id().alias("place"), "text")
-    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each partition
-    return rows.withColumn("part", part).join(F.broadcast(starts), "part").select((F.col("start") + at).alias("id"), "text")
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin")]
+    rows = spark.read.text(path, lineSep="\n").select(*at, F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+    sizes = written(rows.groupBy("file", "begin").agg(F.count("*").alias("n"), F.min("place").alias("first")), "pieces")
+    before = Window.orderBy("file", "begin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "begin", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = F.broadcast(starts) if sizes.count() <= LISTED_PIECES else starts
+    return rows.join(starts, ["file", "begin"]).select((F.col("start") + F.col("place") - F.col("first")).alias("id"), "text")
+
+
+def write_lines(rows: DataFrame, path: str, order: list, line: str = "line") -> None:
+    """A folder of text files that hold a column's lines in an order; sorted by ranges, so no task holds all of them. The rows are written once, as the sort reads them twice."""
+    written(rows.select(*order, line), "lines").orderBy(*order).select(line).write.text(path, lineSep="\n")
 
 
 def read_bitext(spark: SparkSession, src: str, tgt: str) -> DataFrame:
@@ -123,6 +135,30 @@ def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.from_json(F.col("v")[0], "array<int>").alias("ids"), F.col("v")[1].cast("long").alias("freq"), F.from_json(F.col("v")[2], "array<string>").alias("names"))
 
 
+def general(x: Column) -> Column:
+    """A number from 0 to 1 with six digits that count, without zeros at its end; below 0.0001 as a power of ten."""
+    out = F.format_string("%.5e", x)
+    for digits, least in ((9, 9.999995e-5), (8, 1e-3), (7, 1e-2), (6, 1e-1), (5, 1.0)):
+        out = F.when(x >= least, F.format_string(f"%.{digits}f", x)).otherwise(out)
+    return F.when(x == 0, "0").otherwise(F.regexp_replace(out, r"\.?0+(?=e|$)", ""))
+
+
+#: The columns of a table of listed n-grams.
+GRAM_COLUMNS = ("Rank", "Gram", "Name", "RankF", "RefF", "CandF", "Recall", "Precision", "F1")
+
+
+def gram_lines(table: DataFrame) -> DataFrame:
+    """(rank, line) of a table of listed n-grams (``quality.gram_table``): nine columns between tabs, ids and names with commas between."""
+    commas = lambda c: F.replace(c, F.lit(" "), F.lit(","))
+    cells = [F.col("rank").cast("string"), commas("gram"), commas("name"), *[F.col(c).cast("string") for c in ("rank_freq", "ref_freq", "cand_freq")], *[general(F.col(c)) for c in ("recall", "precision", "f1")]]
+    return table.select("rank", F.concat_ws("\t", *cells).alias("line"))
+
+
+def write_gram_table(table: DataFrame, path: str) -> None:
+    head = table.sparkSession.createDataFrame([(0, "\t".join(GRAM_COLUMNS))], "rank bigint, line string")
+    write_lines(gram_lines(table).unionByName(head), path, ["rank"])
+
+
 def write_store(pairs: DataFrame, path: str, parts: int | None = None, part_size: int = 5_000_000, overwrite: bool = False, by: str | None = None) -> None:
     """Parquet parts of at most so many rows; the committer's _SUCCESS tells that all are there. by: a column whose values are the parts."""
     rows = pairs.repartition(by) if by else pairs.repartition(parts) if parts else pairs

@@ -110,3 +110,96 @@ def test_stores_reports_and_layouts(spark, tmp_path):
     got = [tuple(r) for r in Q.gram_table(grams, Q.precision_recall(cand, ref, ["id"])).orderBy("rank").collect()]
     assert got == [(1, "4", "four", 9, 2, 1, 0.5, 1.0, pytest.approx(2 / 3)), (2, "7", "seven", 5, -1, -1, 0.0, 1.0, 0.0)]
     assert [r["gram"] for r in Q.precision_recall(cand, ref, ["id"], universe=ref.select(F.lit("6").alias("gram"))).collect()] == ["6"]
+
+
+def test_lines_of_a_folder_are_numbered_in_the_order_of_its_files(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [f"line {i} " + "x" * (i % 7 * 50) for i in range(900)]
+    at = 0
+    for k, n in enumerate((5, 400, 1, 0, 494)):  # larger files are scanned first
+        (tmp_path / f"part-{k}.txt").write_text("".join(f"{x}\n" for x in rows[at : at + n]))
+        at += n
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("3000", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for listed in (files.LISTED_PIECES, 0):
+                monkeypatch.setattr(files, "LISTED_PIECES", listed)
+                got = [tuple(r) for r in files.numbered_lines(spark, f"file://{tmp_path}").orderBy("id").collect()]
+                assert got == list(enumerate(rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    files.write_lines(spark.createDataFrame([(2, "b"), (1, ""), (3, "c")], "id long, line string"), f"{tmp_path}/out", ["id"])
+    assert [r["text"] for r in files.numbered_lines(spark, f"{tmp_path}/out").orderBy(F.col("id")).collect()] == ["", "b", "c"]
+
+
+def test_text_files_are_encoded_and_decoded_by_every_scheme(spark, tmp_path):
+    import pytest
+
+    from glyphmill.sources import textfiles as X
+
+    texts = ["aab  ab b", "", "b aab é", "ab"]
+    (tmp_path / "in.txt").write_text("".join(f"{t}\n" for t in texts))
+    inp, read = f"file://{tmp_path}/in.txt", lambda p: [r["text"] for r in files.numbered_lines(spark, p).orderBy("id").collect()]
+    plain = [" ".join(t.split()) for t in texts]
+    expected = {"char": plain, "word": plain, "subword": plain, "byte": texts, "class": texts}
+    settings = {"char": {"min_freq": 1, "coverage": 0.0}, "subword": {"size": 20, "coverage": 0.0, "min_co_evidence": 2}}
+    for scheme, texts_back in expected.items():
+        model = f"{tmp_path}/{scheme}"
+        X.learn_file(spark, inp, model, scheme, **settings.get(scheme, {}))
+        for indices in (True, False):
+            out = f"{model}-{indices}"
+            X.encode_file(spark, inp, f"{out}-e", model, indices)
+            X.decode_file(spark, f"{out}-e", f"{out}-d", model, indices)
+            if scheme == "class" and not indices:  # words of a label are labels once they are names in a line
+                assert read(f"{out}-d") == [",".join(t.split()) for t in texts]
+            else:
+                assert read(f"{out}-d") == texts_back, (scheme, indices)
+    assert read(f"{tmp_path}/char-False-e")[0] == "a a b ▁ a b ▁ b" and read(f"{tmp_path}/byte-True-e")[3] == "97 98"
+    assert read(f"{tmp_path}/subword-False-e")[1] == "▁" and read(f"{tmp_path}/byte-False-e")[2].endswith("c3 a9")
+    got = X.estimate_file(spark, inp, f"{tmp_path}/word").first()
+    assert (got["n_tokens"], got["unk_count"], got["mean_seq_len"]) == (7, 0, 1.75)
+    (tmp_path / "bad.txt").write_text("7 x\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        X.decode_file(spark, f"file://{tmp_path}/bad.txt", f"{tmp_path}/bad", f"{tmp_path}/word", True)
+
+
+def test_counts_teach_what_texts_teach(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from glyphmill.operators import schemes
+
+    rows = spark.createDataFrame([("aab ab b",), ("b aab",), ("",), (None,)], "text string")
+    words = N.word_freq(rows).union(spark.createDataFrame([(None, 3)], "term string, freq long"))
+    doubled = words.withColumn("freq", F.col("freq") * 2).union(words.withColumn("freq", -F.col("freq")))  # equal terms add up
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(schemes.learn_from_counts(doubled, "word", 3), V.learn_words(rows))
+    more = {"size": 9, "coverage": 0.0, "min_co_evidence": 2}
+    assert same(schemes.learn_from_counts(words, "bpe", 3, **more), schemes.learn_vocab(rows, "bpe", **more))
+    assert same(schemes.learn_from_counts(N.char_freq(rows), "char", 3, min_freq=2), V.learn_chars(rows, min_freq=2))
+    labels = rows.where("text <> ''").select(F.concat(F.lit(" "), "text").alias("text"))
+    assert same(schemes.learn_from_counts(N.counted(labels.select(F.col("text").alias("term"))), "class"), V.learn_classes(labels, "text"))
+    assert same(schemes.learn_from_counts(N.counted(rows.select(F.col("text").alias("term"))), "byte"), V.byte_vocab(rows))
+    assert schemes.learn_from_counts(words.limit(0), "word", -1).where("freq <> -1").isEmpty()
+
+
+def test_tables_of_grams_and_reports_of_lengths(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from glyphmill.operators import bitext as P
+    from glyphmill.operators import quality as Q
+
+    values = [0.0, 1.0, 0.5, 1 / 3, 2 / 3, 0.1, 0.0999999999, 0.01234567, 1e-4, 9.9999999e-5, 0.00012345678, 1.5e-7, 5e-5, 0.999999999]
+    got = [r["x"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(files.general(F.col("v")).alias("x")).collect()]
+    assert got == [f"{v:g}" for v in values]
+    vocab = V.learn_words(spark.createDataFrame([("a a b",)], "text string"))
+    grams = Q.id_grams(spark.createDataFrame([([6, 7, 6, 7],), ([],), (None,)], "ids array<int>"), 2, vocab)
+    assert sorted(map(tuple, grams.collect())) == [([6, 7], 2, ["a", "b"]), ([7, 6], 1, ["b", "a"])]
+    measured = spark.createDataFrame([("6 7", 3, 1, 1 / 3, 1.0, 0.5)], "gram string, ref_freq long, cand_freq long, recall double, precision double, f1 double")
+    files.write_gram_table(Q.gram_table(grams, measured), f"{tmp_path}/t")
+    lines = [r["text"] for r in files.numbered_lines(spark, f"{tmp_path}/t").orderBy("id").collect()]
+    assert lines == ["Rank\tGram\tName\tRankF\tRefF\tCandF\tRecall\tPrecision\tF1", "1\t6,7\ta,b\t2\t3\t1\t0.333333\t1\t0.5", "2\t7,6\tb,a\t1\t-1\t-1\t0\t1\t0"]
+    pairs = spark.createDataFrame([([1], [1, 2]), ([], [1]), (None, [1]), ([1] * 4, [1]), ([1, 2], [1] * 3)], "x array<int>, y array<int>")
+    assert tuple(P.length_report(pairs, 4, 5).first()) == (5, 2, 1, 2) and P.without_short(pairs, 2).count() == 1
+    assert tuple(P.length_report(pairs.limit(0), 4, 5).first()) == (0, 0, 0, 0)

@@ -3,7 +3,7 @@
 A document's own counts, and a hash and a size of each of its lines, come from one pass
 over its text. The method's verdict comes from other documents: normalised lines are
 hashed, the distinct documents that hold each are counted per host, lines above the
-limit are taken out, and documents left with too few of their words are rejected.
+limit, which grows with the host, are taken out, and documents left with too few of their words are rejected.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ NO_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: A line is boilerplate where more distinct documents of its host hold it: ten texts that share a line by chance are rare, templates and notices go on without end.
-MOST_DOCUMENTS = 10
+#: A line is boilerplate where more distinct documents of its host hold it than this number and than one in SHARE of them: ten texts of a small host that share a line by chance are rare, and so is a thousandth of a large host's.
+MOST_DOCUMENTS, SHARE = 10, 1000
 #: The share of its words that a document must keep.
 LEAST_KEPT = 0.5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -85,7 +85,10 @@ def boilerplate_words(rows: DataFrame) -> DataFrame:
     """
     texts = written(rows.groupBy("host", "copy").agg(F.first("lines").alias("lines")), "texts")
     held = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.line))).alias("line"))
-    common = written(held.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > MOST_DOCUMENTS).select("host", "line"), "common-lines")
+    often = held.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > MOST_DOCUMENTS).alias("o")
+    sizes = texts.groupBy("host").agg(F.count("*").alias("size")).alias("h")
+    above = often.join(sizes, F.col("o.host").eqNullSafe(F.col("h.host"))).where(SHARE * F.col("docs") > F.col("size"))
+    common = written(above.select("o.host", "line"), "common-lines")
     one = texts.select("copy", "host", F.explode("lines").alias("x")).select("copy", "host", "x.line", "x.n").alias("a")
     on = F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line"))
     return one.join(common.alias("b"), on, "left_semi").groupBy("host", "copy").agg(F.sum("n").alias("boilerplate"))
@@ -124,7 +127,9 @@ def oracle() -> str:
     rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS j FROM twice) GROUP BY rid),
     texts AS (SELECT source, text, any_value(plain) AS plain FROM w GROUP BY source, text),
     l AS (SELECT source, text, unnest(plain) AS line FROM texts),
-    common AS (SELECT source, line FROM (SELECT DISTINCT source, text, line FROM l) GROUP BY source, line HAVING count(*) > {MOST_DOCUMENTS}),
+    sizes AS (SELECT source, count(*) AS size FROM texts GROUP BY source),
+    often AS (SELECT source, line, count(*) AS docs FROM (SELECT DISTINCT source, text, line FROM l) GROUP BY source, line HAVING count(*) > {MOST_DOCUMENTS}),
+    common AS (SELECT o.source, line FROM often o JOIN sizes h ON h.source IS NOT DISTINCT FROM o.source WHERE {SHARE} * docs > size),
     gone AS (SELECT l.source, l.text, CAST(sum(len(string_split(l.line, ' '))) AS BIGINT) AS n FROM l JOIN common c ON c.line = l.line AND c.source IS NOT DISTINCT FROM l.source GROUP BY l.source, l.text),
     base AS (SELECT w.rid, w.doc_id, w.source, w.text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
       CAST(length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,

@@ -46,6 +46,15 @@ def test_boilerplate_is_counted_by_distinct_documents_of_a_host(spark):
     assert all(got[i] == (True, 0) for i in got if i >= 100)
 
 
+def test_the_limit_grows_with_the_host(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SHARE", 4)
+    own = lambda i: " ".join(chr(97 + i % 26) * (1 + i // 26) + chr(97 + k) for k in range(25))
+    line = " ".join(f"same{k}" for k in range(40))
+    rows = [(i, own(i) + (f"\n{line}" if i % 60 < n else ""), None if n == 15 else "s") for n, at in ((15, 0), (16, 60)) for i in range(at, at + 60)]
+    got = {r["doc_id"]: r["kept"] for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i in got if not got[i]} == set(range(60, 76))  # 15 of 60 are a quarter, 16 are more
+
+
 def test_repeated_rows_are_judged_each_by_its_own_text(spark):
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(32))
     line = " ".join(f"same{k}" for k in range(8))

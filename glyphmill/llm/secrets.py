@@ -47,8 +47,16 @@ CLASSES = (
 WORD = r"(?:(?:[A-Z]?[a-z]{1,16}|[A-Z]{1,16}|[A-Z]?[a-z]{2,12}(?:[A-Z][a-z]{2,12}){1,4})[0-9]{0,4}|[0-9]{1,16})"
 #: Words with separators between them only.
 WORDS = rf"^[+/_=-]*+(?:{WORD}(?:[+/_=-]++|$))*+$"
-#: Letters only, and all of them in words: parts of names in mixed case, short ones of them, or capitals up to a separator.
-NAME = r"^[+/_=-]*+(?:(?:[A-Z]{0,5}[a-z]{2,20}|As|At|By|Do|Go|Id|If|In|Is|It|My|No|Of|On|Or|To|Up|[A-Z]{1,16}(?=[+/_=-]|$))[+/_=-]*+)*+$"
+#: Letters, all of them in words, and a short number after a word or V where a part ends, or as a part after a word: parts of names in mixed case, short ones of them, or capitals up to a separator.
+NAME = (
+    r"^[+/_=-]*+(?:(?:[A-Z]{0,5}[a-z]{2,20}|As|At|By|Do|Go|Id|If|In|Is|It|My|No|Of|On|Or|To|Up|[A-Z]{1,16}(?=[+/_=-]|$)|"
+    r"(?:(?<=[a-z])|(?<=[a-z][/_-])|V)[0-9]{1,4}(?=[+/_=-]|$))[+/_=-]*+)*+$"
+)
+#: A word that tells the name of a version, a build or a platform, all of whose parts are numbers or words with a number after them.
+VERSION = (
+    r"^(?=(?:.*[+_-])?(?:rc|alpha|beta|build|release|snapshot|dev|nightly|linux|windows|win|darwin|macos|x86|amd64|x64|arm64|aarch64)[0-9]{0,8}(?:[+_-]|$))"
+    r"(?:(?:[a-z]{1,12}[0-9]{0,8}|[0-9]{1,8})(?:[+_-]++|$))++$"
+)
 #: What is no secret, however it looks.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -56,6 +64,7 @@ ALLOWED = (
     r"^(?:https?|www)[:/]",
     rf"^(?=/?[^/]++/[^/]++/)[/_-]*+(?:{WORD}(?:[/_-]++|$))*+$",
     NAME,
+    VERSION,
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
 )
 SPAN = "array<struct<start:int,kind:int,stop:int>>"

@@ -104,6 +104,23 @@ def test_tokens_without_a_name_are_found_and_prose_is_not(spark):
     assert len(hit) >= 147 and max(hit) < 1000
 
 
+def test_names_with_numbers_and_versions_are_no_secrets(spark):
+    import random
+    import string
+
+    names = (
+        "ThisIsAVeryLongCamelCaseIdentifier2", "AbstractSingletonProxyFactoryBean123", "v1.2.3-rc4-build20240501-linux-amd64", "my_very_long_snake_case_name_42", "HttpRequestHandlerV2-DefaultConfiguration10",
+        "release-20240501-linux-x86_64", "package-build12-nightly-aarch64",
+    )
+    rng = random.Random(9)
+    forms = ((string.ascii_letters + string.digits, 24), (string.ascii_lowercase + string.digits, 28), (string.ascii_letters + string.digits + "-_", 32), (string.ascii_letters + string.digits + "+/", 40))
+    tokens = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in forms for _ in range(100)]
+    tokens += ["-".join("".join(rng.choice(string.ascii_lowercase + string.digits) for _ in range(5)) for _ in range(5)) for _ in range(100)]
+    rows = [(i, f"see {x} here") for i, x in enumerate([*names, *tokens])]
+    hit = {r["id"] for r in secret_scan(spark.createDataFrame(rows, "id long, text string")).where(F.size("all_spans") > 0).select("id").collect()}
+    assert min(hit) >= len(names) and len(hit) >= 475
+
+
 def test_many_matches_take_no_square_of_time(spark):
     import time
 

@@ -23,11 +23,16 @@ def test_rules_in_order(spark):
 def test_every_known_sentence_may_be_found(spark):
     import re
 
-    known = [s for v in licences.SENTENCES.values() for s in v]
+    known = [s for v in licences.ALL_SENTENCES.values() for s in v]
     assert len(set(known)) == len(known)
     may = re.compile(licences.MAY)
     needs = [s for s in known if not may.search(s)]
-    assert all(k.startswith(("mi4", "mi5", "ap", "gp", "bs")) for k, v in licences.SENTENCES.items() if set(v) & set(needs))
+    assert not needs or all(k.startswith(("mi4", "mi5", "ap", "gp", "bs")) for k, v in licences.SENTENCES.items() if set(v) & set(needs))
+    # each stands for its own identifier, and no other sentence is found in its place
+    some = known[:60] + known[60::37]
+    rows = spark.createDataFrame(list(enumerate(some)), "id long, text string")
+    of = {s: k for k, v in licences.ALL_SENTENCES.items() for s in v}
+    assert all(r["sentence_ids"] == [of[r["text"]]] for r in licences.licence_scan(rows).collect())
 
 
 MIT_FILE = """MIT License
@@ -94,7 +99,56 @@ GNU General Public License for more details.
 You should have received a copy of the GNU General Public License
 along with this program.  If not, see <https://www.gnu.org/licenses/>.
 """
+GPL_2_HEADER = GPL_HEADER.replace("version 3", "version 2").split("You should")[0]
+LGPL_HEADER = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+EPL_HEADER = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+"""
+ISC_FILE = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+UNLICENSE_FILE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+ZLIB_FILE = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+BOOST_FILE = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
 OFFICIAL = {"MIT": (MIT_FILE, "mi2 mi3 mi4 mi5"), "BSD-3-Clause": (BSD_FILE, "ar1 bs1 bs2 bs3 bs4"), "Apache-2.0": (APACHE_HEADER, "ap1 ap2 ap3 ap4 ap5"), "GPL-3.0-or-later": (GPL_HEADER, "gp2 gp3 gp4 gp5")}
+OFFICIAL |= {
+    "GPL-2.0-or-later": (GPL_2_HEADER, "gt1 gp3 gp4"), "LGPL-2.1-or-later": (LGPL_HEADER, "lg1"), "AGPL-3.0-or-later": (AGPL_HEADER, "ag1"), "MPL-2.0": (MPL_HEADER, "mp1 mp2"), "EPL-2.0": (EPL_HEADER, "ep1"),
+    "ISC": (ISC_FILE, "is1"), "Unlicense": (UNLICENSE_FILE, "un1 un2"), "Zlib": (ZLIB_FILE, "zl1 zl2"), "BSL-1.0": (BOOST_FILE, "bo1"),
+}
 
 
 @pytest.mark.parametrize("prefix", ["", "# ", "// ", " * ", ";; ", "REM ", "dnl ", "\t", "-- | "])
@@ -110,6 +164,21 @@ def test_where_sentences_go_on(spark):
     assert got == [["Proprietary"], ["Proprietary"], [], [], [], ["GPL-3.0-or-later"], ["Proprietary"], []]
 
 
+def test_one_line_names_a_licence(spark):
+    lines = {
+        "SPDX-License-Identifier: MIT": ["MIT"], "// SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"], "/* SPDX-License-Identifier: GPL-2.0-only */": ["GPL-2.0-only"], "# spdx-license-identifier:BSD-3-Clause\nx": ["BSD-3-Clause"],
+        "Released under the MIT License, see LICENSE.": ["MIT"], "Licensed under the Apache License 2.0; see LICENSE for details.": ["Apache-2.0"], "Licensed under GPLv2.": ["GPL-2.0"], "Distributed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1"],
+        "This project is licensed under the Mozilla Public License 2.0.": ["MPL-2.0"], "Available under the ISC license!": ["ISC"], "This code is licensed under the Unlicense": ["Unlicense"], "Released under the Boost Software License, Version 1.0.": ["BSL-1.0"],
+        "SPDX-License-Identifier: MIT OR Foo": [], "We like the MIT License.": [], "Licensed under GPLv2 or something else": [],
+    }
+    assert scan(spark, *lines) == list(lines.values())
+    con = duckdb.connect()
+    con.register("d", spark.createDataFrame([*enumerate(lines), (1, "All rights reserved."), (1, None)], "doc_id long, text string").toPandas())
+    con.execute("CREATE VIEW documents AS SELECT * FROM d")
+    found = con.execute(SQL["op5_licences"]).fetchall()
+    assert sorted((r[0], r[3]) for r in found) == sorted([*((i, ",".join(v)) for i, v in enumerate(lines.values())), (1, "Proprietary"), (1, "")])
+
+
 def test_same_as_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")

@@ -41,6 +41,8 @@ SIMILAR = 90
 DIMS = 128
 #: Entries of a page.
 FAN = 32
+#: Regions that an entry names: its first ones, from which pages see whether two entries meet in an earlier region.
+NAMED = 16
 #: Members from which a cell tells sets apart; cells with fewer are entered only where others don't suffice.
 STRONG = 2
 G1, G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -201,13 +203,28 @@ def reaches(of_a: Column, of_b: Column) -> Column:
     return run(of_a, of_b)
 
 
+def met_before(region: int, lefts: list[np.ndarray], rights: list[np.ndarray]) -> np.ndarray:
+    """Whether two entries name a common region that comes before this one, for all pairs of both sides.
+
+    Entries name their first regions in order. If two have a common name, the least is
+    the first region of all that they share: an earlier one would be among the first of both. So
+    such a pair is left to one region; a pair without a common name is left to none.
+    """
+    both = [*lefts, *rights]
+    names, at = np.unique(np.concatenate(both), return_inverse=True)
+    has = np.zeros((len(both), len(names)), np.float32)
+    has[np.repeat(np.arange(len(both)), [len(x) for x in both]), at] = 1
+    has = has[:, names < region]
+    return has[: len(lefts)] @ has[len(lefts) :].T > 0
+
+
 def pages_of(entries: DataFrame) -> DataFrame:
     """(region, page, entries): FAN entries are one page, a bounded row.
 
-    entries: (region, page, low, high, n, c): an entry's number, the least and the greatest label
-    below it, the size of its least set, and the upper ends of its coordinates.
+    entries: (region, page, low, high, n, c, regions): an entry's number, the least and the greatest label
+    below it, the size of its least set, the upper ends of its coordinates, and the regions it names.
     """
-    one = F.struct("page", "low", "high", "n", "c")
+    one = F.struct("page", "low", "high", "n", "c", "regions")
     return written(entries.groupBy("region", F.floor(F.col("page") / FAN).alias("parent")).agg(F.collect_list(one).alias("entries")).withColumnRenamed("parent", "page"), "pages")
 
 
@@ -222,25 +239,26 @@ def boxes_of(pages: DataFrame) -> DataFrame:
             yield pd.Series([packed(unpacked([e["c"] for e in row]).max(axis=0)) for row in rows], dtype=object)
 
     of = lambda f, name: f(F.transform("entries", lambda e: e[name]))
-    return pages.select("region", "page", of(F.array_min, "low").alias("low"), of(F.array_max, "high").alias("high"), of(F.array_min, "n").alias("n"), ends(F.col("entries")).alias("c"))
+    return pages.select("region", "page", of(F.array_min, "low").alias("low"), of(F.array_max, "high").alias("high"), of(F.array_min, "n").alias("n"), ends(F.col("entries")).alias("c"), F.array().cast("array<bigint>").alias("regions"))
 
 
 def opened(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    """(region, i, j), i <= j: the pairs of entries of two pages that may be similar and have not one label only. pairs: (region, i, j), i <= j."""
+    """(region, i, j), i <= j: the pairs of entries of two pages that may be similar, have not one label only and don't meet in an earlier region. pairs: (region, i, j), i <= j."""
 
     @F.pandas_udf("array<struct<i:bigint,j:bigint>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        from glyphmill.llm.ngramjoin import unpacked, within_reach
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from glyphmill.llm.ngramjoin import met_before, unpacked, within_reach
 
-        for lefts, rights in batches:
+        for regions, lefts, rights in batches:
             out = []
-            for left, right in zip(lefts, rights, strict=True):
+            for region, left, right in zip(regions.tolist(), lefts, rights, strict=True):
                 of = lambda page, name: np.array([e[name] for e in page], np.int64)
                 a, b = (unpacked([e["c"] for e in page]) for page in (left, right))
                 hit = np.stack([within_reach(x, b, n + of(right, "n")) for x, n in zip(a, of(left, "n"), strict=True)])
                 hit &= (of(left, "low")[:, None] != of(right, "high")) | (of(left, "high")[:, None] != of(right, "low"))
                 i, j = of(left, "page"), of(right, "page")
                 hit &= i[:, None] <= j
+                hit &= ~met_before(region, *([np.asarray(e["regions"], np.int64) for e in page] for page in (left, right)))
                 x, y = np.nonzero(hit)
                 out.append([{"i": p, "j": q} for p, q in zip(i[x].tolist(), j[y].tolist(), strict=True)])
             yield pd.Series(out, dtype=object)
@@ -248,7 +266,7 @@ def opened(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     of = lambda side: pages.select("region", F.col("page").alias(side), F.col("entries").alias(f"of_{side}"))
     alone = pairs.where("i = j").join(of("i"), ["region", "i"]).select("region", "of_i", F.col("of_i").alias("of_j"))
     both = pairs.where("i < j").join(of("i"), ["region", "i"]).join(of("j"), ["region", "j"]).select("region", "of_i", "of_j")
-    return alone.unionByName(both).select("region", F.explode(run(F.col("of_i"), F.col("of_j"))).alias("x")).select("region", "x.i", "x.j")
+    return alone.unionByName(both).select("region", F.explode(run(F.col("region"), F.col("of_i"), F.col("of_j"))).alias("x")).select("region", "x.i", "x.j")
 
 
 def tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
@@ -257,7 +275,8 @@ def tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
     placed = written(numbered(ordered, "region", "label", "z", "node"), "placed")
     first = placed.groupBy("region").agg(F.min("at").alias("first"))
     places = written(placed.join(first, "region").select("region", "label", "node", (F.col("at") - F.col("first")).alias("page")), "places")
-    entries = places.join(points.select("node", "n", "c"), "node").select("region", "page", F.col("label").alias("low"), F.col("label").alias("high"), "n", "c")
+    named = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("region")), 1, NAMED).alias("regions"))
+    entries = places.join(points.select("node", "n", "c"), "node").join(named, "node").select("region", "page", F.col("label").alias("low"), F.col("label").alias("high"), "n", "c", "regions")
     tops = places.groupBy("region").agg(F.max("page").alias("most"))
     steps = [pages_of(entries)]
     most = (tops.agg(F.max("most")).first()[0] or 0) // FAN

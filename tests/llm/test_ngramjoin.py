@@ -112,6 +112,27 @@ def test_regions_with_the_same_members_are_one(spark):
     assert sorted(map(tuple, kept)) == [(1, 7), (1, 8), (1, 9), (4, 7), (4, 8)]
 
 
+@pytest.mark.parametrize("named", [1, 2, 16])
+def test_pairs_are_left_to_one_region(spark, monkeypatch, named):
+    """Near copies share many regions; their trees find no pair again that an earlier one finds, and lose none."""
+    monkeypatch.setattr(J, "FAN", 3)
+    monkeypatch.setattr(J, "NAMED", named)
+    rng = random.Random(9)
+    texts = variants(rng, 2, 12, 80, 6)
+    described = [J.described(t) for t in texts]
+    inside = {(r, k) for k in range(len(texts)) for r in rng.sample([-(1 << 62), -5, -4, 3, 7, 1 << 60], 4)}
+    members = spark.createDataFrame([(r, k, k) for r, k in sorted(inside)], "region long, label long, node long")
+    points = spark.createDataFrame([(k, d[0], bytearray(d[3]), d[4]) for k, d in enumerate(described)], "node long, n long, c binary, z long")
+    opened, steps = J.opened, []
+    monkeypatch.setattr(J, "opened", lambda *a: steps.append(J.written(opened(*a), "opened")) or steps[-1])
+    got = {(r["a"], r["b"]) for r in J.tree_pairs(members, points).collect()}
+    whole = J.unpacked([d[3] for d in described])
+    meet = [(i, j) for j in range(len(texts)) for i in range(j) if any((r, i) in inside and (r, j) in inside for r, _ in inside)]
+    assert got == {(i, j) for i, j in meet if J.within_reach(whole[i], whole[j], np.int64(described[i][0] + described[j][0]))}
+    rows = steps[-1].where("i < j").count()
+    assert rows == len(got) if named > 4 else len(got) <= rows
+
+
 def test_query(spark):
     rows = duckdb.connect().execute(f"SELECT doc_id, text FROM read_parquet('{SF}/documents.parquet')").fetchall()
     assert found(QUERIES["op11_ngram_join"](spark, SF), ("doc_id", "n_shingles", "component_id")) == brute(rows)

@@ -18,7 +18,9 @@ shuffled, no occurrence.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -77,7 +79,7 @@ class Pair:
 
     def aligned(self, whole: bytes, a: list[int], b: list[int]) -> tuple | None:
         """One unit from its tokens: the side that is behind goes on until both end together."""
-        of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        of_a, of_b = [*map(self.bytes_a.__getitem__, a)], [*map(self.bytes_b.__getitem__, b)]
         if b"".join(of_a) != whole or b"".join(of_b) != whole:
             return None
         codes, groups = [], []
@@ -96,7 +98,7 @@ class Pair:
                 groups.append(f"{a[i]}|{b[j]}" if one else f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
                 from_a, from_b = i, j = i + 1, j + 1
                 if i == len(a):
-                    return len(a) << 32 | len(b), np.array(codes, np.int64).tobytes(), ";".join(groups)
+                    return len(a) << 32 | len(b), array("q", codes).tobytes(), ";".join(groups)
                 end_a += len(of_a[i])
                 end_b += len(of_b[j])
 
@@ -128,6 +130,17 @@ class Pair:
                 del self.young[u]
 
 
+    def forget(self) -> None:
+        """Drop the units, so that a worker that waits for other stages keeps the tokenizers only."""
+        self.young, self.old = {}, {}
+
+
+@lru_cache(maxsize=1)
+def loaded(path_a: str, path_b: str) -> Pair:
+    """The pair of a worker: to load it takes a CPU second, so tasks that follow one another share it."""
+    return Pair(path_a, path_b)
+
+
 def compressed(ordinals: np.ndarray) -> bytes:
     """Sorted ordinals as a bitmap: a list of 16-bit numbers (0 first) or a set of bits (1 first), whichever is shorter."""
     if len(ordinals) * 2 <= int(ordinals[-1]) // 8 + 1:
@@ -184,7 +197,7 @@ def inverted(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        from glyphmill.llm.align import CHUNK_DOCS, CHUNK_LINKS, ROW, Pair, planes
+        from glyphmill.llm.align import CHUNK_DOCS, CHUNK_LINKS, ROW, loaded, planes
         from glyphmill.llm.shared import settle
 
         pair, chunk = None, TaskContext.get().partitionId() << 32
@@ -201,7 +214,7 @@ def inverted(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([cells.get(f.name, pa.nulls(n, f.type)) for f in ROW], schema=ROW)
 
         for batch in batches:
-            pair = pair or Pair(path_a, path_b)
+            pair = pair or loaded(path_a, path_b)
             done: list[tuple] = []
             for i, (n_a, n_b, c, groups) in zip(batch.column(0).to_pylist(), pair.texts(batch.column(1).to_pylist()), strict=True):
                 n_links = len(c) // 8
@@ -220,6 +233,8 @@ def inverted(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         yield from entries()
         codes.clear()
         places.clear()
+        if pair:
+            pair.forget()
         settle()
 
     return docs.select("id", F.col("text")).mapInArrow(run, MADE)

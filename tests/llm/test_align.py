@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphmill.llm import align as A
@@ -124,3 +125,23 @@ def test_units_are_forgotten(tools, monkeypatch):
     found = [x for t in texts for x in pair.texts([t])]
     assert [(x[0], x[1], len(x[2]) // 8) for x in found] == [w[:3] for w in want] and " " + "y" * 500 not in pair.young.keys() | pair.old.keys()
     assert " two" in pair.young.keys() | pair.old.keys() and len(pair.old) + len(pair.young) < 14
+
+
+def test_tasks_of_a_worker_share_the_tokenizers(spark):
+    """Tokenizers are loaded once by a worker, not by each task, and units don't outlive a task."""
+    docs = spark.createDataFrame([(k, f"word{k} the of") for k in range(40)], "doc_id long, text string")
+
+    def run(batches):
+        import os
+
+        from glyphmill.llm import align
+
+        rows = [x for b in batches for x in b.column(0).to_pylist()]
+        before = align.loaded.cache_info()
+        pair = align.loaded(*FILES)
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "pair": [id(pair)], "misses": [align.loaded.cache_info().misses], "kept": [len(pair.young) + len(pair.old) if before.currsize else 0], "n": [len(rows)]})
+
+    A.ship(spark)
+    A.align(docs.repartition(12), *FILES)[0].collect()
+    seen = docs.repartition(12).mapInArrow(run, "pid long, pair long, misses long, kept long, n long").collect()
+    assert all(r["misses"] == 1 and r["kept"] == 0 for r in seen) and len({(r["pid"], r["pair"]) for r in seen}) == len({r["pid"] for r in seen})

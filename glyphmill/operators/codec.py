@@ -44,7 +44,7 @@ def mapped(rows: DataFrame, items: Column, one: Callable[[dict, np.ndarray], lis
 
 
 def with_row(rows: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
-    """(keys, row, columns): a number for each row, written so that it stays; rows with equal keys stay apart."""
+    """(keys, row, columns): a number for each row, written so that it stays; rows with equal keys stay apart. Names from ``_`` on are free: keys may be called anything else."""
     return written(rows.select(*keys, F.monotonically_increasing_id().alias("_row"), *[c.alias(n) for n, c in columns.items()]), "rows")
 
 
@@ -61,11 +61,11 @@ def encode_pieces(rows: DataFrame, keys: list[str], pieces: Column, vocab: DataF
 
         ids = F.coalesce(mapped(rows, pieces, look_up, table, "array<int>"), F.array().cast("array<int>"))
         return rows.select(*keys, ids.alias("ids"))
-    names = vocab.groupBy("name").agg(F.min("idx").alias("idx"))
-    at = with_row(rows, keys, pieces=pieces).select(*keys, "_row", F.posexplode_outer("pieces").alias("at", "name"))
-    found = at.join(names, "name", "left")
-    one = F.struct("at", F.coalesce("idx", F.lit(unknown)).alias("idx"))
-    ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), one))), lambda x: x.idx)
+    names = vocab.groupBy(F.col("name").alias("_name")).agg(F.min("idx").alias("_idx"))
+    at = with_row(rows, keys, _items=pieces).select(*keys, "_row", F.posexplode_outer("_items").alias("_at", "_name"))
+    found = at.join(names, "_name", "left")
+    one = F.struct("_at", F.coalesce("_idx", F.lit(unknown)).alias("_idx"))
+    ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), one))), lambda x: x["_idx"])
     return found.groupBy(*keys, "_row").agg(ids.alias("ids")).drop("_row")
 
 
@@ -98,10 +98,11 @@ def names_of(rows: DataFrame, keys: list[str], vocab: DataFrame, ids: str = "ids
 
         pieces = F.coalesce(mapped(rows, F.col(ids), look_up, table, "array<string>"), F.array().cast("array<string>"))
         return rows.select(*keys, pieces.alias("pieces"))
-    at = with_row(rows, keys, ids=F.col(ids)).select(*keys, "_row", F.posexplode_outer("ids").alias("at", "idx")).join(vocab.select("idx", "name"), "idx", "left")
-    bad = F.col("idx").isNotNull() & F.col("name").isNull()
-    one = F.when(bad, F.raise_error(F.lit("an id is not in the vocabulary"))).otherwise(F.when(F.col("at").isNotNull(), F.struct("at", "name")))
-    return at.groupBy(*keys, "_row").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["name"]).alias("pieces")).drop("_row")
+    names = vocab.select(F.col("idx").alias("_idx"), F.col("name").alias("_name"))
+    at = with_row(rows, keys, _items=F.col(ids)).select(*keys, "_row", F.posexplode_outer("_items").alias("_at", "_idx")).join(names, "_idx", "left")
+    bad = F.col("_idx").isNotNull() & F.col("_name").isNull()
+    one = F.when(bad, F.raise_error(F.lit("an id is not in the vocabulary"))).otherwise(F.when(F.col("_at").isNotNull(), F.struct("_at", "_name")))
+    return at.groupBy(*keys, "_row").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["_name"]).alias("pieces")).drop("_row")
 
 
 JOINERS = {"word": T.join_words, "char": T.join_chars, "subword": T.join_subwords, "class": lambda p: F.array_join(p, ",")}

@@ -164,3 +164,17 @@ def test_full_learner_merges_beyond_any_number_of_characters(spark, tmp_path):
     names = {r["name"] for r in K.QUERIES["bpe_learn_full"](spark, str(tmp_path)).collect()}
     assert "ab" in names and set(letters) <= names
     assert "a b" in {r["cut"] for r in K.QUERIES["bpe_permutations"](spark, str(tmp_path)).collect()}
+
+
+@pytest.mark.parametrize("bound", [C.SENT_TYPES, 0])
+def test_columns_of_rows_may_be_called_as_those_of_the_vocabulary(spark, monkeypatch, bound):
+    from glyphmill.operators import quality as Q
+
+    monkeypatch.setattr(C, "SENT_TYPES", bound)
+    vocab = spark.createDataFrame([(0, "<pad>"), (1, "<unk>"), (6, "a"), (7, "b")], "idx int, name string")
+    encoded = spark.createDataFrame([([6, 7, 6, 7],), ([],), (None,)], "ids array<int>")
+    assert sorted(map(tuple, Q.id_grams(encoded, 2, vocab).collect())) == [([6, 7], 2, ["a", "b"]), ([7, 6], 1, ["b", "a"])]
+    assert sorted(map(tuple, Q.id_grams(encoded, 1, vocab).collect())) == [([6], 2, ["a"]), ([7], 2, ["b"])]
+    rows = spark.createDataFrame([(1, 2, "n", "b a c"), (1, 2, "n", ""), (3, None, None, None)], "at int, idx int, name string, pieces string")
+    got = C.encode_pieces(rows, ["at", "idx", "name", "pieces"], T.words(F.col("pieces")), vocab)
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, 2, "n", "", []), (1, 2, "n", "b a c", [7, 6, 1]), (3, None, None, None, [])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from glyphmill.functions import text as T
 from glyphmill.operators import freq as N
 from glyphmill.operators.codec import SENT_TYPES, encode_pieces, mapped, small_table, with_row
 from glyphmill.operators.merges import FIRST, MOST_SYMBOLS, PLANE, Replay, index_of, merges, pair_freqs, pairs_of, symbol, symbol_of, track
+from glyphmill.operators.slabs import spelled
 from glyphmill.operators.vocab import LEVELS, NO_KIDS, SPACE, UNK, init_vocab
 from glyphmill.sources.folder import written
 
@@ -24,6 +26,14 @@ def start_words(word_freqs: DataFrame, vocab: DataFrame) -> DataFrame:
     characters outside the vocabulary are `<unk>`.
     """
     rows = word_freqs.select(F.concat("term", F.lit(T.SPACE)).alias("w"), F.col("freq").alias("n"))
+    if (table := small_table(vocab, "name", "idx")) is not None:
+        sent = rows.sparkSession.sparkContext.broadcast(table)
+
+        @F.arrow_udf("string")
+        def symbols(words: pa.Array) -> pa.Array:
+            return spelled(words, sent.value, UNK)
+
+        return rows.select(symbols("w").alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
     whole = vocab.groupBy(F.col("name").alias("w")).agg(F.min("idx").alias("own")).where(F.char_length("w") > 1)
     known = rows.join(whole, "w", "left")
     pieces = F.when(F.col("own").isNotNull(), F.array("w")).otherwise(T.chars(F.col("w")))

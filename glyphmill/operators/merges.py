@@ -4,13 +4,16 @@ A sequence is a string in which each symbol is one code point beyond U+FFFF, in
 order of the vocabulary; so a merge is ``replace()``, and ties between pairs go by plain
 string order.
 
-Learning goes by epochs. An epoch begins with exact counts of all pairs, and with an
-inverted index from pairs to the words that hold them, sorted by pair. The driver lists the
-pairs that rank first; a round picks all merges that are certain to come next, reads only
-the words of their pairs from the index, and sends back how the counts of listed and of new
-pairs change. No pair outside the list can come before the least one on it, since counts of
-old pairs never rise; when the list is used up, or enough merges wait, the epoch
-ends: words are rewritten, and the differences of those that changed are added to the counts.
+Learning goes by epochs. An epoch begins with exact counts of all pairs. The driver lists the
+pairs that rank first. No pair outside the list can come before the least one on it, since
+counts of old pairs never rise; nor can any pair that a merge makes across a place where such a
+pair stands, as it is no more frequent. So sequences are cut there, and equal pieces are brought
+together: the epoch's index, which is far smaller than the sequences. A round makes the merges
+that are certain to come next, and guesses what follows them by the most frequent pieces; it sends
+back how each merge changes the counts in all pieces. Guesses are kept as far as these counts
+confirm them, so they cost or save rounds, and never change a result. When the list is used up, or enough merges wait, the epoch ends: words are
+rewritten, and the differences of those that changed are added to the counts. What tasks do
+with many sequences at once is in ``slabs``.
 """
 
 from __future__ import annotations
@@ -18,24 +21,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.slabs import BITS, Slab, after, changes_of, key, made, pair_changes, pair_counts, pair_of, pieces, step_changes
 from glyphmill.sources.folder import forget, written
 
 #: Code points from U+10000 on, without the last two of each plane.
 FIRST, PLANE = 0x10000, 0xFFFE
 #: The last index that a code point is left for: 16 planes.
 MOST_SYMBOLS = 16 * PLANE - 1
-#: Pairs on the driver's list at the start of an epoch, and those that end one.
+#: Pairs on the driver's list at the start of an epoch at most, and those that end one.
 LISTED, MOST_KNOWN = 2048, 50_000
 #: Merges that wait in an epoch at most.
-PENDING = 128
-#: Mean symbols of a sequence up to which an index is kept, which holds each sequence once for each of its pairs; longer ones are read whole in each round.
+PENDING = 512
+#: Waves of merges that wait in an epoch's index at most, before it is written anew with them done.
+WAVES = 32
+#: Most frequent pieces that guesses go by, and merges of a round, certain and guessed ones.
+GUIDES, GUESSED = 20_000, 64
+#: Symbols of a piece up to which equal pieces of all tasks are brought together; longer ones are hardly ever equal.
 INDEXED = 24
-#: Merges still to make from which on building an index is worth while.
-WORTH = 32
+#: Merges still to make from which on an index is worth while.
+WORTH = 3
 
 
 def symbol(idx: int) -> str:
@@ -69,46 +79,13 @@ def pair_freqs(words: DataFrame) -> DataFrame:
     return words.select(F.explode(pairs_of(F.col("s"))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("freq"))
 
 
-def listed(strings: list[str]) -> Column:
-    """An array of strings of symbols as one literal."""
-    return F.split(F.lit(" ".join(strings)), " ")
-
-
-def holds(s: Column, strings: list[str]) -> Column:
-    return F.exists(listed(strings), lambda p: F.contains(s, p))
-
-
-def rewritten(s: Column, steps: list[str]) -> Column:
-    """A word after merges, each a string of the pair and the new symbol."""
-    if not steps:
-        return s
-    return F.aggregate(listed(steps), s, lambda w, m: F.replace(w, F.substring(m, 1, 2), F.substring(m, 3, 1)))
-
-
-def moved(words: DataFrame) -> DataFrame:
-    """(pair, freq): how counts change when words ``s`` become ``t``."""
-    signed = lambda c, sign: F.transform(pairs_of(F.col(c)), lambda p: F.struct(p.alias("pair"), F.lit(sign).alias("sign")))
-    each = words.select(F.explode(F.concat(signed("s", -1), signed("t", 1))).alias("x"), "n")
-    return each.groupBy("x.pair").agg(F.sum(F.col("x.sign") * F.col("n")).alias("freq")).where("freq <> 0")
-
-
-def changes(words: DataFrame, before: list[str], now: list[str]) -> DataFrame:
-    """(pair, freq): how counts change when words (s, n), after the merges ``before``, undergo ``now``."""
-    old = words.select(rewritten(F.col("s"), before).alias("s"), "n").where(holds(F.col("s"), [m[:2] for m in now]))
-    return moved(old.select("s", rewritten(F.col("s"), now).alias("t"), "n"))
-
-
-def inverted(words: DataFrame) -> DataFrame:
-    """(pair, s, n): each word once for each pair that it holds, sorted by pair, so that a reader skips other pairs. A pair of many words takes several files."""
-    each = words.select(F.explode(F.array_distinct(pairs_of(F.col("s")))).alias("pair"), "s", "n")
-    return written(each.repartitionByRange("pair", "s").sortWithinPartitions("pair", "s"), "pair-index")
-
-
-def words_of(index: DataFrame, pairs: list[str]) -> DataFrame:
-    """(s, n) of the words that hold any of the pairs, each once: a word counts where its first pair of the list stands."""
-    first = F.element_at(F.filter(listed(pairs), lambda p: F.contains(F.col("s"), p)), 1)
-    quoted = ", ".join(f"'{p}'" for p in pairs)
-    return index.where(F.expr(f"pair IN ({quoted})")).where(first == F.col("pair")).select("s", "n")
+def indexed(words: DataFrame, waves: list[list[str]], live: list[str]) -> DataFrame:
+    """(s, n): the pieces of words between places where none of the pairs stands, after waves of merges."""
+    each = written(pieces(words, waves, live), "pieces")
+    long = F.char_length("s") > INDEXED
+    out = written(each.where(~long).groupBy("s").agg(F.sum("n").alias("n")).unionByName(each.where(long)), "index")
+    forget(each)
+    return out
 
 
 def independent(top: list[tuple[str, int]], room: int, least: int) -> list[tuple[str, int]]:
@@ -139,92 +116,149 @@ class Learned:
     rounds: int = 0
     epochs: int = 0
 
+    def add(self, chosen: list[tuple[str, int]], idx: int) -> list[str]:
+        """Merges from index ``idx`` on, and their steps: strings of the pair and the new symbol."""
+        if idx + len(chosen) - 1 > MOST_SYMBOLS:
+            raise ValueError(f"a learned vocabulary has at most {MOST_SYMBOLS + 1} types")
+        self.merges += [(idx + k, number(pair[0]), number(pair[1]), freq) for k, (pair, freq) in enumerate(chosen)]
+        return [pair + symbol(idx + k) for k, (pair, _) in enumerate(chosen)]
+
 
 class Epoch:
-    """The driver's part of one epoch: the list of pairs with their exact counts, and the merges that wait."""
+    """The driver's part of one epoch: the list of pairs with their exact counts, and the merges that wait, by waves that share no symbol."""
 
-    def __init__(self, counts: DataFrame):
-        top = [(r["pair"], r["freq"]) for r in counts.orderBy(F.desc("freq"), "pair").limit(LISTED + 1).collect()]
-        self.known = dict(top[:LISTED])
+    def __init__(self, counts: DataFrame, most: int, least: int):
+        size = min(LISTED, 4 * most + 64)
+        top = [(r["pair"], r["freq"]) for r in counts.orderBy(F.desc("freq"), "pair").limit(size + 1).collect()]
+        self.known = dict(top[:size])
+        self.least = least
         #: The place in the ranking from which on pairs may be missing.
-        self.end = (-top[LISTED][1], top[LISTED][0]) if len(top) > LISTED else (0, "")
-        self.steps: list[str] = []
-        self.base: dict[str, str] = {}
+        self.end = (-top[size][1], top[size][0]) if len(top) > size else (0, "")
+        self.waves: list[list[str]] = []
 
-    def next(self, room: int, least: int) -> list[tuple[str, int]]:
-        if len(self.steps) >= PENDING or len(self.known) > MOST_KNOWN:
+    def live(self) -> list[str]:
+        """The pairs that may still be merged in this epoch."""
+        return [pair for pair, freq in self.known.items() if (-freq, pair) < self.end and freq >= self.least]
+
+    def next(self, room: int) -> list[tuple[str, int]]:
+        waiting = sum(map(len, self.waves))
+        if waiting >= PENDING or len(self.known) > MOST_KNOWN:
             return []
-        ranking = sorted((-freq, pair) for pair, freq in self.known.items() if (-freq, pair) < self.end)
-        return independent([(pair, -freq) for freq, pair in ranking], min(room, PENDING - len(self.steps)), least)
-
-    def indexed(self, pair: str) -> str:
-        """A pair of the epoch's start that every word with ``pair`` held then."""
-        return self.base.get(pair[0]) or self.base.get(pair[1]) or pair
-
-    def wanted(self, chosen: list[tuple[str, int]], made: list[str]) -> Column:
-        """Which changed counts the list needs: of pairs on it that share a symbol with a merge, and of new ones that reach its end."""
-        parts = {c for pair, _ in chosen for c in pair}
-        near = [p for p in self.known if p[0] in parts or p[1] in parts]
-        new = holds(F.col("pair"), made) & (F.col("freq") >= max(1, -self.end[0]))
-        return F.expr("pair IN ({})".format(", ".join(f"'{p}'" for p in near))) | new
-
-    def apply(self, changed: list[tuple[str, int]], chosen: list[tuple[str, int]], now: list[str]) -> None:
-        for pair, freq in changed:
-            self.known[pair] = self.known.get(pair, 0) + freq
-            if self.known[pair] <= 0:
-                del self.known[pair]
-        for (pair, _), step in zip(chosen, now, strict=True):
-            self.known.pop(pair, None)
-            self.base[step[2]] = self.indexed(pair)
-        self.steps += now
+        ranking = sorted((-self.known[pair], pair) for pair in self.live())
+        return independent([(pair, -freq) for freq, pair in ranking], min(room, PENDING - waiting), self.least)
+
+    def guessed(self, chosen: list[tuple[str, int]], idx: int, room: int, guides: Slab) -> list[str]:
+        """The steps of the chosen merges, with indices from ``idx`` on, and then of those that seem to follow: what a merge does to the guides, it seems to do to all in the same proportion."""
+        now, slab = {key(pair): float(freq) for pair, freq in self.known.items()}, guides.copy()
+        least = max(self.least, -self.end[0])
+        steps: list[str] = []
+        while len(steps) < room:
+            best = key(chosen[len(steps)][0]) if len(steps) < len(chosen) else min(now, key=lambda k: (-now[k], k), default=None)
+            if best is None or now[best] < least:
+                break
+            steps.append(pair_of(best) + symbol(idx + len(steps)))
+            keys, sums = changes_of(slab, steps[-1:])
+            whole, seen = now.pop(best), -int(sums[keys == best].sum())
+            for k, n in zip(keys.tolist(), (sums * (whole / seen)).tolist(), strict=True) if seen > 0 else ():
+                if k in now or n >= least and k != best:
+                    now[k] = now.get(k, 0.0) + n
+        return steps
+
+    def apply(self, changed: dict[str, int], now: list[str]) -> None:
+        """What a wave of merges has changed: new pairs count where they reach the list's end."""
+        new = {step[2] for step in now}
+        for pair, freq in changed.items():
+            if pair in self.known:
+                self.known[pair] += freq
+                if self.known[pair] <= 0:
+                    del self.known[pair]
+            elif new & set(pair) and freq >= max(1, -self.end[0]):
+                self.known[pair] = freq
+        for step in now:
+            self.known.pop(step[:2], None)
+        self.waves.append(now)
+
+
+class Round:
+    """The changes that a round has found, step by step. Steps of one wave may turn out to come in another order, and then their new symbols change places."""
+
+    def __init__(self, steps: list[str], found: pa.Table):
+        at, freq = found["at"].to_numpy(), found["freq"].to_numpy()
+        order = np.argsort(at, kind="stable")
+        self.steps, self.done, self.real = steps, 0, {}
+        self.keys, self.freqs = at[order] & (1 << 2 * BITS) - 1, freq[order]
+        self.begins = np.searchsorted(at[order] >> 2 * BITS, np.arange(len(steps) + 1)).tolist()
+
+    def named(self, some: str) -> str:
+        return "".join(self.real.get(c, c) for c in some)
+
+    def take(self, chosen: list[tuple[str, int]]) -> tuple[list[str], dict[str, int]]:
+        """(steps, changes) of as many of the chosen merges as the next steps are, in whatever order; none if they are others."""
+        pairs, own = [pair for pair, _ in chosen], [self.named(step[:2]) for step in self.steps[self.done : self.done + len(chosen)]]
+        n = next((n for n in range(len(own), 0, -1) if set(pairs[:n]) == set(own[:n])), 0)
+        steps = self.steps[self.done : self.done + n]
+        symbols = sorted(step[2] for step in steps)
+        self.real |= {step[2]: symbols[pairs.index(pair)] for step, pair in zip(steps, own, strict=False)}
+        here = slice(self.begins[self.done], self.begins[self.done + n])
+        changed: dict[str, int] = {}
+        for k, freq in zip(self.keys[here].tolist(), self.freqs[here].tolist(), strict=True):
+            pair = self.named(pair_of(k))
+            changed[pair] = changed.get(pair, 0) + freq
+        self.done += n
+        return [pair + sym for pair, sym in zip(pairs[:n], symbols, strict=True)], changed
 
 
 def learn(words: DataFrame, n_types: int, most: int, least: int = 2, at_once: int = 64, carry: bool = True) -> Learned:
-    """Up to ``most`` merges of words (s, n), which are distinct, with indices from ``n_types`` on; fewer if no pair is frequent enough, or none is left.
+    """Up to ``most`` merges of words (s, n), with indices from ``n_types`` on; fewer if no pair is frequent enough, or none is left.
 
     The result is that of one merge at a time: most frequent pair first, ties by the pair.
     carry: whether the counts are carried beyond the last merge.
     """
-    out = Learned(words=words, counts=written(pair_freqs(words), "pairs"))
-    short = (words.agg(F.avg(F.char_length("s")).alias("n")).first()["n"] or 0) <= INDEXED
+    out = Learned(words=words, counts=written(pair_counts(words), "pairs"))
     own: list[DataFrame] = []
     while len(out.merges) < most:
-        epoch = Epoch(out.counts)
-        index = None
-        while chosen := epoch.next(min(most - len(out.merges), at_once), least):
-            now = []
-            for pair, freq in chosen:
-                idx = n_types + len(out.merges)
-                if idx > MOST_SYMBOLS:
-                    raise ValueError(f"a learned vocabulary has at most {MOST_SYMBOLS + 1} types")
-                now.append(pair + symbol(idx))
-                out.merges.append((idx, number(pair[0]), number(pair[1]), freq))
+        epoch = Epoch(out.counts, most - len(out.merges), least)
+        index, guides, done = None, None, 0
+        while chosen := epoch.next(min(most - len(out.merges), at_once)):
+            idx = n_types + len(out.merges)
             out.rounds += 1
-            if len(out.merges) < most:
-                if index is None and short and most - len(out.merges) >= WORTH:
-                    index = inverted(out.words)
-                read = out.words if index is None else words_of(index, sorted({epoch.indexed(p) for p, _ in chosen}))
-                found = changes(read, epoch.steps, now).where(epoch.wanted(chosen, [m[2] for m in now])).collect()
-                epoch.apply([(r["pair"], r["freq"]) for r in found], chosen, now)
+            if len(out.merges) + len(chosen) == most:
+                epoch.waves.append(out.add(chosen, idx))
+                break
+            if index is None and most - len(out.merges) >= WORTH or len(epoch.waves) - done >= WAVES:
+                old, index = index, indexed(out.words if index is None else index, epoch.waves[done:], epoch.live())
+                forget(*([old] if old is not None else []))
+                done = len(epoch.waves)
+                guides = Slab.of(index.orderBy(F.desc("n"), "s").limit(GUIDES).toArrow())
+            if guides is not None:
+                steps = epoch.guessed(chosen, idx, min(most - len(out.merges) - 1, max(GUESSED, len(chosen))), guides)
             else:
-                epoch.steps += now
-        if not epoch.steps:
+                steps = [pair + symbol(idx + k) for k, (pair, _) in enumerate(chosen)]
+            found = Round(steps, step_changes(out.words if index is None else index, epoch.waves[done:], steps).toArrow())
+            while chosen and (taken := found.take(chosen))[0]:
+                wave, changed = taken
+                out.add(chosen[: len(wave)], n_types + len(out.merges))
+                epoch.apply(changed, wave)
+                if guides is not None:
+                    guides.merge(wave)
+                chosen = epoch.next(min(most - len(out.merges), at_once)) if found.done < len(steps) else []
+        forget(*([index] if index is not None else []))
+        if not epoch.waves:
             break
         out.epochs += 1
         last = len(out.merges) >= most
         if carry or not last:
-            both = out.words.select("s", rewritten(F.col("s"), epoch.steps).alias("t"), "n").where("s <> t")
-            counts = written(out.counts.unionByName(moved(both)).groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0"), "pairs")
+            moved = pair_changes(out.words, epoch.waves)
+            counts = written(out.counts.unionByName(moved).groupBy("pair").agg(F.sum("freq").alias("freq")).where("freq > 0"), "pairs")
             forget(out.counts)
             out.counts = counts
-        after = out.words.select(rewritten(F.col("s"), epoch.steps).alias("s"), "n")
-        forget(*([index] if index is not None else []))
+        words = after(out.words, epoch.waves)
         if last:
-            out.words = after
+            out.words = words
         else:
-            after = written(after, "words")
+            words = written(words, "words")
             forget(*own)
-            out.words, own = after, [after]
+            out.words, own = words, [words]
     return out
 
 
@@ -288,6 +322,16 @@ class Replay:
             raise ValueError(f"{self.remaining()} merges remain")
         return Replay(self.types, self.done + n)
 
+    def reach(self) -> list[str]:
+        """The pairs of unmerged symbols that the merges made may join: a merge joins its left kid's last symbol and its right kid's first."""
+        first: dict[int, int] = {}
+        last: dict[int, int] = {}
+        out = set()
+        for idx, a, b in self.types[: self.done]:
+            out.add(symbol(last.get(a, a)) + symbol(first.get(b, b)))
+            first[idx], last[idx] = first.get(a, a), last.get(b, b)
+        return sorted(out)
+
     def words(self, start: DataFrame, keep: str | None = None) -> DataFrame:
         """(s, n, times) of words (s, n) of unmerged symbols: s after the merges made, and how often each of them was made in the word, as (idx, n). keep: a column to return as ``kept``."""
         table = {symbol(a) + symbol(b): (k, idx, symbol(idx)) for k, (idx, a, b) in enumerate(self.types[: self.done])}
@@ -316,15 +360,15 @@ def track(words: DataFrame, n_types: int, replay: Replay) -> list[tuple[int, flo
     """(k, emd, mean_len) after k = 0 .. all merges of ``replay``: imbalance of the types, and mean symbols of a word.
 
     The histogram of symbols and the total are taken once, and how often each merge is
-    made once, by going over all words; from merge to merge they change by differences.
+    made once, over the pieces that merges can reach; from merge to merge they change by differences.
     """
     whole = replay.step(replay.remaining())
     uses = {number(r["c"]): r["n"] for r in words.select(F.explode(F.split("s", "")).alias("c"), "n").where("c <> ''").groupBy("c").agg(F.sum("n").alias("n")).collect()}
     n_words = words.agg(F.sum("n").alias("n")).first()["n"]
     if not uses:
         return []
-    each = whole.words(words).select(F.explode("times").alias("t"), "n").groupBy("t.idx").agg(F.sum(F.col("t.n") * F.col("n")).alias("n"))
-    times = {r["idx"]: r["n"] for r in each.collect()}
+    each = made(indexed(words, [], whole.reach()), [(idx, symbol(a) + symbol(b) + symbol(idx)) for idx, a, b in whole.types])
+    times = {r["idx"]: r["n"] for r in each.collect()} if whole.types else {}
     total = sum(uses.values())
     out = []
     for k in range(len(whole.types) + 1):

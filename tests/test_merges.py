@@ -8,6 +8,7 @@ from glyphmill.functions import text as T
 from glyphmill.operators import bpe as M
 from glyphmill.operators import freq as N
 from glyphmill.operators import merges as G
+from glyphmill.operators import slabs as S
 from glyphmill.operators import vocab as V
 
 
@@ -168,3 +169,28 @@ def test_longest_matches_over_odd_names_and_words():
     walk = M.longest_matches(table)
     for _ in range(2):
         assert walk(table, ["abcd", "abbcd", "", "q", "😀x😀", "xy", "xyzx", "ab"]) == [3, 1, 2, 4, 1, 6, 1, 1, 1, 7, 1, 2]
+
+
+@pytest.mark.parametrize(("seed", "letters", "most", "conf", "rounds"), [(5, "abcdefgh", 60, {}, 6), (7, "ab", 40, {"LISTED": 5, "WAVES": 2, "GUIDES": 10}, 40), (8, "abcdef", 50, {"GUIDES": 7, "PENDING": 9, "INDEXED": 3}, 50)])
+def test_guessed_merges_are_those_of_one_at_a_time_in_fewer_rounds(spark, monkeypatch, seed, letters, most, conf, rounds):
+    for name, value in conf.items():
+        monkeypatch.setattr(G, name, value)
+    words = corpus(seed, letters, 300, 9) + ["aaaa", "aaaaa", "aaa", "bbbbbb"] * 4
+    _, names, start = started(spark, words)
+    found = G.learn(start, len(names), most)
+    assert found.merges == plain_merges(Counter(words), names, most) and found.rounds <= rounds
+    checks = G.audit(found.words, found.counts, len(names) + len(found.merges)).collect()
+    assert all(r["violations"] == 0 and r["checked"] for r in checks)
+
+
+def test_merges_are_counted_in_the_pieces_they_reach(spark):
+    words = corpus(11, "abcd", 120, 9) + ["aaaaaaa", "abababa"] * 3
+    _, names, start = started(spark, words)
+    replay = G.Replay([m[:3] for m in G.merges(start, len(names), 20)[0]])
+    state, want = {r["s"]: r["n"] for r in start.collect()}, {}
+    steps = [(idx, G.symbol(a) + G.symbol(b) + G.symbol(idx)) for idx, a, b in replay.types]
+    for idx, step in steps:
+        want[idx] = sum(s.count(step[:2]) * n for s, n in state.items())
+        state = {s.replace(step[:2], step[2]): n for s, n in state.items()}
+    got = S.made(G.indexed(start, [], replay.step(20).reach()), steps)
+    assert {r["idx"]: r["n"] for r in got.collect()} == want

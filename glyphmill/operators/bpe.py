@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from glyphmill.functions import text as T
 from glyphmill.operators import freq as N
 from glyphmill.operators.codec import SENT_TYPES, encode_pieces, mapped, small_table, with_row
 from glyphmill.operators.merges import FIRST, MOST_SYMBOLS, PLANE, Replay, index_of, merges, pair_freqs, pairs_of, symbol, symbol_of, track
-from glyphmill.operators.slabs import spelled
+from glyphmill.operators.slabs import clipped, encoded, spelled
 from glyphmill.operators.vocab import LEVELS, NO_KIDS, SPACE, UNK, init_vocab
 from glyphmill.sources.folder import written
 
@@ -89,20 +90,39 @@ def line_symbols(rows: DataFrame, vocab: DataFrame, text: str = "text", runs: st
     Overlapping pairs of one symbol can't all merge. Where a symbol stands three times or
     more in a row it is clipped to two (``clip``), or the line is left out (``drop``).
     """
+    lines = N.counted(rows.where(F.col(text).isNotNull()).select(F.explode(T.lines(F.col(text))).alias("line")), "line")
+    return symbols_of_lines(lines, vocab, runs).groupBy("s").agg(F.sum("n").alias("n"))
+
+
+def symbols_of_lines(lines: DataFrame, vocab: DataFrame, runs: str) -> DataFrame:
+    """(s, n) of each of the lines (line, freq)."""
     if runs not in ("clip", "drop"):
         raise ValueError("runs: clip or drop")
-    lines = N.counted(rows.where(F.col(text).isNotNull()).select(F.explode(T.lines(F.col(text))).alias("line")), "line")
-    ids = encode_bpe(lines, ["line", "freq"], vocab, "line")
-    symbols = ids.select(F.array_join(F.transform("ids", symbol_of), "").alias("s"), F.col("freq").alias("n"))
-    tripled = r"(.)\1\1"
-    symbols = symbols.where(~F.col("s").rlike(tripled)) if runs == "drop" else symbols.withColumn("s", F.regexp_replace("s", tripled + r"+", "$1$1"))
-    return symbols.groupBy("s").agg(F.sum("n").alias("n"))
+    drop = runs == "drop"
+    if (table := small_table(vocab, "name", "idx")) is not None:
+        sent, walk = lines.sparkSession.sparkContext.broadcast(table), longest_matches(table)
+
+        @F.arrow_udf("string")
+        def symbols(words: pa.Array) -> pa.Array:
+            known = sent.value
+            return clipped(*encoded(words, lambda w: walk(known, [w + T.SPACE]), SPACE), drop)
+
+        made = lines.select(symbols(T.words(F.col("line"))).alias("s"), F.col("freq").alias("n"))
+    else:
+
+        @F.arrow_udf("string")
+        def symbols(ids: pa.Array) -> pa.Array:
+            return clipped(ids.flatten().to_numpy().astype(int), np.diff(ids.offsets.to_numpy()).astype(int), drop)
+
+        made = encode_bpe(lines, ["line", "freq"], vocab, "line").select(symbols("ids").alias("s"), F.col("freq").alias("n"))
+    return made.where("s is not null") if drop else made
 
 
 def learn_phrases(rows: DataFrame, vocab: DataFrame, most: int, text: str = "text", least: int = 95, runs: str = "clip") -> DataFrame:
     """``vocab`` and up to ``most`` phrases: merges over whole lines of its own types, across the ends of words. A phrase's kids are types or phrases."""
     vocab = written(vocab, "level-1")
-    found, _ = merges(written(line_symbols(rows, vocab, text, runs), "lines"), vocab.count(), most, least)
+    lines = rows.where(F.col(text).isNotNull()).select(F.explode(T.lines(F.col(text))).alias("line"), F.lit(1).cast("long").alias("freq"))
+    found, _ = merges(written(symbols_of_lines(lines, vocab, runs), "lines"), vocab.count(), most, least)
     return with_merges(vocab, found, "phrase")
 
 

@@ -194,3 +194,46 @@ def test_merges_are_counted_in_the_pieces_they_reach(spark):
         state = {s.replace(step[:2], step[2]): n for s, n in state.items()}
     got = S.made(G.indexed(start, [], replay.step(20).reach()), steps)
     assert {r["idx"]: r["n"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("bound", [M.SENT_TYPES, 0])
+def test_phrases_over_long_lines_take_few_rounds(spark, monkeypatch, bound):
+    from glyphmill.operators import codec as C
+
+    rng = random.Random(12)
+    words = corpus(12, "abc", 12, 4)
+    rows = texts(spark, *["\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(3)) for _ in range(30)], "a a a a a", " \n", None)
+    base = V.learn_chars(rows, min_freq=1, coverage=0.0)
+    names = [r["name"] for r in base.orderBy("idx").collect()]
+    monkeypatch.setattr(C, "SENT_TYPES", bound)
+    lines = M.line_symbols(rows, base)
+    found = G.learn(lines, len(names), 8)
+    state, want = {r["s"]: r["n"] for r in lines.collect()}, []
+    for idx in range(len(names), len(names) + 8):
+        pairs = Counter()
+        for s, n in state.items():
+            for i in range(len(s) - 1):
+                pairs[s[i : i + 2]] += n
+        pair, freq = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        want.append((idx, G.number(pair[0]), G.number(pair[1]), freq))
+        state = {s.replace(pair, G.symbol(idx)): n for s, n in state.items()}
+    assert found.merges == want and found.rounds <= 4
+    phrases = M.learn_phrases(rows, base, 8, least=2).where("level = 3").orderBy("idx").collect()
+    assert [(r["idx"], *r["kids"], r["freq"]) for r in phrases] == want
+
+
+def test_a_word_of_many_rows_is_encoded_once():
+    import pyarrow as pa
+
+    asked = []
+    rows = pa.array([["x"], ["ab", "c", "ab"], [], ["c"], []])
+    for part in (rows, rows.slice(1, 3)):
+        asked.clear()
+        idx, lengths = S.encoded(part, lambda w: asked.append(w) or [ord(c) for c in w], 5)
+        ends = lengths.cumsum().tolist()
+        assert [idx[e - n : e].tolist() for e, n in zip(ends, lengths.tolist(), strict=True)] == [[ord(c) for w in r for c in w] or [5] for r in part.to_pylist()]
+        assert len(asked) == len(set(asked))
+    types, lengths = S.np.array([1, 1, 1, 2, 3, 3, 3, 3]), S.np.array([3, 0, 1, 4])
+    text = lambda some: "".join(map(G.symbol, some))
+    assert S.clipped(types, lengths, False).to_pylist() == [text([1, 1]), "", text([2]), text([3, 3])]
+    assert S.clipped(types, lengths, True).to_pylist() == [None, "", text([2]), None]
